@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, token_counts
-from .common import table
+from . import secrets, token_counts, toxicity
+from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,12 +39,19 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_on_folds(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secrets.find_secrets(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
 
 
 QUERIES: dict[str, Query] = {
     "op7_token_counts": op7_token_counts,
+    "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
 
