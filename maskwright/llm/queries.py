@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, token_counts, toxicity
+from . import personal_data, secrets, token_counts, toxicity
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     )
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _span_digest(personal_data.find_personal_data(docs, personal_data.fit(docs)), personal_data.KINDS)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.tokenizer_path("piece_bpe_32k.model"))
 
@@ -50,6 +55,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_personal_data": op5_personal_data,
     "op7_token_counts": op7_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
