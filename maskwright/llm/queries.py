@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import personal_data, secrets, token_counts, toxicity
+from . import language_model, personal_data, secrets, token_counts, toxicity
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 7) == 2
+    # a row without doc_id is in no fold, so it is learned from
+    fitted = language_model.fit(docs, ~F.coalesce(held_out, F.lit(False)))
+    return language_model.score(docs, fitted).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_on_folds(docs, table(spark, sf_dir, "labels"))
@@ -57,6 +65,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op5_personal_data": op5_personal_data,
     "op7_token_counts": op7_token_counts,
+    "op8_language_model": op8_language_model,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
