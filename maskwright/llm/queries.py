@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, personal_data, secrets, token_counts, toxicity
+from . import language_model, mixing, personal_data, secrets, token_counts, toxicity
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(personal_data.find_personal_data(docs, personal_data.fit(docs)), personal_data.KINDS)
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.tokenizer_path("piece_bpe_32k.model"))
 
@@ -64,10 +68,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op5_personal_data": op5_personal_data,
+    "op6_source_mix": op6_source_mix,
     "op7_token_counts": op7_token_counts,
     "op8_language_model": op8_language_model,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_source_mix": mixing.oracle()}
