@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, mixing, personal_data, secrets, token_counts, toxicity
+from . import decontamination, language_model, mixing, personal_data, secrets, token_counts, toxicity
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("row_id")
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _span_digest(personal_data.find_personal_data(docs, personal_data.fit(docs)), personal_data.KINDS)
@@ -67,6 +72,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_decontamination": op4_decontamination,
     "op5_personal_data": op5_personal_data,
     "op6_source_mix": op6_source_mix,
     "op7_token_counts": op7_token_counts,
