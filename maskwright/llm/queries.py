@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, mixing, nearest, personal_data, secrets, token_counts, toxicity
+from . import decontamination, language_model, mixing, near_duplicates, nearest, personal_data, secrets, token_counts, toxicity
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     )
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("group_id")
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.neighbours(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
@@ -76,6 +80,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_decontamination": op4_decontamination,
     "op5_personal_data": op5_personal_data,
