@@ -45,7 +45,8 @@ SPREAD = 4
 #: Least log-likelihood ratio, and how many times more frequent in toxic documents.
 LEAST_G2, LEAST_RATIO = 20.0, 30.0
 GRAMS = (5, 6)
-MEMO = 300_000
+#: Margins kept by a worker: when so many are new, those not used since the last time go.
+MEMO = 120_000
 MEMO_CHARS = 40
 #: Words as windows: letters, digits and _ of any script; Spark's pattern must mean the same.
 _WORD = re.compile(r"\w+")
@@ -82,7 +83,7 @@ class Scorer:
             held.precompute_compress(compression_params=how)
             return z.ZstdCompressor(dict_data=held, compression_params=how)
 
-        self.model, self.memo = model, {}
+        self.model, self.memo, self.older = model, {}, {}
         self.by_ordinary, self.by_toxic = compressor(model.ordinary), compressor(model.toxic)
 
     def margin(self, window: str) -> int:
@@ -93,12 +94,16 @@ class Scorer:
         """The largest margin of a document's windows, and the mean of the three largest."""
         memo = self.memo
         if len(memo) > MEMO:
-            memo.clear()
+            self.older, self.memo = memo, {}
+            memo = self.memo
+        older = self.older
         top = [0, 0, 0]
         for w in set(_WORD.findall((text or "").lower())):
             m = memo.get(w)
             if m is None:
-                m = self.margin(w)
+                m = older.get(w)
+                if m is None:
+                    m = self.margin(w)
                 if len(w) <= MEMO_CHARS:
                     memo[w] = m
             if m > top[0]:
@@ -185,13 +190,24 @@ def fit(docs: DataFrame, labels: DataFrame, training: F.Column, calibration: F.C
     return Model(model.ordinary, model.toxic, _logistic(np.array([r[1:] for r in scored], float), y))
 
 
+_scorers: dict[Model, Scorer] = {}
+
+
+def _scorer(model: Model) -> Scorer:
+    """The worker's scorer of this model, with what it remembers; one at a time."""
+    if model not in _scorers:
+        _scorers.clear()
+        _scorers[model] = Scorer(model)
+    return _scorers[model]
+
+
 def _apply(rows: DataFrame, model: Model, schema: str, what) -> DataFrame:
     """what(scorer, text) for each row of (any column, text); the first column is kept."""
     held = rows.sparkSession.sparkContext.broadcast(model)
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        scorer = _scorer(held.value)
         for batch in batches:
             got = [what(scorer, t) for t in batch.column(1).to_pylist()]
             columns = zip(*got, strict=True) if got else [[] for _ in names[1:]]
