@@ -135,7 +135,8 @@ def mix(sized: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, sh
     span = F.expr(f"CASE WHEN size > 0 THEN sequence(at div {block_words}, (at + size - 1) div {block_words}) END")
     pieces = laid.withColumn("block", F.explode_outer(span))
     pieces = pieces.withColumn("from", F.expr(f"greatest(at - block * {block_words}, 0L)")).withColumn("to", F.expr(f"least(at + size - block * {block_words}, {block_words}L)"))
-    met = pieces.join(slots.groupBy("rank", "block").agg(F.collect_list("words").alias("takes")), ["rank", "block"], "left")
+    # generated rows are many more than their source table lets Spark expect: never broadcast them
+    met = pieces.join(slots.groupBy("rank", "block").agg(F.collect_list("words").alias("takes")).hint("merge"), ["rank", "block"], "left")
     taken = F.expr("aggregate(coalesce(takes, array()), 0L, (t, w) -> t + greatest(least(`to`, w) - `from`, 0L))")
     documents = met.groupBy("rank", "bucket", "nth", "doc_id", "source", "size", "source_size", "target").agg(F.sum(taken).alias("taken"))
     return Mix(slots, documents)
