@@ -73,7 +73,10 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """a, b: hashes of different lines that are linked; lines: one column `line`."""
-    keyed = lines.select("line", F.xxhash64("line").alias("id"), F.posexplode(segment_keys(F.col("line"), edits)).alias("nth", "key")).where("key IS NOT NULL")
+    # the keys are a column of their own first: a projection computes what they share once, a generator would not
+    # (outer, because the filter that Spark infers for a plain explode would compute them again)
+    keyed = lines.select("line", F.xxhash64("line").alias("id"), segment_keys(F.col("line"), edits).alias("keys"))
+    keyed = keyed.select("line", "id", F.posexplode_outer("keys").alias("nth", "key")).where("key IS NOT NULL")
     index = F.col("nth") <= edits
     by_key = keyed.select("key", "id", index.alias("index")).groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("index").alias("index"))
     live = stored(by_key.where("index AND least < most").select("key"), "keys")
@@ -107,16 +110,14 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     """doc_id, h, removed (sorted line numbers) for documents that lose lines. docs: doc_id, h, text."""
     lines = _lines(docs, min_chars)
     place = F.struct("doc_id", "h", "line_no")
-    by_line = stored(lines.select(F.xxhash64("line").alias("id"), place.alias("place")).groupBy("id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")), "lines")
+    places = stored(lines.select(F.xxhash64("line").alias("id"), "doc_id", "h", "line_no"), "lines")
     roots = connected(line_links(lines.select("line"), edits)).withColumnRenamed("node", "id")
-    classed = by_line.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("class"), "first", "n")
-    # classes of one line that occurs once are nearly all; they need no class table
-    single = classed.where("n = 1 AND id = class").join(roots.select(F.col("root").alias("class")).distinct(), "class", "left_anti").select("id")
-    many = classed.join(single, "id", "left_anti")
-    firsts = many.groupBy("class").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
-    marked = stored(many.join(firsts.select("class", "kept"), "class").select("id", "kept"), "repeats")
-    occurrences = lines.select(F.xxhash64("line").alias("id"), "doc_id", "h", "line_no").join(marked, "id")
-    gone = occurrences.where(~F.struct("doc_id", "h", "line_no").eqNullSafe(F.col("kept")))
+    # lines that occur once and are linked to none are nearly all; from here on only the others count
+    copied = places.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    classed = copied.join(roots, "id", "full_outer").select("id", F.coalesce("root", "id").alias("class"))
+    met = stored(places.join(classed, "id").select("class", place.alias("place")), "repeats")
+    firsts = met.groupBy("class").agg(F.min("place").alias("kept"))
+    gone = met.join(firsts, "class").where(~F.col("place").eqNullSafe(F.col("kept"))).select("place.*")
     return gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
