@@ -161,19 +161,49 @@ def find_block(items: Items, raw: np.ndarray, offsets: np.ndarray) -> list[tuple
 _SCHEMA = "row_id long, doc_id long, item_id long, start_word long, end_word long, n_same long, n_windows long, item_words long"
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """One row for each document and item that overlap, with the best aligned stretch of the document, in words."""
+def _slices(benchmark: DataFrame, item_text: str, item_key: str) -> Iterator[Items]:
+    """The benchmark in parts of bounded size, one at a time."""
     items = benchmark.select(benchmark[item_key].cast("long").alias("item_id"), benchmark[item_text].cast("string").alias("text"))
     total = items.agg(F.sum(F.length(F.coalesce("text", F.lit(""))))).first()[0] or 0
     n_slices = max(1, -(-total // (2 * SLICE_WORDS)))  # a word and its space are two characters at least
     slice_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    parts = []
     for s in range(n_slices):
-        held_items = items.where(slice_of == s).orderBy("item_id").collect()
-        prepared = prepare([r.item_id if r.item_id is not None else -1 for r in held_items], pa.array([r.text for r in held_items], pa.string()))
-        parts.append(_one_pass(rows, prepared))
-    return reduce(DataFrame.unionAll, parts)
+        held = items.where(slice_of == s).orderBy("item_id", "text").collect()
+        yield prepare([r.item_id if r.item_id is not None else -1 for r in held], pa.array([r.text for r in held], pa.string()))
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """One row for each document and item that overlap, with the best aligned stretch of the document, in words. An item without id is -1."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    return reduce(DataFrame.unionAll, [_one_pass(rows, items) for items in _slices(benchmark, item_text, item_key)])
+
+
+def _block_finds(items: Items, column: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int, int, int, int]]]]:
+    """(first row, what find_block finds) for each block of a column."""
+    raw, offsets = text_bytes(column)
+    block = offsets[1:] // BLOCK_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        if hi > lo:
+            yield lo, find_block(items, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """The rows of docs, with all their columns, that overlap no item. Nothing is shuffled."""
+    at = docs.columns.index(text)
+    schema = docs.schema
+    for items in _slices(benchmark, item_text, item_key):
+        held = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for lo, found in _block_finds(held.value, batch.column(at)):
+                    clean[[lo + f[0] for f in found]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
 
 
 def _one_pass(rows: DataFrame, items: Items) -> DataFrame:
@@ -184,11 +214,7 @@ def _one_pass(rows: DataFrame, items: Items) -> DataFrame:
         items = held.value
         sizes = np.diff(items.first)
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(2))
-            block = offsets[1:] // BLOCK_BYTES
-            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                found = find_block(items, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) if hi > lo else []
+            for lo, found in _block_finds(items, batch.column(2)):
                 if found:
                     row, number, a, b, same, windows = (np.array(c, np.int64) for c in zip(*found, strict=True))
                     take = pa.array(row + lo)

@@ -223,6 +223,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def keep_ordinary(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under 0.5. Nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(held.value)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_on_folds(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from rows whose crc32(doc_id) mod 5 is not 0: 1 to 3 for the dictionaries, 4 for the curve."""
     return fit(docs, labels, crc_mod("doc_id", 5).isin(1, 2, 3), crc_mod("doc_id", 5) == 4)
