@@ -49,7 +49,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/maskwright-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what stored() wrote; for tables from which everything has been derived and written."""
+    _delete(df.sparkSession, df._stored_at)
 
 
 def crc_mod(column: str, n: int) -> F.Column:

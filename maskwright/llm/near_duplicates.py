@@ -13,13 +13,15 @@ every member is paired with one hub, the member whose sketch values are the most
 estimates each pair's similarity; pairs that may reach the threshold are verified on full
 sets.
 
-The rest, exactly. Lists that the hub's links do not join into one label are compared
-member by member on full sets, in blocks of at most BLOCK by BLOCK inside a task, which
-returns a spanning forest of the links and no other pairs. So every pair that shares a
+The rest, exactly. Members of lists of three or more are also compared with each other, in
+blocks of bounded size inside a task: first by the values that their sketches
+share, which leaves the members that may have a partner other than the hub; then, in
+lists that the hub's links do not join into one label, on full sets. A task returns
+members, then a spanning forest of links, never all pairs. So every pair that shares a
 list is decided, no list is capped, and no group is collected in one task.
 
-Full sets are made for members of lists only, by a second pass over the texts; a bitmap
-of fixed size tells them, so it lets some others through but misses none.
+Full sets are made only for nodes that an estimate left, by a second pass over the texts;
+a bitmap of fixed size tells them, so it lets some others through but misses none.
 
 Defined cases: null and empty texts have an empty set and no links (kept, their own
 component); texts of fewer words than a shingle are one shingle; repeated rows share a
@@ -34,21 +36,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import WORD, discard, stored
 from .components import connected
 from .hashing import combine, mix, text_bytes, word_hashes, word_spans
 
 SKETCH = 64
-CELLS = 1 << 22
+CELLS = 1 << 21
 BITMAP = 1 << 26
 SEGMENTS = 64
-BLOCK = 1024
+#: Members of a list that are compared at once, by number and by values of their sets together.
+BLOCK, BLOCK_VALUES = 2560, 1 << 20
 #: Members of lists that one task of the exact comparison holds, unless a single list has more.
 TASK_MEMBERS = 3000
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_500_000
 #: Shared values that two sketches of similar large sets have at least (see the docstring).
 LARGE_SHARE = 0.625
 
@@ -103,32 +106,31 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
 
-def _gathered(rows: DataFrame, fill, size: int, join) -> np.ndarray:
-    """A table of `size` counters that every task fills and that are joined segment by segment; size is fixed, whatever the rows."""
-    part = size // SEGMENTS
+def _gathered(rows: DataFrame, fill, size: int, join: np.ufunc) -> np.ndarray:
+    """A table of `size` cells that every task fills and that are joined segment by segment; its size is fixed, whatever the rows."""
+    part, kind = size // SEGMENTS, np.dtype(np.uint32 if join is np.add else np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size, np.uint32 if join is np.add else np.uint8)
+        table = np.zeros(size, kind)
         for batch in batches:
-            fill(table, batch)
-        cut = [s for s in range(SEGMENTS) if table[s * part : (s + 1) * part].any()]
-        data = [(np.packbits(x) if join is not np.add else x).tobytes() for s in cut for x in [table[s * part : (s + 1) * part]]]
-        yield pa.RecordBatch.from_arrays([pa.array(cut, pa.int32()), pa.array(data, pa.binary())], ["segment", "data"])
+            if batch.num_rows:
+                fill(table, batch)
+        for s in range(SEGMENTS):
+            x = table[s * part : (s + 1) * part]
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["segment", "data"])
 
     def merged(group: pa.Table) -> pa.Table:
-        kind = np.uint32 if join is np.add else np.uint8
-        total = None
+        total = np.zeros(part, kind)
         for x in group.column("data"):
-            x = np.frombuffer(x.as_py(), kind)
-            total = x.copy() if total is None else join(total, x, out=total)
+            join(total, np.frombuffer(x.as_py(), kind), out=total)
         return pa.table({"segment": group.column("segment").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
 
     schema = "segment int, data binary"
     found = rows.mapInArrow(run, schema).groupBy("segment").applyInArrow(merged, schema).toArrow()
-    out = np.zeros(size, np.uint32 if join is np.add else np.uint8)
+    out = np.zeros(size, kind)
     for s, x in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
-        got = np.frombuffer(x, out.dtype)
-        out[s * part : (s + 1) * part] = got if join is np.add else np.unpackbits(got)
+        out[s * part : (s + 1) * part] = np.frombuffer(x, kind)
     return out
 
 
@@ -141,27 +143,26 @@ def _flat(column: pa.Array) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n (size of the set), node, sketch; written once."""
+    """doc_id, h (a hash of the text), n (size of the set), node, sketch; written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in _blocks(batch, 1):
                 sets = shingle_sets(raw, offsets, width)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), _lists([s[:SKETCH] for s in sets])],
-                    ["doc_id", "n", "node", "sketch"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), _lists([s[:SKETCH] for s in sets])],
+                    ["doc_id", "h", "n", "node", "sketch"],
                 )
 
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, "doc_id long, n long, node long, sketch array<long>"), "sketches")
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), F.xxhash64(docs[text]).alias("h"))
+    return stored(rows.mapInArrow(run, "doc_id long, h long, n long, node long, sketch array<long>"), "sketches")
 
 
 def _entries(nodes: DataFrame, threshold: float) -> DataFrame:
     """value, node, n, score: for each node the rarest values of its sketch."""
 
     def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
-        if batch.num_rows:
-            table += np.bincount(_cell(_flat(batch.column(0))), minlength=CELLS).astype(np.uint32)
+        table += np.bincount(_cell(_flat(batch.column(0))), minlength=CELLS).astype(np.uint32)
 
     held = nodes.sparkSession.sparkContext.broadcast(_gathered(nodes.select("sketch"), fill, CELLS, np.add))
 
@@ -175,7 +176,6 @@ def _entries(nodes: DataFrame, threshold: float) -> DataFrame:
             for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
                 c, v = count[a:b], flat[a:b]
                 rare = np.lexsort((v, c))[: len(v) - shared_at_least(int(n[i]), threshold) + 1]
-                rare = rare[c[rare] > 1]  # a value in a cell of its own has no other node
                 values.append(v[rare])
                 owners.append(np.full(len(rare), node[i]))
                 sizes.append(np.full(len(rare), n[i]))
@@ -190,9 +190,10 @@ def _full_sets(docs: DataFrame, members: DataFrame, width: int, text: str, key:
     """node, shingles for the nodes of members (node, rep); written once."""
 
     def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
-        table[_slot(batch.column(0).to_numpy(), batch.column(1).fill_null(-1).to_numpy())] = 1
+        at = _slot(batch.column(0).to_numpy(), batch.column(1).fill_null(-1).to_numpy())
+        np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(_gathered(members.select("node", "rep"), fill, BITMAP, np.bitwise_or)))
+    held = docs.sparkSession.sparkContext.broadcast(_gathered(members.select("node", "rep"), fill, BITMAP // 8, np.bitwise_or))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
@@ -201,12 +202,12 @@ def _full_sets(docs: DataFrame, members: DataFrame, width: int, text: str, key:
                 sets = shingle_sets(raw, offsets, width)
                 node = np.array([_node(s) if len(s) else -1 for s in sets], np.int64)
                 at = _slot(node, batch.column(0).slice(lo, hi - lo).fill_null(-1).to_numpy())
-                wanted = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & (node >= 0))
+                wanted = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (node >= 0))
                 yield pa.RecordBatch.from_arrays([pa.array(node[wanted]), _lists([sets[i] for i in wanted])], ["node", "shingles"])
 
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    found = rows.mapInArrow(run, "node long, shingles array<long>").join(members.select("node"), "node", "left_semi")
-    return stored(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    # rows that repeat in full give a set twice, and the bitmap lets some others through: neither changes a result
+    return stored(rows.mapInArrow(run, "node long, shingles array<long>"), "sets")
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -270,77 +271,137 @@ def _forest(nodes_a: np.ndarray, sets_a: list[np.ndarray], labels_a: np.ndarray,
     return out
 
 
-def links(docs: DataFrame, sketched: DataFrame, width: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """a, b: links between nodes that join exactly the nodes which similar pairs join."""
+def _unlike(members: DataFrame) -> DataFrame:
+    """members without lists that have the same members as another list: comparing them again tells nothing new."""
+    whole = members.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    return members.join(whole.groupBy("n", "x", "y").agg(F.min("value").alias("value")).select("value"), "value", "left_semi")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """members (value, node, size and weight of the list, ...): lists cut into blocks, one row for each block that its block meets, and the task that gets it."""
+    n_tasks = max(1, -(-members.count() // TASK_MEMBERS))
+    cut = members.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / BLOCK_VALUES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    task = F.when(F.col("blocks") > 1, F.xxhash64("value", "i", "j")).otherwise(F.pmod(F.xxhash64("value"), F.lit(n_tasks)))
+    # far more rows than Spark expects of them, so never broadcast
+    return met.withColumn("task", task).drop("blocks", "other", "size", "weight").hint("merge")
+
+
+def _per_list(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each (list, block, block) of a task: those of the first block and those of the second."""
+    value, i, j, own, node = (group.column(c).to_numpy() for c in ("value", "i", "j", "own", "node"))
+    order = np.lexsort((node, own, j, i, value))
+    keys = np.column_stack([value, i, j])[order]
+    new = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+    for rows in np.split(order, new) if len(order) else []:
+        a, b = rows[own[rows] == i[rows]], rows[own[rows] == j[rows]]
+        if len(a) and len(b):
+            yield a, b
+
+
+def _cells_of(group: pa.Table, column: str) -> list[np.ndarray]:
+    held = group.column(column).combine_chunks()
+    values, at = held.values.to_numpy(zero_copy_only=False), held.offsets.to_numpy()
+    return [values[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+def _active(inverted: DataFrame, short: DataFrame, threshold: float) -> DataFrame:
+    """value, node, n: members of lists of three or more whose sketch may reach that of another member, the hub aside."""
+    least = {n: shared_at_least(n, threshold) for n in range(1, SKETCH + 2)}
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, hub, n, value = (group.column(c).to_numpy() for c in ("node", "hub", "n", "value"))
+        sketch = _cells_of(group, "sketch")
+        need = np.array([least[min(int(x), SKETCH + 1)] for x in n], np.float32)
+        out: set[tuple[int, int]] = set()
+        for a, b in _per_list(group):
+            shared = _overlaps([sketch[k] for k in a], [sketch[k] for k in b])
+            likely = shared >= np.minimum(need[a][:, None], need[b][None, :])
+            likely &= (node[a][:, None] != node[b][None, :]) & (node[a] != hub[a])[:, None] & (node[b] != hub[b])[None, :]
+            likely &= np.minimum(n[a][:, None], n[b][None, :]) >= threshold * np.maximum(n[a][:, None], n[b][None, :])
+            out.update((int(value[k]), int(node[k])) for k in np.concatenate([a[likely.any(axis=1)], b[likely.any(axis=0)]]))
+        x = np.array(sorted(out), np.int64).reshape(-1, 2)
+        return pa.table({"value": x[:, 0], "node": x[:, 1]})
+
+    members = inverted.where("members > 2").select("value", "node", "hub", F.col("members").alias("size"), (F.col("members") * SKETCH).alias("weight"))
+    tasks = _dealt(stored(_unlike(members), "members")).join(short, "node")
+    found = tasks.groupBy("task").applyInArrow(compare, "value long, node long").distinct()
+    return found.join(inverted.select("value", "node", "n"), ["value", "node"])
+
+
+def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """a, b: links between nodes that join exactly the nodes which similar pairs join. nodes: node, rep, n, sketch."""
     threshold = percent / 100
-    nodes = stored(sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     entries = _entries(nodes, threshold)
-    by_value = entries.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("score", "node")).alias("best")).where("members > 1")
-    inverted = stored(entries.join(by_value.select("value", "members", F.col("best.node").alias("hub")), "value").select("value", "node", "n", "members", "hub"), "lists")
+    by_value = entries.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("score", "node", "n")).alias("best")).where("members > 1")
+    inverted = entries.join(by_value.select("value", "members", F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n")), "value")
+    inverted = stored(inverted.select("value", "node", "n", "members", "hub", "hub_n"), "lists")
 
-    member_nodes = inverted.select("node").distinct()
-    sets = _full_sets(docs, nodes.join(member_nodes, "node", "left_semi").select("node", "rep"), width, text, key)
-
-    pairs = inverted.where("node <> hub").select("node", "hub").distinct()
+    # every member with its list's hub: estimates from union sketches
     short = nodes.select("node", "n", "sketch")
+    pairs = inverted.where(f"node <> hub AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select("node", "hub").distinct()
     met = pairs.join(short, "node").join(short.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hub")
-    met = met.where((100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
-    union = F.slice(F.array_sort(F.array_union("sketch", "hub_sketch")), 1, SKETCH)
+    both = F.array_union("sketch", "hub_sketch")
+    union = F.slice(F.array_sort(both), 1, SKETCH)
     shared = F.size(F.array_intersect(union, F.array_intersect("sketch", "hub_sketch")))
-    whole = (F.col("n") <= SKETCH) & (F.col("hub_n") <= SKETCH) & (F.size(F.array_union("sketch", "hub_sketch")) <= SKETCH)
-    likely = met.withColumn("shared", shared).withColumn("union", F.size(union)).where(F.when(whole, 100 * F.col("shared") >= percent * F.col("union")).otherwise(F.col("shared") >= F.lit(LARGE_SHARE) * F.col("union")))
+    whole = (F.col("n") <= SKETCH) & (F.col("hub_n") <= SKETCH) & (F.size(both) <= SKETCH)
+    may = F.when(whole, 100 * shared >= percent * F.size(union)).otherwise(shared >= F.lit(LARGE_SHARE) * F.size(union))
+    likely = stored(met.where(may).select("node", "hub", "n", "hub_n"), "likely")
+
+    active = stored(_active(inverted, short, threshold), "active")
+    wanted = likely.select("node").unionAll(likely.select("hub")).unionAll(active.select("node")).distinct()
+    sets = _full_sets(docs, nodes.select("node", "rep").join(wanted, "node", "left_semi"), width, text, key)
+
     full = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles"))
-    exact = likely.select("node", "hub", "n", "hub_n").join(sets, "node").join(full, "hub").withColumn("both", F.size(F.array_intersect("shingles", "hub_shingles")))
-    starred = stored(exact.where(100 * F.col("both") >= percent * (F.col("n") + F.col("hub_n") - F.col("both"))).select(F.col("node").alias("a"), F.col("hub").alias("b")), "links")
+    exact = likely.join(sets, "node").join(full, "hub").withColumn("both", F.size(F.array_intersect("shingles", "hub_shingles")))
+    starred = stored(exact.where(100 * F.col("both") >= percent * (F.col("n") + F.col("hub_n") - F.col("both"))).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "links")
 
     # one step along the stars: enough to see that a list is joined, never wrong
-    label = starred.select(F.col("a").alias("node"), F.col("b").alias("hub")).groupBy("node").agg(F.min("hub").alias("hub"))
-    labelled = inverted.join(label.withColumnRenamed("hub", "to"), "node", "left").select("value", "node", "members", F.coalesce("to", "node").alias("label"))
-    labelled = stored(labelled, "labels")
-    open_lists = labelled.groupBy("value").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.first("members").alias("size")).where("least < most AND size > 2").select("value")
-    left = labelled.join(open_lists, "value", "left_semi")
-    n_tasks = max(1, -(-left.count() // TASK_MEMBERS))
-    left = left.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    task = F.when(F.col("blocks") > 1, F.xxhash64("value", "i", "j")).otherwise(F.pmod(F.xxhash64("value"), F.lit(n_tasks)))
-    tasks = dealt.select(task.alias("task"), "value", "i", "j", "own", "node", "label").hint("merge").join(sets, "node")
+    label = starred.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
+    labelled = stored(active.join(label, "node", "left").select("value", "node", "n", F.coalesce("to", "node").alias("label")), "labels")
+    open_lists = labelled.groupBy("value").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("least < most")
+    tasks = _dealt(stored(_unlike(labelled.join(open_lists.drop("least", "most"), "value").drop("n")), "members")).join(sets, "node")
 
     def compare(group: pa.Table) -> pa.Table:
-        value, i, j, own, node, own_label = (group.column(c).to_numpy() for c in ("value", "i", "j", "own", "node", "label"))
-        held = group.column("shingles").combine_chunks()
-        values, at = held.values.to_numpy(zero_copy_only=False), held.offsets.to_numpy()
-        order = np.lexsort((node, own, j, i, value))
-        new = np.flatnonzero(np.any(np.diff(np.column_stack([value, i, j])[order], axis=0, prepend=-1) != 0, axis=1))
+        node, own_label = group.column("node").to_numpy(), group.column("label").to_numpy()
+        held = _cells_of(group, "shingles")
         out: set[tuple[int, int]] = set()
-        for rows in np.split(order, new[1:]) if len(order) else []:
-            sets = [values[at[r] : at[r + 1]] for r in rows]
-            a = [k for k, r in enumerate(rows) if own[r] == i[r]]
-            b = [k for k, r in enumerate(rows) if own[r] == j[r]]
-            if not a or not b:
-                continue
-            n, t = node[rows], own_label[rows]
-            out.update(_forest(n[a], [sets[k] for k in a], t[a], n[b], [sets[k] for k in b], t[b], percent))
+        for a, b in _per_list(group):
+            out.update(_forest(node[a], [held[k] for k in a], own_label[a], node[b], [held[k] for k in b], own_label[b], percent))
         x = np.array(sorted(out), np.int64).reshape(-1, 2)
         return pa.table({"a": x[:, 0], "b": x[:, 1]})
 
-    rest = tasks.groupBy("task").applyInArrow(compare, "a long, b long")
-    return starred.unionAll(rest)
+    return starred.unionAll(tasks.groupBy("task").applyInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, group_id for each row of docs.
+    """doc_id, h, n_shingles, component_id, kept, group_id for each row of docs.
 
     width: words of a shingle. percent: least similarity in percent. group_id names the
-    component also where doc_id does not (it is null for rows without words).
+    component also where doc_id does not (it is null for rows without words); h is a hash of the text.
     """
     sketched = sketches(docs, width, text, key)
-    rows = sketched.select("doc_id", "n", "node")
-    roots = connected(links(docs, sketched, width, percent, text, key))
-    rep = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    rooted = rep.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("group_id"))
+    rows = stored(sketched.select("doc_id", "h", "n", "node"), "rows")
+    nodes = stored(sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    discard(sketched)
+    roots = connected(links(docs, nodes, width, percent, text, key))
+    rooted = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("group_id"))
     rooted = stored(rooted, "groups")
     first = rooted.groupBy("group_id").agg(F.min("rep").alias("component_id"))
     named = rooted.join(first, "group_id").select("node", "group_id", "component_id")
     out = rows.join(named, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "group_id")
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "group_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs, with all their columns, without near duplicates: of each component the row with the smallest doc_id stays, and rows without words stay."""
+    found = near_duplicates(docs, width, percent, text, key)
+    alone = F.col("group_id").isNull()
+    first = found.where(~alone).groupBy("group_id").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("first.doc_id", "first.h")
+    keep = first.unionAll(found.where(alone).select("doc_id", "h").distinct()).select(F.col("doc_id").alias("__doc"), F.col("h").alias("__hash"))
+    own = docs.withColumn("__own", F.xxhash64(docs[text])).withColumn("__key", docs[key].cast("long"))
+    held = own.join(keep, F.col("__key").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__hash")), "left_semi")
+    # rows that agree in doc_id and text are one document, unless they have no words
+    nth = F.row_number().over(Window.partitionBy("__key", "__own").orderBy("__key"))
+    return held.withColumn("__nth", nth).where((F.col("__nth") == 1) | ~F.coalesce(held[text], F.lit("")).rlike(WORD)).drop("__own", "__key", "__nth")

@@ -36,7 +36,7 @@ def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("group_id")
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("group_id", "h")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
