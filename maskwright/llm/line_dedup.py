@@ -45,9 +45,13 @@ def _segment(n: F.Column, i: int, edits: int) -> tuple[F.Column, F.Column]:
     return base * i + F.greatest(F.lit(i) - long_from, F.lit(0)), base + (F.lit(i) >= long_from).cast("int")
 
 
-def segment_keys(line: F.Column, edits: int) -> F.Column:
-    """Index keys first (edits + 1 of them), then the keys to probe in shorter lines and shifted places."""
-    length = F.length(line)
+def segment_keys(wide: F.Column, edits: int) -> F.Column:
+    """Index keys first (edits + 1 of them), then the keys to probe in shorter lines and shifted places.
+
+    wide: the line in UTF-32, four bytes a character, so that a substring is found
+    without counting characters from the line's start.
+    """
+    length = (F.octet_length(wide) / 4).cast("int")
     own, probes = [], []
     for shorter in range(edits + 1):
         n = length - shorter
@@ -57,7 +61,7 @@ def segment_keys(line: F.Column, edits: int) -> F.Column:
             high = min(i, shorter + (edits - i))
             for shift in range(low, high + 1):
                 at = start + shift
-                key = F.xxhash64(n, F.lit(i), F.substring(line, at + 1, size))
+                key = F.xxhash64(n, F.lit(i), F.substring(wide, at * 4 + 1, size * 4))
                 if shorter == 0 and shift == 0:
                     own.append(key)
                 else:
@@ -68,14 +72,15 @@ def segment_keys(line: F.Column, edits: int) -> F.Column:
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, h, line_no, line for all lines long enough. docs: doc_id, h, text."""
     lines = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.select("doc_id", "h", "line_no", F.trim("line").alias("line")).where(F.length("line") >= min_chars)
+    return lines.select("doc_id", "h", "line_no", F.trim(F.make_valid_utf8("line")).alias("line")).where(F.length("line") >= min_chars)
 
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """a, b: hashes of different lines that are linked; lines: one column `line`."""
     # the keys are a column of their own first: a projection computes what they share once, a generator would not
     # (outer, because the filter that Spark infers for a plain explode would compute them again)
-    keyed = lines.select("line", F.xxhash64("line").alias("id"), segment_keys(F.col("line"), edits).alias("keys"))
+    keyed = lines.select("line", F.encode("line", "UTF-32").alias("wide"))
+    keyed = keyed.select("line", F.xxhash64("line").alias("id"), segment_keys(F.col("wide"), edits).alias("keys"))
     keyed = keyed.select("line", "id", F.posexplode_outer("keys").alias("nth", "key")).where("key IS NOT NULL")
     index = F.col("nth") <= edits
     by_key = keyed.select("key", "id", index.alias("index")).groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("index").alias("index"))
