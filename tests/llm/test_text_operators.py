@@ -1,0 +1,220 @@
+"""Tokens, secrets, personal data, toxicity and language model against plain versions."""
+
+import collections
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from maskwright.llm import automaton, hashing, language_model, personal_data, secrets, token_counts, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _docs(spark, texts, first=0):
+    return spark.createDataFrame([(first + i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+
+
+ODD = ["", None, " ", "  \n", "x ", "x  ", " x", "a  b\n c", "▁a ▁ b", "<s> hi</s>", "a　b", "ñ ß 日本 語", "🎉 🎉", "x" * 5000 + " y" * 300]
+
+
+def test_words_are_ascii_runs():
+    texts = [*ODD, "A\x0bB\x0cc\td  E", "É Ü"]
+    hashes, first = hashing.words_of(pa.array(texts))
+    seen = {}
+    for i, t in enumerate(texts):
+        words = bytes(t or "", "utf8").lower().split()
+        own = hashes[first[i] : first[i + 1]]
+        assert len(own) == len(words)
+        for w, h in zip(words, own, strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_hash_does_not_depend_on_the_place():
+    a, _ = hashing.words_of(pa.array(["q" * 70_000 + " word"]))
+    b, _ = hashing.words_of(pa.array(["word"]))
+    assert a[1] == b[0]
+
+
+def test_token_counts_equal_the_library(spark):
+    import sentencepiece
+
+    path = token_counts.tokenizer_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(1)
+    texts = ODD + ["".join(r.choice(["the", " ", "  ", "\n", "é", "▁", "0x", "ing", "<s>", "\t"]) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    got = {x.doc_id: x for x in token_counts.count_tokens(_docs(spark, texts), path, limit=100).collect()}
+    for i, t in enumerate(texts):
+        n = len(model.encode(t or ""))
+        assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 100)
+
+
+def test_empty_tables(spark):
+    none = _docs(spark, [])
+    path = token_counts.tokenizer_path("piece_bpe_32k.model")
+    assert token_counts.count_tokens(none, path).count() == 0
+    assert secrets.find_secrets(none).count() == 0
+    assert personal_data.find_personal_data(none, personal_data.fit(none)).count() == 0
+    assert language_model.score(none, language_model.fit(none, none.doc_id > 0)).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score(none, toxicity.fit_on_folds(none, labels)).count() == 0
+
+
+@pytest.mark.parametrize("pattern", ["a(b|cd)*e", "[0-9]{3}x?", "(?i:ab)c{2,}", "(a|b|ab)(c|bcd)"])
+def test_automaton_matches_where_re_does(pattern):
+    a = automaton.compile_rules([pattern, "zz"])
+    r = random.Random(2)
+    for _ in range(60):
+        text = "".join(r.choice("abcdex0123AB z") for _ in range(r.randint(0, 30)))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        at, bits = automaton.scan(a, raw, np.array([0, len(raw)]))
+        got = {int(p) for p, b in zip(at, bits, strict=True) if b & 1}
+        want = {e - 1 for e in range(1, len(text) + 1) if any(re.fullmatch(pattern, text[s:e]) for s in range(e))}
+        assert got == want
+
+
+def test_lanes_do_not_change_a_scan(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice(["token", "=", " ", "abcdefgh", "0f" * 10, "\n", "AKIA", "ABCDEFGH", "z"]) for _ in range(300)) for _ in range(20)]
+    raw, offsets = hashing.text_bytes(pa.array(texts))
+    found = {}
+    for lane in (8, 256, 1 << 30):
+        monkeypatch.setattr(automaton, "LANE", lane)
+        at, bits = automaton.scan(secrets.automaton(), raw, offsets)
+        found[lane] = sorted(zip(at.tolist(), bits.tolist(), strict=True))
+    assert found[8] == found[256] == found[1 << 30]
+
+
+def _plain_secrets(text):
+    keyword = "(?:" + re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", "password|passwd|secret|token|api_?key") + ")"
+    rules = [("assign", keyword + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)]
+    found = [(m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(rules) for m in re.finditer(p, text) if len(m[g]) >= n]
+    return [(rules[k][0], s, e) for s, k, e in sorted(found)]
+
+
+def test_secrets_equal_plain_search(spark):
+    r = random.Random(4)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "apikey", '"', "'", " ", ":", "=", "abc", "deadbeef", "0123456789", "AKIA", "ABCDEFGHIJ", "\n", "é", "/+_.-", "ſecret", "K"]
+    texts = [None, "", "token=" + "a" * 3000, "a" * 50_000] + ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(1500)]
+    got = {x.doc_id: [(s.kind, s.start, s.end) for s in x.spans if s.base] for x in secrets.find_secrets(_docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == _plain_secrets(t or "")
+
+
+def test_further_formats():
+    key = "ghp_" + "a1B2" * 9
+    assert ("github", 3, 43) in secrets.find_text("is " + key)
+    assert secrets.find_text("ghp_short and xoxb-") == []
+
+
+def _plain_personal(t):
+    out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and personal_data.luhn(d):
+            out.append((2, *m.span()))
+    return out + [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_base_spans_equal_plain_search():
+    r = random.Random(5)
+    bits = ["a", "b.c", "@", "@x.y", "_", "%", "+", "1", "23", "255", "256", ".", "-", " ", "(", ")", "4111111111111111", "é", "\n", "00000"]
+    for _ in range(20_000):
+        t = "".join(r.choice(bits) for _ in range(r.randint(0, 18)))
+        assert personal_data.base_spans(t) == _plain_personal(t)
+
+
+def test_long_texts_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "1 " * 150_000):
+        personal_data.find_text(text, personal_data.train([]))
+
+
+def test_repeated_mention_gets_the_label(spark):
+    rows = [f"mail {n}.x@host.org and 4111111111111111 at 10.0.0.{n} or +49 151 1234{n:04d}, not 1234567 or 99.2.1{n}" for n in range(60)]
+    field = personal_data.fit(_docs(spark, rows))
+    told = personal_data.find_text("mail bob.x@intranet, later bob.x@host.org", field)
+    assert any(not base and (kind, start) == (0, 5) for kind, start, _, base in told)
+    assert personal_data.find_text("number 1234567 alone", field) == []
+
+
+def test_messages_agree_with_enumeration():
+    r = np.random.default_rng(6)
+    k = len(personal_data.LABELS)
+    field = personal_data.Field(r.normal(size=(3, k)), r.normal(size=(k, k)) * 0.5, np.eye(k))
+    x = r.normal(size=(3, 3))
+    p = personal_data.marginals(field, x, np.array([-1, -1, -1]), ["a", "b", "c"])  # a chain: exact
+    total = np.zeros((3, k))
+    for a in range(k):
+        for b in range(k):
+            for c in range(k):
+                w = math.exp(sum((x @ field.node)[i, v] for i, v in enumerate((a, b, c))) + field.chain[a, b] + field.chain[b, c])
+                for i, v in enumerate((a, b, c)):
+                    total[i, v] += w
+    assert np.allclose(p, total / total.sum(axis=1, keepdims=True), atol=1e-4)
+
+
+def test_toxicity_is_learned(spark):
+    r = random.Random(7)
+    plain, bad = [f"word{i}" for i in range(300)], ["idiotic", "scumbag", "wretchling"]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        rows.append((i, " ".join(r.choice(plain) for _ in range(40)) + (f" {r.choice(bad)}{r.choice(['', 's', 'ish'])} x" if toxic else ""), None, None, None))
+        labels.append((i, 1, int(toxic)))
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit_on_folds(docs, known)
+    got = {x.doc_id: x for x in toxicity.score(docs, model).collect()}
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = sum(got[i].predicted == int(i % 3 == 0) for i in held) / len(held)
+    assert right > 0.95 and all(0 <= x.score <= 1 for x in got.values())
+    kept = {x.doc_id for x in toxicity.keep_ordinary(docs, model).collect()}
+    assert kept == {i for i, x in got.items() if not x.predicted}
+    assert toxicity.score(spark.createDataFrame([(1, None, None, None, None), (2, "", None, None, None)], DOCS), model).where("predicted = 1").count() == 0
+
+
+def test_one_class_of_labels_scores_nothing(spark):
+    docs = _docs(spark, ["a b", "c d"])
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, None)], "doc_id long, quality int, toxic int")
+    assert [x.score for x in toxicity.score(docs, toxicity.fit_on_folds(docs, labels)).collect()] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("hot", [300_000, 3])
+def test_base_score(spark, monkeypatch, hot):
+    monkeypatch.setattr(language_model, "HOT", hot)
+    r = random.Random(8)
+    texts = [None, "", "ONE one é"] + [" ".join(r.choice(["the", "of", f"w{r.randint(0, 60)}"]) for _ in range(r.randint(1, 50))) for _ in range(200)]
+    docs = _docs(spark, texts)
+    docs = docs.unionAll(docs.where("doc_id = 5"))
+    got = language_model.score(docs, language_model.fit(docs, docs.doc_id % 3 != 0)).collect()
+    tokens = {i: [*bytes(t or "", "utf8").lower().split(), None] for i, t in enumerate(texts)}
+    counts = collections.Counter()
+    for i, t in tokens.items():
+        if i % 3:
+            counts.update(t * (2 if i == 5 else 1))
+    n, v = sum(counts.values()), len(counts)
+    assert len(got) == len(texts) + 1
+    for x in got:
+        t = tokens[x.doc_id]
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (len(t), sum(counts[w] > 0 for w in t), n)
+        assert math.isclose(x.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
+        assert x.score <= 0
+
+
+def test_filter_counts_are_near_and_never_too_low():
+    keys = hashing.mix(np.arange(1, 4000, dtype=np.uint64)) & ~np.uint64(0xFF)
+    counts = np.random.default_rng(9).integers(1, 500, len(keys))
+    bits, at = b"", [0]
+    for b in range(language_model.BUCKETS):
+        own = language_model._bucket(keys) == b
+        bits += language_model._shard(keys[own], counts[own], np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        at.append(len(bits))
+    model = language_model.Model(bits, np.array(at), 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(40))
+    found, true = model.levels(keys), language_model._level(counts, 1)
+    assert (found >= true).all() and (found == true).mean() > 0.9
+    assert (model.levels(hashing.mix(np.arange(10_000, 20_000, dtype=np.uint64))) > 0).mean() < 0.1
