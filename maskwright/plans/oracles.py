@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..operators import detect, validate
+from . import fixtures
+
 # Patterns in DuckDB's dialect: no look-around, word characters of all scripts spelled out.
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 EMAIL = r"\b[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+\b"
@@ -103,7 +106,142 @@ def _count_types(read: str) -> str:
 
 _TOKENS = _spans("tok", r"[^\s]+", "TOKEN")
 
+# ---- fixtures -------------------------------------------------------------------------------
+_STREETS = "|".join(detect.STREET_WORDS)
+_COMPANY = rf"\b(?:[Ff]ormerly\s+)?(?:[A-Z][a-zA-Z0-9&]*\s+)+(?:(?:and|of|&)\s+)?(?:[A-Z][a-zA-Z0-9&]*\s+)*(?:{'|'.join(detect.COMPANY_ENDS)})\b"
+_STREET = rf"\b[0-9]+[a-zA-Z]?(?:-[0-9]+[a-zA-Z]?)?\s+(?:[A-Z][a-zA-Z0-9.,-]*\s+){{1,4}}(?:{_STREETS})(?:,\s*[A-Z][a-zA-Z0-9.-]*(?:\s+[A-Z][a-zA-Z0-9.-]*)*){{0,3}}(?:\s*-?\s*[0-9]{{5,6}})?\b"
+# without look-ahead: what ends the span is a group of its own
+_OFFICE = r"()((?i)\b(?:Registered Office|Regd\.? Off\.?|Corporate Office)\s*:\s*[A-Z0-9][a-zA-Z0-9.,\-\s]{10,120})(?:\n|$|\.)"
+_REGISTRY = r"(?i)\b(?:Registrar of Companies(?:,?\s*Central Processing Centre|\s*Maharashtra|,\s*Maharashtra)?|RoC)\b"
+_PLACE = r"\b[A-Z][a-zA-Z]+(?:-[a-zA-Z]+)?(?:\s+[A-Z][a-zA-Z]+)*,\s*[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*\s+(?:-\s*)?[0-9]{5,6}\b"
+_FIXTURE_SPANS = ",\n".join(
+    [
+        "blocks AS (SELECT *, 0 AS block_seq FROM fixture)",
+        _spans("f_ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "SSN_CANDIDATE"),
+        _spans("f_six", r"\b(?:[A-Fa-f0-9]{1,4}:){7}[A-Fa-f0-9]{1,4}\b", "IP_CANDIDATE"),
+        _spans("f_date", DATE, "DATE"),
+        _spans("f_registry", _REGISTRY, "COMPANY_CANDIDATE"),
+        _spans("f_company", _COMPANY, "COMPANY_CANDIDATE"),
+        _spans("f_street", _STREET, "ADDRESS"),
+        _spans("f_office", _OFFICE, "ADDRESS", lead=True),
+        _spans("f_place", _PLACE, "ADDRESS"),
+    ]
+)
+_AROUND = """lower(whole[greatest(start - 50, 0) + 1 : start] || ' ' || whole["end" + 1 : "end" + 50])"""
+_EDGE = " .,:;' || chr(10) || chr(13) || '"
+_DETECT_FIXTURE = rf"""WITH {fixtures.sql("texts")},
+{_FIXTURE_SPANS},
+plain AS (SELECT * FROM f_ssn UNION ALL SELECT * FROM f_six UNION ALL SELECT * FROM f_registry UNION ALL SELECT * FROM f_company),
+addresses AS (SELECT * FROM f_street UNION ALL SELECT * FROM f_office UNION ALL SELECT * FROM f_place),
+cut AS (SELECT doc_id, (start + len(text) - len(ltrim(text, '{_EDGE}')))::BIGINT AS start, trim(text, '{_EDGE}') AS text FROM addresses)
+SELECT doc_id, entity_type, start, "end", text FROM plain
+UNION ALL SELECT doc_id, CASE WHEN regexp_matches({_AROUND}, 'birth|dob|born|d\.o\.b') THEN 'DATE_OF_BIRTH' ELSE 'DATE_CANDIDATE' END, start, "end", text FROM f_date
+UNION ALL SELECT doc_id, 'ADDRESS', start, start + len(text), text FROM cut WHERE len(text) > 8"""
+
+_S = "CASE WHEN {x}.k IN ('EMAIL', 'SSN', 'CREDIT_CARD', 'IP_ADDRESS') THEN 3 WHEN {x}.k IN ('DATE_OF_BIRTH', 'PHONE', 'DATE', 'ADDRESS') THEN 2 ELSE 1 END"
+_CS, _RS = _S.format(x="c"), _S.format(x="r")
+_SAME = "(c.k = r.k OR (c.k IN ('DATE', 'DATE_OF_BIRTH') AND r.k IN ('DATE', 'DATE_OF_BIRTH')))"
+_WINS = f"""CASE WHEN c.k = 'DATE_OF_BIRTH' AND r.k = 'DATE' THEN true WHEN r.k = 'DATE_OF_BIRTH' AND c.k = 'DATE' THEN false
+ WHEN r.s <= c.s AND c.e <= r.e AND (r.s < c.s OR c.e < r.e) THEN NOT {_SAME} AND {_CS} > {_RS}
+ WHEN c.s <= r.s AND r.e <= c.e AND (c.s < r.s OR r.e < c.e) THEN {_SAME} OR {_CS} >= {_RS}
+ WHEN {_CS} <> {_RS} THEN {_CS} > {_RS} WHEN c.p <> r.p THEN c.p > r.p WHEN c.e - c.s <> r.e - r.s THEN c.e - c.s > r.e - r.s
+ WHEN c.s <> r.s THEN c.s < r.s ELSE c.k < r.k END"""
+_CANONICAL_ALL = "CASE entity_type WHEN 'EMAIL_ADDRESS' THEN 'EMAIL' WHEN 'IP_CANDIDATE' THEN 'IP_ADDRESS' ELSE entity_type END"
+_FUSE_FIXTURE = f"""WITH {fixtures.sql("spans")},
+named AS (SELECT doc_id, {_CANONICAL_ALL} AS k, start AS s, "end" AS e, max(confidence) AS p, count(*) AS n FROM fixture GROUP BY ALL),
+ranked AS (SELECT doc_id, {{'s': s, 'e': e, 'k': k, 'p': p, 'n': n}} AS c, row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, {_S.format(x="named")} DESC, p DESC, k) AS o FROM named),
+lists AS (SELECT doc_id, list(c ORDER BY o) AS l FROM ranked GROUP BY 1),
+folded AS (SELECT doc_id, list_reduce(list_transform(l, lambda x: [x]), lambda acc, one: CASE
+  WHEN len(list_filter(acc, lambda r: r.s < one[1].e AND one[1].s < r.e)) = len(list_filter(acc, lambda r: r.s < one[1].e AND one[1].s < r.e AND ({_WINS.replace('c.', 'one[1].')})))
+  THEN list_concat(list_filter(acc, lambda r: NOT (r.s < one[1].e AND one[1].s < r.e)), one) ELSE acc END) AS l FROM lists)
+SELECT doc_id, x.k AS entity_type, x.s::BIGINT AS start, x.e::BIGINT AS "end", x.p AS confidence, x.n AS n_sources FROM (SELECT doc_id, unnest(l) AS x FROM folded)"""
+
+
+def _list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_GENERIC = r"\b(" + "|".join("".join(c if c.isalnum() or c == " " else "\\" + c for c in t) for t in validate.GENERIC_TERMS) + r")\b"
+_VALIDATE_FIXTURE = rf"""WITH {fixtures.sql("contexts")},
+placed AS (SELECT doc_id, entity_type, value AS text, text AS whole, position(value IN text) - 1 AS start, position(value IN text) - 1 + len(value) AS "end", lower(trim(value)) AS clean FROM fixture),
+seen AS (SELECT *, list_slice(list_reverse(regexp_extract_all(lower(whole[1 : start]), '\w+')), 1, 5) AS five, lower(whole[greatest(start - 50, 0) + 1 : "end" + 50]) AS around FROM placed),
+judged AS (SELECT doc_id, entity_type, text, CASE
+  WHEN entity_type = 'PERSON' AND (list_contains({_list(validate.REGULATORS)}, clean) OR (list_contains({_list(validate.ROLES)}, clean)
+    AND NOT list_has_any(regexp_extract_all({_LEFT.format(n=20)}, '\w+'), {_list(validate.TITLES)}))) THEN 'GENERIC_DOCUMENT_TERM'
+  WHEN entity_type IN ('PHONE', 'CREDIT_CARD') AND (regexp_matches({_LEFT.format(n=20)}, '{_MONEY}') OR regexp_matches({_RIGHT}, '{_SCALES}')) THEN 'FINANCIAL_CONTEXT'
+  WHEN entity_type = 'PHONE' AND regexp_matches({_LEFT.format(n=25)}, '{_TECHNICAL}') THEN 'TECHNICAL_STANDARD'
+  WHEN entity_type = 'PERSON' AND len(list_intersect(regexp_extract_all(around, '\w+'), {_list(validate.ADDRESS_SIGNS)})) + regexp_matches(around, '\b[0-9]{{6}}\b')::INT >= 2 THEN 'ADDRESS_CONTEXT'
+  WHEN entity_type IN ('PERSON', 'COMPANY', 'LOCATION') AND regexp_matches(clean, '{_GENERIC}') AND NOT list_has_any(five, {_list(validate.PERSONAL)}) THEN 'GENERIC_DOCUMENT_TERM'
+  ELSE 'GENUINE_PII' END AS reason FROM seen)
+SELECT doc_id, entity_type, text, CASE reason WHEN 'GENUINE_PII' THEN 'KEEP' ELSE 'REJECT' END AS decision, reason FROM judged"""
+
+_STORE = rf"""{fixtures.sql("mentions")},
+named AS (SELECT *, CASE WHEN entity_type = 'PERSON' THEN trim(regexp_replace(regexp_replace(lower(text), '\b(mr|ms|mrs|dr|shri|prof|shree)\b\.?', '', 'g'), '\s+', ' ', 'g')) ELSE lower(trim(text)) END AS norm FROM fixture),
+ranked AS (SELECT *, (entity_type = 'PERSON' AND NOT contains(norm, ' ')) AS short, row_number() OVER (PARTITION BY doc_id, entity_type, norm ORDER BY block_seq, ord) AS nth FROM named),
+firsts AS (SELECT * FROM ranked WHERE nth = 1),
+fits AS (SELECT s.doc_id, s.norm, count(*) AS n, min(f.norm) AS full_name FROM firsts s JOIN firsts f ON s.doc_id = f.doc_id AND f.entity_type = 'PERSON' AND NOT f.short AND f.block_seq <= s.block_seq
+  AND list_contains(string_split(f.norm, ' '), s.norm) WHERE s.short GROUP BY ALL HAVING count(*) = 1),
+heads AS (SELECT f.*, row_number() OVER (PARTITION BY f.doc_id, f.entity_type ORDER BY f.block_seq, f.short, f.ord) AS k FROM firsts f LEFT JOIN fits a ON f.doc_id = a.doc_id AND f.norm = a.norm AND f.short WHERE a.norm IS NULL),
+direct AS (SELECT doc_id, entity_type, norm, entity_type || '_' || lpad(k::VARCHAR, 3, '0') AS id, block_seq FROM heads),
+keys AS (SELECT * FROM direct UNION ALL SELECT a.doc_id, 'PERSON', a.norm, d.id, f.block_seq FROM fits a JOIN direct d ON d.doc_id = a.doc_id AND d.entity_type = 'PERSON' AND d.norm = a.full_name JOIN firsts f ON f.doc_id = a.doc_id AND f.short AND f.norm = a.norm)"""
+_OWNERS = rf"""WITH {_STORE},
+asked AS (SELECT DISTINCT doc_id, norm, block_seq, string_split_regex(split_part(norm, '@', 1), '[._-]') AS parts FROM named WHERE entity_type = 'EMAIL'),
+shared AS (SELECT e.doc_id, e.norm, e.block_seq, k.id, len(list_intersect(e.parts, string_split(k.norm, ' '))) AS n, len(list_distinct(string_split(k.norm, ' '))) AS size
+  FROM asked e JOIN keys k ON k.doc_id = e.doc_id AND k.entity_type = 'PERSON' AND k.block_seq <= e.block_seq),
+single AS (SELECT doc_id, norm, block_seq, min(id) AS id FROM shared WHERE n > 0 AND n >= least(2, size) GROUP BY ALL HAVING count(DISTINCT id) = 1)
+SELECT s.doc_id, e.id AS email_id, arg_min(s.id, s.block_seq) AS person_id FROM single s JOIN direct e ON e.doc_id = s.doc_id AND e.entity_type = 'EMAIL' AND e.norm = s.norm GROUP BY 1, 2"""
+
+# ---- propagation and rewriting on documents ----------------------------------------------------
+_BODY = "list_transform(range(1, n), lambda i: (('0x' || substr(md5(id || '/d' || i::VARCHAR), 1, 8))::BIGINT % 10)::INT)"
+_SUM = "list_sum(list_transform(range(1, n), lambda i: CASE WHEN (n - i) % 2 = 0 THEN body[i] WHEN body[i] > 4 THEN 2 * body[i] - 9 ELSE 2 * body[i] END))"
+_FOUND = rf"""{_ENTITIES},
+hits AS (SELECT b.doc_id, b.block_seq, b.text, e.entity_type, e.original, string_split(lower(b.text), lower(e.original)) AS g FROM blocks b JOIN entities e ON b.doc_id = e.doc_id AND contains(lower(b.text), lower(e.original))),
+each AS (SELECT *, unnest(range(1, len(g))) AS i FROM hits),
+here AS (SELECT *, (list_sum(list_transform(g[1:i], lambda x: len(x))) + (i - 1) * len(original))::BIGINT AS start FROM each),
+found AS (SELECT doc_id, block_seq, entity_type, start, start + len(original) AS "end", text[start + 1 : start + len(original)] AS value FROM here
+  WHERE NOT (regexp_matches(original, '^[\p{{L}}\p{{N}}]') AND start > 0 AND regexp_matches(text[start : start], '[\p{{L}}\p{{N}}_]'))
+    AND NOT (regexp_matches(original, '[\p{{L}}\p{{N}}]$') AND regexp_matches(text[start + len(original) + 1 : start + len(original) + 1], '[\p{{L}}\p{{N}}_]')))"""
+_MANIFEST = rf"""{_FOUND},
+cards AS (SELECT *, len(regexp_replace(original, '[^0-9]', '', 'g')) AS n FROM entities WHERE entity_type = 'CREDIT_CARD'),
+bodies AS (SELECT *, {_BODY} AS body FROM cards),
+numbers AS (SELECT *, list_append(body, (10 - {_SUM}::INT % 10) % 10) AS number FROM bodies),
+new_cards AS (SELECT doc_id, id, list_aggregate(list_transform(string_split(original, ''), lambda c, i: CASE WHEN regexp_full_match(c, '[0-9]') THEN number[len(regexp_replace(original[1:i], '[^0-9]', '', 'g'))]::VARCHAR ELSE c END), 'string_agg', '') AS synthetic FROM numbers),
+made AS (SELECT e.doc_id, e.id, e.entity_type, e.norm, CASE e.entity_type WHEN 'IP_ADDRESS' THEN {_IP.replace("md5(id", "md5(e.id")} WHEN 'EMAIL' THEN 'user.' || substr(md5(e.id), 1, 10) || '@example.com'
+  WHEN 'CREDIT_CARD' THEN c.synthetic ELSE CASE WHEN {_A} <> original THEN {_A} WHEN {_B} <> original THEN {_B} ELSE {_C} END END AS synthetic
+  FROM entities e LEFT JOIN new_cards c ON e.doc_id = c.doc_id AND e.id = c.id),
+spans AS (SELECT doc_id, block_seq, entity_type, start, "end", text AS original_text FROM kept UNION SELECT doc_id, block_seq, entity_type, start, "end", value FROM found),
+manifest AS (SELECT s.doc_id, s.block_seq, s.entity_type, s.start, s."end", s.original_text, m.synthetic AS replacement_text FROM spans s JOIN made m ON m.doc_id = s.doc_id AND m.entity_type = s.entity_type AND m.norm = lower(trim(s.original_text)))"""
+_MANIFEST = _MANIFEST.replace("md5(id || '/' || 'a'", "md5(e.id || '/' || 'a'").replace("md5(id || '/' || 'b'", "md5(e.id || '/' || 'b'").replace("md5(id || '/' || 'c'", "md5(e.id || '/' || 'c'")
+_REDACTED = rf"""{_MANIFEST},
+edits AS (SELECT m.*, b.text, coalesce(lag(m."end") OVER (PARTITION BY m.doc_id, m.block_seq ORDER BY m.start), 0) AS before FROM manifest m JOIN blocks b USING (doc_id, block_seq)),
+spliced AS (SELECT doc_id, block_seq, string_agg(text[before + 1 : start] || replacement_text, '' ORDER BY start) || any_value(text)[max("end") + 1 :] AS redacted FROM edits GROUP BY 1, 2),
+redacted AS (SELECT b.doc_id, b.block_seq, coalesce(s.redacted, b.text) AS redacted FROM blocks b LEFT JOIN spliced s USING (doc_id, block_seq))"""
+_CRITICAL = "('PERSON', 'EMAIL', 'PHONE', 'CREDIT_CARD', 'SSN', 'IP_ADDRESS', 'DATE_OF_BIRTH')"
+_HINTS = {
+    "titled_name": r"\b(?:Mr\.|Ms\.|Mrs\.|Shri|Shree|Dr\.)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}\b",
+    "company_name": r"\b[A-Z][a-zA-Z0-9&]*(?:\s+[A-Z][a-zA-Z0-9&]*){1,4}\s+(?:Limited|Private Limited|LLP|Corporation|Pvt\.\s+Ltd\.|Ltd\.)",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+    "mobile": r"\b(?:\+91|91)?[6789][0-9]{9}\b",
+}
+_MISSED = rf"""WITH {_JUDGED},
+{", ".join(_spans(f"h_{n}", p, n) for n, p in _HINTS.items())},
+hints AS ({" UNION ALL ".join(f"SELECT * FROM h_{n}" for n in _HINTS)})
+SELECT doc_id, block_seq, entity_type AS hint, text, start, "end", CASE WHEN start > 30 THEN '...' ELSE '' END || whole[greatest(start - 30, 0) + 1 : "end" + 30] || CASE WHEN "end" + 30 < len(whole) THEN '...' ELSE '' END AS context
+FROM hints h WHERE NOT EXISTS (SELECT 1 FROM judged j WHERE j.doc_id = h.doc_id AND j.block_seq = h.block_seq AND j.start < h."end" AND h.start < j."end")"""
+
 ORACLES: dict[str, str] = {
+    "detect_fixture": _DETECT_FIXTURE,
+    "fuse_fixture": _FUSE_FIXTURE,
+    "validate_fixture": _VALIDATE_FIXTURE,
+    "alias_fixture": f"WITH {_STORE} SELECT doc_id, entity_type, norm, id FROM keys",
+    "email_link_fixture": _OWNERS,
+    "candidates_conversations": _count_types(_blocks("conversations", "conv_id", "text")),
+    "propagate_spans": f'WITH {_FOUND} SELECT doc_id, block_seq, entity_type, start, "end", value AS text FROM found',
+    "manifest": f'WITH {_MANIFEST} SELECT doc_id, block_seq, entity_type, start, "end", original_text, replacement_text FROM manifest',
+    "redact_documents": f"WITH {_REDACTED} SELECT doc_id, block_seq, redacted FROM redacted",
+    "assurance_gate": f"""WITH {_REDACTED}, leaked AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, original_text FROM manifest WHERE entity_type IN {_CRITICAL} AND len(trim(original_text)) > 3) o JOIN redacted r ON r.doc_id = o.doc_id AND contains(r.redacted, o.original_text))
+SELECT count(*) AS total, count(*) FILTER (WHERE entity_type IN {_CRITICAL}) AS critical, count(*) FILTER (WHERE entity_type NOT IN {_CRITICAL}) AS contextual, any_value(l.n) AS leaks, 0::BIGINT AS unplaced, any_value(l.n) = 0 AS passed FROM manifest, leaked l""",
+    "audit_missed": _MISSED,
     "blocks_scan": f"WITH {_blocks()} SELECT doc_id, block_seq, text FROM blocks",
     "detect_email": _single(_spans("c", EMAIL, "EMAIL"), "c"),
     "detect_ipv4": _single(_spans("c", IPV4, "IP_CANDIDATE"), "c"),

@@ -14,7 +14,7 @@ from ..functions.spans import left_of, spans_of
 from ..functions.tables import stored
 from ..operators import audit, detect, entities, evaluate, fuse, rewrite, synthesize, validate
 from ..sources import blocks as sources
-from . import redaction
+from . import fixtures, redaction
 
 Query = Callable[[SparkSession, str], DataFrame]
 RUN = 40  # characters of a run where a table has none
@@ -191,7 +191,41 @@ def number_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(joined.select("doc_id", "block_seq", "start", "number", detect.luhn_valid(F.col("number")).alias("luhn"), before.alias("before")))
 
 
+def detect_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detectors of what the tables do not hold: national ids, IPv6, dates, companies, addresses."""
+    names = ("ssn", "ipv6", "date", "registry", "company", "street", "office", "place_pin")
+    found = fixtures.frame(spark, "texts").select("doc_id", F.explode(F.concat(*(detect.REGEX[n](F.col("text")) for n in names))).alias("s"))
+    return _long(found.select("doc_id", "s.entity_type", "s.start", "s.end", "s.text"))
+
+
+def fuse_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.frame(spark, "spans").withColumn("source", F.lit("x")).withColumn("text", F.lit("x"))
+    one = F.struct("entity_type", "text", "start", "end", "confidence", "source")
+    arrays = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    return _long(arrays.select("doc_id", F.explode(fuse.resolve(F.col("c"))).alias("r")).select("doc_id", "r.entity_type", "r.start", "r.end", "r.confidence", F.size("r.sources").alias("n_sources")))
+
+
+def validate_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.frame(spark, "contexts").withColumn("at", F.instr("text", F.col("value")) - 1)
+    one = F.struct("entity_type", F.col("value").alias("text"), F.col("at").alias("start"), (F.col("at") + F.length("value")).alias("end"), F.lit(0.9).alias("confidence"), F.lit("x").alias("source"))
+    judged = rows.select("doc_id", F.explode(validate.validate(F.col("text"), F.array(one))).alias("v"))
+    return judged.select("doc_id", "v.entity_type", "v.text", "v.decision", "v.reason")
+
+
+def alias_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.resolve(fixtures.frame(spark, "mentions")).keys.select("doc_id", "entity_type", "norm", "id")
+
+
+def email_link_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.resolve(fixtures.frame(spark, "mentions")).owners.select("doc_id", "email_id", "person_id")
+
+
 QUERIES: dict[str, Query] = {
+    "detect_fixture": detect_fixture,
+    "fuse_fixture": fuse_fixture,
+    "validate_fixture": validate_fixture,
+    "alias_fixture": alias_fixture,
+    "email_link_fixture": email_link_fixture,
     "blocks_scan": blocks_scan,
     "detect_email": _by("email"),
     "detect_ipv4": _by("ipv4"),
