@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which the driver and all executors see; one of our own where it is unset and all run here."""
-    said = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    said = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if said:
         return said.rstrip("/")
-    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
@@ -30,10 +30,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet and read again: used several times, computed once, and cheap to read again after a lost executor."""
+def stored(df: DataFrame, what: str = "step") -> DataFrame:
+    """df written as Parquet and read again: used several times, computed once, and cheap to read again after a lost executor.
+
+    The files go when the driver's Python ends, or with discard().
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/maskwright-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what stored() wrote; for tables from which everything has been derived and written."""
+    _remove(df.sparkSession, df._stored_at)
