@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import discard, stored
+
+__all__ = ["WORD", "crc_mod", "discard", "stored", "table"]
+
 #: A word, as all contracts of this subpackage define it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,48 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; one of our own where it is unset (local runs)."""
-    context = spark.sparkContext
-    said = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if said:
-        return said.rstrip("/")
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="maskwright-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  at exit the JVM may be gone; the folder is then the cluster's to clean
-        pass
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again.
-
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation. The
-    files go when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/maskwright-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what stored() wrote; for tables from which everything has been derived and written."""
-    _delete(df.sparkSession, df._stored_at)
-
-
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32 of the column's text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
