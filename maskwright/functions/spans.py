@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 SPAN = "struct<start:int,end:int,text:string>"
 
 
-def spans_of(text: Column, pattern: Column | str) -> Column:
-    """array<struct<start, end, text>> of all non-overlapping matches, leftmost first; null text gives none."""
+def spans_of(text: Column, pattern: Column | str, holds: str = "") -> Column:
+    """array<struct<start, end, text>> of all non-overlapping matches, leftmost first; null text gives none.
+
+    holds: what every match holds; texts without it are not searched.
+    """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.regexp_extract_all(text, p, F.lit(0))
     # what stands between the matches: its lengths and those of the matches add up to the positions
@@ -27,7 +30,9 @@ def spans_of(text: Column, pattern: Column | str) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), s["text"].alias("text")))).alias("out"))
 
     walked = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    return F.when(F.coalesce(text.rlike(pattern) if isinstance(pattern, str) else F.call_function("rlike", text, p), F.lit(False)), walked).otherwise(F.array().cast(f"array<{SPAN}>"))
+    there = text.rlike(pattern) if isinstance(pattern, str) else F.call_function("rlike", text, p)
+    there = F.contains(text, F.lit(holds)) & there if holds else there
+    return F.when(F.coalesce(there, F.lit(False)), walked).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def left_of(text: Column, start: Column, width: int) -> Column:

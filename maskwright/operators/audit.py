@@ -45,7 +45,7 @@ def rejections(validated: DataFrame, n: int = 10) -> DataFrame:
 
 def missed(judged: DataFrame, n: int | None = 25) -> DataFrame:
     """doc_id, block_seq, hint, text, start, end, context: loose matches that overlap no validated span, kept or not; n: how many are reported."""
-    hints = F.concat(*(F.transform(spans_of(F.col("text"), p), _hint(name)) for name, p in HINTS.items()))
+    hints = F.concat(*(F.transform(spans_of(F.col("text"), p, "@" if name == "email" else ""), _hint(name)) for name, p in HINTS.items()))
     free = F.filter(hints, lambda h: ~F.exists(F.col("validated"), lambda v: (v["start"] < h["end"]) & (h["start"] < v["end"])))
     rows = judged.select("doc_id", "block_seq", F.col("text").alias("whole"), F.explode(free).alias("h")).select("doc_id", "block_seq", "h.hint", "h.text", "h.start", "h.end", snippet(F.col("whole"), F.col("h.start"), F.col("h.end")).alias("context"))
     return rows if n is None else rows.orderBy("doc_id", "block_seq", "start", "hint").limit(n)

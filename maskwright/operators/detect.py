@@ -24,6 +24,8 @@ STREET_WORDS = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Boulevard", "Blv
 COMPANY_ENDS = ("Limited", "Private Limited", "LLP", "Corporation", r"Pvt\.\s+Ltd\.", r"Ltd\.")
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 _NAME = r"[A-Z][a-zA-Z]+"
+#: Repetitions of a group that a pattern follows: Java's matcher goes one call deeper for each, so none may be unbounded.
+_MANY = 40
 
 EMAIL = r"(?U)\b[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+\b"
 PHONE = r"(?U)(?<!\w)\+?\b(?:\d{1,3}[ -.]?)?\(?\d{3}\)?[ -.]?\d{3}[ -.]?\d{4}\b"
@@ -34,10 +36,10 @@ IPV4 = rf"(?U)\b(?:{_OCTET}\.){{3}}{_OCTET}\b"
 IPV6 = r"(?U)\b(?:[A-Fa-f0-9]{1,4}:){7}[A-Fa-f0-9]{1,4}\b"
 DATE = r"(?U)\b(?:\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{4}[-/.]\d{1,2}[-/.]\d{1,2})\b"
 REGISTRY = r"(?iu)(?U)\b(?:Registrar of Companies(?:,?\s*Central Processing Centre|\s*Maharashtra|,\s*Maharashtra)?|RoC)\b"
-COMPANY = rf"(?U)\b(?:[Ff]ormerly\s+)?(?:[A-Z][a-zA-Z0-9&]*\s+)+(?:(?:and|of|&)\s+)?(?:[A-Z][a-zA-Z0-9&]*\s+)*(?:{'|'.join(COMPANY_ENDS)})\b"
-STREET = rf"(?U)\b\d+[a-zA-Z]?(?:-\d+[a-zA-Z]?)?\s+(?:[A-Z][a-zA-Z0-9.,-]*\s+){{1,4}}(?:{'|'.join(STREET_WORDS)})(?:,\s*[A-Z][a-zA-Z0-9.-]*(?:\s+[A-Z][a-zA-Z0-9.-]*)*){{0,3}}(?:\s*-?\s*\d{{5,6}})?\b"
+COMPANY = rf"(?U)\b(?:[Ff]ormerly\s+)?(?:[A-Z][a-zA-Z0-9&]*\s+){{1,{_MANY}}}(?:(?:and|of|&)\s+)?(?:[A-Z][a-zA-Z0-9&]*\s+){{0,{_MANY}}}(?:{'|'.join(COMPANY_ENDS)})\b"
+STREET = rf"(?U)\b\d+[a-zA-Z]?(?:-\d+[a-zA-Z]?)?\s+(?:[A-Z][a-zA-Z0-9.,-]*\s+){{1,4}}(?:{'|'.join(STREET_WORDS)})(?:,\s*[A-Z][a-zA-Z0-9.-]*(?:\s+[A-Z][a-zA-Z0-9.-]*){{0,{_MANY}}}){{0,3}}(?:\s*-?\s*\d{{5,6}})?\b"
 OFFICE = r"(?iu)(?d)\b(?:Registered Office|Regd\.? Off\.?|Corporate Office)\s*:\s*[A-Z0-9][a-zA-Z0-9.,\-\s]{10,120}(?=\n|$|\.)"
-PLACE_PIN = rf"(?U)\b{_NAME}(?:-[a-zA-Z]+)?(?:\s+{_NAME})*,\s*{_NAME}(?:\s+{_NAME})*\s+(?:-\s*)?\d{{5,6}}\b"
+PLACE_PIN = rf"(?U)\b{_NAME}(?:-[a-zA-Z]+)?(?:\s+{_NAME}){{0,{_MANY}}},\s*{_NAME}(?:\s+{_NAME}){{0,{_MANY}}}\s+(?:-\s*)?\d{{5,6}}\b"
 _NUMBERED = r"(?:" + "|".join(NUMBERED) + r")\s+no|(?:" + "|".join(NUMBERED) + r")\s+num"
 _EDGES = r"^[.,:; \n\r]+|[.,:; \n\r]+$"
 
@@ -67,11 +69,11 @@ def _candidate(kind: Column | str, s: Column, confidence: Column | float, source
     return F.struct(kind.alias("entity_type"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"), confidence.alias("confidence"), F.lit(source).alias("source"))
 
 
-def by_pattern(kind: str, pattern: str, confidence: float, keep: Callable[[Column, Column], Column] | None = None, source: str = "regex") -> Detector:
-    """A detector of all matches of a pattern for which keep(text, span) holds."""
+def by_pattern(kind: str, pattern: str, confidence: float, keep: Callable[[Column, Column], Column] | None = None, source: str = "regex", holds: str = "") -> Detector:
+    """A detector of all matches of a pattern for which keep(text, span) holds; holds: what every match holds."""
 
     def run(text: Column) -> Column:
-        found = spans_of(text, pattern)
+        found = spans_of(text, pattern, holds)
         if keep is not None:
             found = F.filter(found, lambda s: keep(text, s))
         return F.transform(found, lambda s: _candidate(kind, s, confidence, source))
@@ -113,12 +115,12 @@ def _addresses(pattern: str) -> Detector:
 
 #: The built-in detectors, in the order in which their candidates count as found.
 REGEX: dict[str, Detector] = {
-    "email": by_pattern("EMAIL", EMAIL, 0.99),
+    "email": by_pattern("EMAIL", EMAIL, 0.99, holds="@"),
     "phone": by_pattern("PHONE_CANDIDATE", PHONE, 0.85, _phone_kept),
     "ssn": by_pattern("SSN_CANDIDATE", SSN, 0.95),
     "card": by_pattern("CREDIT_CARD_CANDIDATE", CARD, 0.90, _card_kept),
     "ipv4": by_pattern("IP_CANDIDATE", IPV4, 0.95),
-    "ipv6": by_pattern("IP_CANDIDATE", IPV6, 0.95),
+    "ipv6": by_pattern("IP_CANDIDATE", IPV6, 0.95, holds=":"),
     "date": dates,
     "registry": by_pattern("COMPANY_CANDIDATE", REGISTRY, 0.95),
     "company": by_pattern("COMPANY_CANDIDATE", COMPANY, 0.95),

@@ -38,6 +38,11 @@ def test_patterns(spark):
         assert all(w in got[i] for w in want) and bool(want) == bool(got[i]), (text, got[i])
 
 
+@pytest.mark.parametrize("text", ["Abc " * 20_000, "Abc " * 3000 + "Limited", "1.1." * 10_000, "Registered Office: " * 2000, "ab:" * 10_000, "12 " + "Abc, " * 4000])
+def test_long_texts_end(spark, text):
+    assert isinstance(_detected(spark, text)[0], list)
+
+
 def test_null_text(spark):
     assert _detected(spark, None)[0] == []
 
