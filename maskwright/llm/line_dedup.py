@@ -36,6 +36,10 @@ from .components import connected
 EDITS = 2
 MIN_CHARS = 20
 FEW_KEYS = 1_000_000
+#: Lines of one key that are compared with all others of the key in one task.
+SLICE = 128
+#: Ends of lines that are compared before whole lines.
+END = 64
 
 
 def _segment(n: F.Column, i: int, edits: int) -> tuple[F.Column, F.Column]:
@@ -92,22 +96,26 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     # pairs of a shorter (or equal) indexed line a and a line b that probes it
     def together(a: DataFrame, b: DataFrame, more: F.Column | None = None) -> DataFrame:
         in_order = (F.length("a_line") < F.length("b_line")) | ((F.length("a_line") == F.length("b_line")) & (F.col("a") != F.col("b")))
-        near = F.levenshtein("a_line", "b_line", edits) >= 0
+        # lines within `edits` edits have ends within twice as many, and ends are short
+        ends = [F.levenshtein(end("a_line", F.lit(END)), end("b_line", F.lit(END)), 2 * edits) >= 0 for end in (F.left, F.right)]
+        near = ends[0] & ends[1] & (F.levenshtein("a_line", "b_line", edits) >= 0)
         on = in_order & near if more is None else in_order & more & near
-        return a.join(b, (F.col("a_key") == F.col("b_key")) & on)
+        return a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_slice") == F.col("b_slice")) & on)
 
     hubs = met.where("index").groupBy("key").agg(F.min(F.struct(F.length("line").alias("n"), "id")).alias("hub")).select("key", F.col("hub.id").alias("id"))
-    hub = met.join(hubs, ["key", "id"]).select(F.col("key").alias("a_key"), F.col("id").alias("a"), F.col("line").alias("a_line"))
-    other = met.select(F.col("key").alias("b_key"), F.col("id").alias("b"), F.col("line").alias("b_line"))
+    whole = F.lit(0)
+    hub = met.join(hubs, ["key", "id"]).select(whole.alias("a_slice"), F.col("key").alias("a_key"), F.col("id").alias("a"), F.col("line").alias("a_line"))
+    other = met.select(whole.alias("b_slice"), F.col("key").alias("b_key"), F.col("id").alias("b"), F.col("line").alias("b_line"))
     starred = stored(together(hub, other).select("a", "b").distinct(), "line-links")
 
     label = starred.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))
     named = stored(met.join(label, "id", "left").withColumn("label", F.coalesce("to", "id")).drop("to"), "line-labels")
-    open_keys = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most AND n > 2").select("key")
-    left = named.join(open_keys, "key", "left_semi")
-    a = left.where("index").select(F.col("key").alias("a_key"), F.col("id").alias("a"), F.col("line").alias("a_line"), F.col("label").alias("a_label"))
-    b = left.select(F.col("key").alias("b_key"), F.col("id").alias("b"), F.col("line").alias("b_line"), F.col("label").alias("b_label"))
-    rest = together(a.hint("merge"), b, F.col("a_label") != F.col("b_label")).select("a", "b").distinct()
+    open_keys = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most AND n > 2").select("key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    # a key of many lines is cut into slices, each in a task of its own with all lines of the key
+    left = named.join(open_keys, "key")
+    a = left.where("index").select(F.pmod(F.col("id"), F.col("slices")).cast("int").alias("a_slice"), F.col("key").alias("a_key"), F.col("id").alias("a"), F.col("line").alias("a_line"), F.col("label").alias("a_label"))
+    b = left.select(F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("b_slice"), F.col("key").alias("b_key"), F.col("id").alias("b"), F.col("line").alias("b_line"), F.col("label").alias("b_label"))
+    rest = together(a, b.hint("merge"), F.col("a_label") != F.col("b_label")).select("a", "b").distinct()
     return starred.unionAll(rest)
 
 
