@@ -178,15 +178,23 @@ def test_toxicity_is_learned(spark):
     assert toxicity.score(spark.createDataFrame([(1, None, None, None, None), (2, "", None, None, None)], DOCS), model).where("predicted = 1").count() == 0
 
 
+def test_short_data_is_spread_alike():
+    r = random.Random(12)
+    for _ in range(500):
+        data = bytes(r.randrange(256) for _ in range(r.randint(0, 40)))
+        assert toxicity.spread_short(data) == toxicity.spread(data)
+
+
 def test_one_class_of_labels_scores_nothing(spark):
     docs = _docs(spark, ["a b", "c d"])
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, None)], "doc_id long, quality int, toxic int")
     assert [x.score for x in toxicity.score(docs, toxicity.fit_on_folds(docs, labels)).collect()] == [0.0, 0.0]
 
 
-@pytest.mark.parametrize("hot", [300_000, 3])
-def test_base_score(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "size"), [(300_000, 16_000_000), (3, 4)])
+def test_base_score(spark, monkeypatch, hot, size):
     monkeypatch.setattr(language_model, "HOT", hot)
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", size)
     r = random.Random(8)
     texts = [None, "", "ONE one é"] + [" ".join(r.choice(["the", "of", f"w{r.randint(0, 60)}"]) for _ in range(r.randint(1, 50))) for _ in range(200)]
     docs = _docs(spark, texts)
@@ -210,9 +218,9 @@ def test_filter_counts_are_near_and_never_too_low():
     keys = hashing.mix(np.arange(1, 4000, dtype=np.uint64)) & ~np.uint64(0xFF)
     counts = np.random.default_rng(9).integers(1, 500, len(keys))
     bits, at = b"", [0]
-    for b in range(language_model.BUCKETS):
-        own = language_model._bucket(keys) == b
-        bits += language_model._shard(keys[own], counts[own], np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for b in range(1 << 9):
+        own = language_model._bucket(keys, 9) == b
+        bits += language_model._shard(keys[own], counts[own], np.zeros(0, np.uint64), np.zeros(0, np.int64), 1 << 20)
         at.append(len(bits))
     model = language_model.Model(bits, np.array(at), 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(40))
     found, true = model.levels(keys), language_model._level(counts, 1)
