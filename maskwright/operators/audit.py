@@ -82,11 +82,14 @@ def unplaced(redacted: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def gate(redacted: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row: total, critical, contextual, leaks, unplaced, passed. Only leaks decide."""
-    counts = manifest.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("entity_type").isin(*CRITICAL)).alias("critical"))
-    found = leaks(redacted, manifest).agg(F.count(F.lit(1)).alias("leaks"))
-    other = unplaced(redacted, manifest).agg(F.count(F.lit(1)).alias("unplaced"))
-    # three tables of one row each
-    one = counts.crossJoin(found).crossJoin(other)
+    critical = F.col("entity_type").isin(*CRITICAL).cast("long")
+    none = F.lit(0).cast("long")
+    parts = (
+        manifest.select(F.lit(1).cast("long").alias("total"), critical.alias("critical"), none.alias("leaks"), none.alias("unplaced"))
+        .unionAll(leaks(redacted, manifest).select(none, none, F.lit(1).cast("long"), none))
+        .unionAll(unplaced(redacted, manifest).select(none, none, none, F.lit(1).cast("long")))
+    )
+    one = parts.agg(*(F.coalesce(F.sum(c), none).alias(c) for c in ("total", "critical", "leaks", "unplaced")))
     return one.select("total", "critical", (F.col("total") - F.col("critical")).alias("contextual"), "leaks", "unplaced", (F.col("leaks") == 0).alias("passed"))
 
 
