@@ -226,3 +226,21 @@ def test_filter_counts_are_near_and_never_too_low():
     found, true = model.levels(keys), language_model._level(counts, 1)
     assert (found >= true).all() and (found == true).mean() > 0.9
     assert (model.levels(hashing.mix(np.arange(10_000, 20_000, dtype=np.uint64))) > 0).mean() < 0.1
+
+
+def test_filter_holds_every_pair_of_all_training_rows(spark):
+    texts = [f"a{i} b{i} c{i}" for i in range(60)] + ["x y"] * 3
+    docs = _docs(spark, texts)
+    model = language_model.fit(docs, docs.doc_id >= 0).model  # a tenth of the rows is tuned on
+    tokens, before, _ = language_model._tokens(*hashing.text_bytes(pa.array(texts)))
+    pairs, counts = np.unique(language_model._pairs(before, tokens), return_counts=True)
+    found = model.levels(pairs ^ language_model._PAIR)
+    assert (found >= language_model._level(counts, 1)).all()
+    tokens, before, _ = language_model._tokens(*hashing.text_bytes(pa.array([f"b{i} a{i}" for i in range(60)])))
+    unseen = np.setdiff1d(language_model._pairs(before, tokens), pairs)
+    assert (model.levels(unseen ^ language_model._PAIR) > 0).mean() < 0.15
+
+
+def test_levels_of_small_counts_are_exact():
+    counts = np.array([1, 2, 3])
+    assert (language_model._decoded(language_model._level(counts, 1)) == counts).all()
