@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars follows. A document of which nothing but spaces is left goes, if lines were taken from it."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, copy_chars=line_dedup.COPY_CHARS)
     out = out.where((F.col("_lines") == F.col("_kept")) | F.col("text").rlike(r"\S"))
     return out.select(*(F.when(F.col("_lines") == F.col("_kept"), F.col(c)).otherwise(F.length("text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 

@@ -1,9 +1,11 @@
 """Removes lines that repeat, exactly or within EDITS edits, anywhere in a corpus. DataFrame functions only.
 
-A line is what stands between line breaks, without spaces around it; lines under
-MIN_CHARS characters are left alone. Lines are linked when their Levenshtein distance (in
+A line is what stands between line breaks, without spaces around it. Lines of MIN_CHARS
+characters or more are linked when their Levenshtein distance (in
 code points) is at most EDITS; of each connected class the first line stays (smallest
-doc_id, then line number) and all others are taken out of their texts.
+doc_id, then line number) and all others are taken out of their texts. Shorter lines
+form classes of exact copies only, from COPY_CHARS characters on (in the queries: all but
+blank lines).
 
 Segment-partition join: a line of n characters has EDITS + 1 segments; a line within
 EDITS edits of it holds one of them unchanged, at a place that the two lengths bound. Each
@@ -35,6 +37,8 @@ from .components import connected
 
 EDITS = 2
 MIN_CHARS = 20
+#: Exact copies of shorter lines are removed from this length on, where the caller asks for it.
+COPY_CHARS = 1
 FEW_KEYS = 1_000_000
 #: Lines of one key that are compared with all others of the key in one task.
 SLICE = 128
@@ -73,10 +77,10 @@ def segment_keys(wide: F.Column, edits: int) -> F.Column:
     return F.array(*own, *probes)
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, h, line_no, line for all lines long enough. docs: doc_id, h, text."""
+def _lines(docs: DataFrame, min_chars: int, copy_chars: int) -> DataFrame:
+    """doc_id, h, line_no, line for all lines of min_chars, and those of copy_chars that are not blank. docs: doc_id, h, text."""
     lines = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.select("doc_id", "h", "line_no", F.trim(F.make_valid_utf8("line")).alias("line")).where(F.length("line") >= min_chars)
+    return lines.select("doc_id", "h", "line_no", F.trim(F.make_valid_utf8("line")).alias("line")).where((F.length("line") >= min_chars) | ((F.length("line") >= copy_chars) & F.col("line").rlike(r"\S")))
 
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -119,12 +123,12 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return starred.unionAll(rest)
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, copy_chars: int | None = None) -> DataFrame:
     """doc_id, h, removed (sorted line numbers) for documents that lose lines. docs: doc_id, h, text."""
-    lines = _lines(docs, min_chars)
+    lines = _lines(docs, min_chars, min_chars if copy_chars is None else copy_chars)
     place = F.struct("doc_id", "h", "line_no")
     places = stored(lines.select(F.xxhash64("line").alias("id"), "doc_id", "h", "line_no"), "lines")
-    roots = connected(line_links(lines.select("line"), edits)).withColumnRenamed("node", "id")
+    roots = connected(line_links(lines.where(F.length("line") >= min_chars).select("line"), edits)).withColumnRenamed("node", "id")
     # lines that occur once and are linked to none are nearly all; from here on only the others count
     copied = places.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
     classed = copied.join(roots, "id", "full_outer").select("id", F.coalesce("root", "id").alias("class"))
@@ -134,11 +138,14 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     return gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs with repeated lines taken out of text, and the numbers of lines before and after as _lines and _kept (which docs must not have)."""
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", copy_chars: int | None = None) -> DataFrame:
+    """The rows of docs with repeated lines taken out of text, and the numbers of lines before and after as _lines and _kept (which docs must not have).
+
+    copy_chars: least length of lines that are removed as exact copies; None: min_chars.
+    """
     h = F.xxhash64(docs[text])
     narrow = docs.select(docs[key].cast("long").alias("doc_id"), h.alias("h"), docs[text].cast("string").alias("text"))
-    removed = repeated_lines(narrow, edits, min_chars).select(F.col("doc_id").alias("__doc"), F.col("h").alias("__hash"), F.col("removed").alias("__removed"))
+    removed = repeated_lines(narrow, edits, min_chars, copy_chars).select(F.col("doc_id").alias("__doc"), F.col("h").alias("__hash"), F.col("removed").alias("__removed"))
     own = docs.withColumn("__own", h)
     joined = own.join(removed, own[key].cast("long").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__hash")), "left")
     lines, gone = F.split(own[text], "\n", -1), F.col("__removed")

@@ -136,6 +136,17 @@ def test_line_dedup_equals_all_pairs(spark, edits):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_short_lines_go_as_exact_copies_only(spark, tmp_path):
+    from maskwright.llm import queries
+
+    texts = ["menu\na line that is long enough to be linked\n\n\t", "a line that is long enough to be linkt\nmenu\n\n\t", "menus\n menu \nother"]
+    docs = _docs(spark, texts)
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(docs, copy_chars=line_dedup.COPY_CHARS).collect()}
+    assert got == {0: texts[0], 1: "\n\t", 2: "menus\nother"}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted((x.doc_id, x.n_lines, x.n_kept) for x in queries.op2_line_dedup(spark, str(tmp_path)).collect()) == [(0, 4, 4), (1, 4, 2), (2, 3, 2)]
+
+
 def test_line_links_by_shuffle_are_the_same(spark, monkeypatch):
     lines = spark.createDataFrame([("the quick brown fox",), ("the quick brown fix",), ("a quick brown fox is",), ("something else here",)], "line string")
     few = sorted(map(tuple, line_dedup.line_links(lines).collect()))
