@@ -244,3 +244,10 @@ def test_filter_holds_every_pair_of_all_training_rows(spark):
 def test_levels_of_small_counts_are_exact():
     counts = np.array([1, 2, 3])
     assert (language_model._decoded(language_model._level(counts, 1)) == counts).all()
+
+
+def test_filter_grows_with_its_entries(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "MAX_FILTER_BYTES", 1 << 11, raising=False)  # the bound it once had, made small
+    docs = _docs(spark, [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(100)])
+    model = language_model.fit(docs, docs.doc_id >= 0).model
+    assert (model.levels(hashing.mix(np.arange(1, 10_000, dtype=np.uint64))) > 0).mean() < 0.1
