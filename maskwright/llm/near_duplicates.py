@@ -5,7 +5,8 @@ function); its sketch is the smallest SKETCH of them. Equal sets become one node
 copies cost nothing from there on.
 
 Candidates. Sketches of two linked nodes share at least t values (exactly so for sets
-within SKETCH; with a chance of failure below 1e-6 for larger ones at 0.85), so they share
+within SKETCH; for larger ones with a chance of failure of at most MISS, whatever the
+threshold), so they share
 one of the size - t + 1 rarest. Only these go into the inverted lists; rarity is read from
 a table of CELLS counters of all sketch values, so boilerplate comes last. In each list
 every member is paired with one hub, the member whose sketch values are the most frequent
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +54,8 @@ BLOCK, BLOCK_VALUES = 2560, 1 << 20
 #: Members of lists that one task of the exact comparison holds, unless a single list has more.
 TASK_MEMBERS = 3000
 BLOCK_BYTES = 1_500_000
-#: Shared values that two sketches of similar large sets have at least (see the docstring).
-LARGE_SHARE = 0.625
+#: Greatest chance that the sketches of two sets over SKETCH values, similar exactly at the threshold, share too few values.
+MISS = 1e-6
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -81,10 +83,22 @@ def _node(values: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64))[0] >> np.uint64(1))
 
 
+@cache
+def large_share(threshold: float) -> int:
+    """The most values t for which a binomial count of SKETCH draws at the threshold is under t with a chance of at most MISS."""
+    below, t = 0.0, 0
+    while t < SKETCH:
+        below += math.comb(SKETCH, t) * threshold**t * (1 - threshold) ** (SKETCH - t)
+        if below > MISS:
+            break
+        t += 1
+    return max(1, t)
+
+
 def shared_at_least(n: int, threshold: float) -> int:
     """Values that the sketch of a set of n shares with the sketch of any similar set."""
     if n > SKETCH:
-        return int(LARGE_SHARE * SKETCH)
+        return large_share(threshold)
     return max(1, math.ceil(threshold * n - 1e-9) - max(0, int(n / threshold + 1e-9) - SKETCH))
 
 
@@ -343,9 +357,9 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, text: str
     met = pairs.join(short, "node").join(short.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hub")
     both = F.array_union("sketch", "hub_sketch")
     union = F.slice(F.array_sort(both), 1, SKETCH)
-    shared = F.size(F.array_intersect(union, F.array_intersect("sketch", "hub_sketch")))
-    whole = (F.col("n") <= SKETCH) & (F.col("hub_n") <= SKETCH) & (F.size(both) <= SKETCH)
-    may = F.when(whole, 100 * shared >= percent * F.size(union)).otherwise(shared >= F.lit(LARGE_SHARE) * F.size(union))
+    common = F.array_intersect("sketch", "hub_sketch")
+    whole = (F.col("n") <= SKETCH) & (F.col("hub_n") <= SKETCH)  # then sketches are the sets
+    may = F.when(whole, 100 * F.size(common) >= percent * F.size(both)).otherwise(F.size(F.array_intersect(union, common)) >= large_share(threshold))
     likely = stored(met.where(may).select("node", "hub", "n", "hub_n"), "likely")
 
     active = stored(_active(inverted, short, threshold), "active")

@@ -1,5 +1,6 @@
 """Duplicates, neighbours, overlaps with a benchmark, mixing and the pipeline against plain versions."""
 
+import math
 import random
 
 import numpy as np
@@ -62,6 +63,13 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, seed, size, change,
     assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got} == {i: (sizes[i], g, g == i) for i, g in enumerate(groups)}
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_large_sets_miss_rarely_at_any_threshold(percent):
+    n, t = near_duplicates.SKETCH, near_duplicates.shared_at_least(1000, percent / 100)
+    chance = lambda t: sum(math.comb(n, k) * percent**k * (100 - percent) ** (n - k) for k in range(t)) / 100**n
+    assert chance(t) <= 1e-6 < chance(t + 1)
+
+
 def test_one_of_each_keeps_columns_and_rows(spark):
     docs = _docs(spark, ["a b c d e f", "a b c d e f", "other words of their own here", "", None]).withColumn("node", F.lit(7)).withColumn("n", F.lit("x"))
     docs = docs.unionAll(docs.where("doc_id = 2"))
