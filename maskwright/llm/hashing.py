@@ -9,6 +9,8 @@ equal words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -71,6 +73,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def text_blocks(column: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, row offsets) for parts of a string column of about `most` bytes, or one text."""
+    raw, offsets = text_bytes(column)
+    block = offsets[1:] // most
+    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        if hi > lo:
+            yield lo, hi, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words in bytes, and for each row the index of its first word (n + 1 values)."""
     n = len(raw)

@@ -1,242 +1,319 @@
-"""Toxicity by compression distance between two zstandard dictionaries.
-
-Training: labelled rows (at most MAX_TOXIC and MAX_ORDINARY, chosen by a hash of
-doc_id) give, for each word, the number of toxic and ordinary documents with it. The
-ordinary dictionary holds the most frequent ordinary words; the toxic dictionary holds
-the same words and, behind them, the words of toxic documents that contain a character
-sequence which is significantly more frequent there (log-likelihood ratio).
-
-Scoring: a window (one word with its borders) is compressed once with each dictionary.
-Its margin is the ordinary length minus the toxic length. So that a window's bits
-outweigh the frame's rounding to whole bytes, each character is spread to SPREAD bytes
-that depend on it and the one before it. A document's largest margins are turned into
-a probability by a logistic curve that is calibrated on labelled rows the dictionaries
-have not seen; the threshold is 0.5 of that.
-
-Every window of every text is compared; windows met before are looked up in a bounded
-memo. Labels, language, source and doc_id are never inputs of a score.
-
-Defined cases: null and empty texts have one empty window with margin 0 and get the
-score of that; with no labelled row of either class all scores are 0; several labels
-of one doc_id count as their maximum, null labels are left out.
+"""Toxicity by compression distance between zstandard dictionaries of toxic and of ordinary text.
+
+Training, in one task, on a bounded sample of labelled rows:
+
+1. a base dictionary is trained on the ordinary texts;
+2. every window of the ordinary texts is compressed with it. A window is hard if it takes
+   at least as many bytes as HARD of the ordinary windows of its length do: a threshold
+   for each window length. A second dictionary is trained on the hard ordinary windows;
+3. with both, hard windows are told anew, and a third dictionary is trained on those of
+   the toxic texts. The ordinary compressor holds the first two, the toxic one all three.
+
+A window's margin is its length under the ordinary compressor minus that under the toxic
+one. A document's largest margin, the mean of its three largest and of its eight largest
+give a probability by a logistic curve, fitted on labelled rows that no dictionary was
+trained on; classes weigh by the root of their sizes, between alike and as they come. A
+document is toxic from 0.5 on.
+
+A window is one word with its borders. Compressors count whole bytes, and a short window
+has few: each character is therefore spread to SPREAD bytes that depend on it and the one
+before it (texts and dictionaries alike), so that what a dictionary does not hold costs
+SPREAD bytes a character and a match costs about three.
+
+Every window of every text is compressed; equal windows of a block of texts once. Labels,
+language, source and doc_id are never inputs of a score.
+
+Bounds of the sample: MAX_TOXIC and MAX_ORDINARY rows for the dictionaries and
+MAX_CALIBRATION rows of each class for the curve, by a hash of doc_id, in that order as
+long as their texts have at most SAMPLE_BYTES together (whole texts; at least one).
+
+Defined cases: null and empty texts have no window and margins 0, and get the score of
+that; texts of any length are read whole; with no labelled row of either class all scores
+are 0; several labels of one doc_id count as their maximum, null labels and null doc_ids
+are left out; of rows that share a doc_id the one with the shortest text is learned from,
+and all are scored; an empty table gives an empty one; other columns are ignored (score) or pass through (keep_ordinary).
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod
+from .hashing import text_blocks, text_bytes, word_hashes, word_spans
 
 MAX_TOXIC = 2_000
 MAX_ORDINARY = 6_000
 #: Labelled rows of each class on which the score is calibrated.
 MAX_CALIBRATION = 1_500
-ORDINARY_WORDS = 8_000
-TOXIC_WORDS = 4_000
+#: Texts of the sample, in bytes, for each class and use.
+SAMPLE_BYTES = 32 << 20
+#: Largest sizes of the three dictionaries, and the pieces that training puts together.
+BASE_SIZE, ORDINARY_SIZE, TOXIC_SIZE = 1 << 15, 1 << 15, 1 << 13
+BASE_PIECE, HARD_PIECE = 64, 24
+#: Share of ordinary windows of a length that are not hard.
+HARD = 0.9
+#: Windows of a length that a threshold of its own needs.
+RARE = 30
 SPREAD = 4
-#: Least log-likelihood ratio, and how many times more frequent in toxic documents.
-LEAST_G2, LEAST_RATIO = 20.0, 30.0
-GRAMS = (5, 6)
-#: Margins kept by a worker: when so many are new, those not used since the last time go.
-MEMO = 120_000
-MEMO_CHARS = 40
-#: Words as windows: letters, digits and _ of any script; Spark's pattern must mean the same.
-_WORD = re.compile(r"\w+")
-_SPARK_WORD = r"(?U)\w+"
-
-
-def spread(data: bytes) -> bytes:
-    """SPREAD bytes for each byte, from it and the one before it."""
-    a = np.frombuffer(data, np.uint8).astype(np.uint64)
-    before = np.concatenate([np.array([32], np.uint64), a[:-1]])
+#: Window lengths from here on share a threshold.
+MAX_WINDOW = 60
+TOP = 8
+BLOCK_BYTES = 2_500_000
+#: Windows that are compressed by one call.
+CALL = 100_000
+_SPACE = 32
+
+
+def spread(data: np.ndarray) -> np.ndarray:
+    """SPREAD bytes for each byte, from it and the one before it; a space always gives the same."""
+    a = data.astype(np.uint64)
+    before = np.concatenate([np.array([_SPACE], np.uint64), a[:-1]])
+    before[a == _SPACE] = 0
     h = (a * np.uint64(256) + before) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 8 - SPREAD :]).tobytes()
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 8 - SPREAD :]).reshape(-1)
 
 
-@cache
-def _spread_pairs() -> list[bytes]:
-    """What spread() gives for each byte and the one before it, at byte * 256 + before."""
-    every = np.arange(256, dtype=np.uint8)
-    pairs = np.column_stack([np.tile(every, 256), np.repeat(every, 256)]).reshape(-1)  # before, byte, before, byte, ...
-    out = spread(pairs.tobytes())
-    return [out[i : i + SPREAD] for i in range(SPREAD, len(out), 2 * SPREAD)]
+@dataclass
+class Windows:
+    """Distinct windows of some texts, one after the other: data[ends[i - 1] : ends[i]]. which: the distinct window of each word; first: each text's first word (n + 1 values)."""
 
+    data: np.ndarray
+    ends: np.ndarray
+    which: np.ndarray
+    first: np.ndarray
 
-def spread_short(data: bytes) -> bytes:
-    """spread() for short data, without the cost of starting array operations."""
-    pairs = _spread_pairs()
-    return b"".join([pairs[a << 8 | b] for a, b in zip(data, b" " + data, strict=False)])
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.ends, prepend=0)
+
+    @property
+    def text_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def of_texts(self, chosen: np.ndarray) -> list[bytes]:
+        """For each text that has some the chosen ones of its distinct windows, put together."""
+        raw, begins = self.data.tobytes(), self.ends - self.sizes
+        pairs = np.unique(np.column_stack([self.text_of, self.which])[chosen[self.which]], axis=0)
+        parts = np.split(pairs[:, 1], np.flatnonzero(np.diff(pairs[:, 0])) + 1) if len(pairs) else []
+        return [b"".join(raw[begins[i] : self.ends[i]] for i in part) for part in parts]
+
+
+def windows(raw: np.ndarray, offsets: np.ndarray) -> Windows:
+    """raw, offsets: texts in lower case, as text_bytes gives them."""
+    start, end, first = word_spans(raw, offsets)
+    _, place, which = np.unique(word_hashes(raw, start, end), return_index=True, return_inverse=True)
+    start, end = start[place], end[place]
+    sizes = end - start + 2
+    ends = np.cumsum(sizes)
+    data = np.full(int(ends[-1]) if len(ends) else 0, _SPACE, np.uint8)
+    inside = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
+    word = (inside > 0) & (inside < np.repeat(sizes, sizes) - 1)
+    data[word] = raw[(np.repeat(start, sizes) + inside - 1)[word]]
+    return Windows(data, ends, which, first)
+
+
+class Compressor:
+    """Lengths of windows under a dictionary, without frame headers."""
+
+    def __init__(self, dictionary: bytes):
+        import zstandard as z
+
+        how = z.ZstdCompressionParameters(format=z.FORMAT_ZSTD1_MAGICLESS, strategy=z.STRATEGY_BTOPT, min_match=3, window_log=22, hash_log=20, chain_log=20, search_log=6, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+        held = z.ZstdCompressionDict(spread(np.frombuffer(dictionary, np.uint8)).tobytes(), dict_type=z.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=how)
+        self.frames, self.zstd = z.BufferWithSegments, z.ZstdCompressor(dict_data=held, compression_params=how)
+
+    def lengths(self, w: Windows) -> np.ndarray:
+        out = np.zeros(len(w), np.int64)
+        begins = w.ends - w.sizes
+        for lo in range(0, len(w), CALL):
+            hi = min(len(w), lo + CALL)
+            a, b = int(begins[lo]), int(w.ends[hi - 1])
+            places = np.column_stack([begins[lo:hi] - a, w.sizes[lo:hi]]).astype(np.uint64) * np.uint64(SPREAD)
+            done = self.zstd.multi_compress_to_buffer(self.frames(spread(w.data[a:b]).tobytes(), places.tobytes()))
+            out[lo:hi] = np.fromiter((len(done[i]) for i in range(hi - lo)), np.int64, hi - lo)
+        return out
+
+
+def trained(samples: list[bytes], size: int, piece: int) -> bytes:
+    """A dictionary of zstandard's trainer; of samples too few or too small for it their end, as it is."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(size, samples, k=piece, d=8).as_bytes()
+    except z.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def hard_from(sizes: np.ndarray, lengths: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each window size the least compressed length that HARD of the windows (by weight) are under; sizes with fewer than RARE windows have that of the next shorter one."""
+    out = np.zeros(MAX_WINDOW + 1, np.int64)
+    held = np.minimum(sizes, MAX_WINDOW)
+    for n in range(1, MAX_WINDOW + 1):
+        here = held == n
+        out[n] = out[n - 1]
+        if weight[here].sum() >= RARE:
+            order = np.argsort(lengths[here], kind="stable")
+            share = np.cumsum(weight[here][order]) / weight[here].sum()
+            out[n] = lengths[here][order][np.searchsorted(share, HARD)]
+    return out
+
+
+def _texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return text_bytes(pa.array([t.lower() for t in texts], pa.string()))
 
 
 @dataclass(frozen=True)
 class Model:
-    """What workers need; its size is bounded by ORDINARY_WORDS and TOXIC_WORDS."""
+    """What workers need; the sizes of its dictionaries are bounded. weights: None if there was nothing to learn from."""
 
     ordinary: bytes
     toxic: bytes
     weights: tuple[float, ...] | None
 
 
+def train(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes]:
+    """The contents of the ordinary and of the toxic compressor."""
+    base = trained([t.lower().encode() for t in ordinary], BASE_SIZE, BASE_PIECE)
+    w_o, w_t = windows(*_texts(ordinary)), windows(*_texts(toxic))
+    weight = np.bincount(w_o.which, minlength=len(w_o))
+
+    def hard(dictionary: bytes) -> list[list[bytes]]:
+        held = Compressor(dictionary)
+        l_o, l_t = held.lengths(w_o), held.lengths(w_t)
+        limit = hard_from(w_o.sizes, l_o, weight)
+        return [w.of_texts(n >= limit[np.minimum(w.sizes, MAX_WINDOW)]) for w, n in ((w_o, l_o), (w_t, l_t))]
+
+    both = trained(hard(base)[0], ORDINARY_SIZE, HARD_PIECE) + base
+    # what comes last is nearest to a window, and cheapest
+    return both, trained(hard(both)[1], TOXIC_SIZE, HARD_PIECE) + both
+
+
 class Scorer:
     def __init__(self, model: Model):
-        import zstandard as z
-
-        how = z.ZstdCompressionParameters(strategy=z.STRATEGY_BTOPT, min_match=3, window_log=20, hash_log=20, chain_log=20, search_log=6, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
-
-        def compressor(content: bytes):
-            held = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(compression_params=how)
-            return z.ZstdCompressor(dict_data=held, compression_params=how)
-
-        self.model, self.memo, self.older = model, {}, {}
-        self.by_ordinary, self.by_toxic = compressor(model.ordinary), compressor(model.toxic)
-
-    def margin(self, window: str) -> int:
-        data = spread_short(f" {window} ".encode())
-        return len(self.by_ordinary.compress(data)) - len(self.by_toxic.compress(data))
-
-    def features(self, text: str | None) -> tuple[float, float]:
-        """The largest margin of a document's windows, and the mean of the three largest."""
-        memo = self.memo
-        if len(memo) > MEMO:
-            self.older, self.memo = memo, {}
-            memo = self.memo
-        older = self.older
-        top = [0, 0, 0]
-        for w in set(_WORD.findall((text or "").lower())):
-            m = memo.get(w)
-            if m is None:
-                m = older.get(w)
-                if m is None:
-                    m = self.margin(w)
-                if len(w) <= MEMO_CHARS:
-                    memo[w] = m
-            if m > top[0]:
-                top = sorted((m, *top))[1:]
-        return float(top[2]), sum(top) / 3
-
-    def score(self, text: str | None) -> float:
+        self.model = model
+        self.by_ordinary, self.by_toxic = Compressor(model.ordinary), Compressor(model.toxic)
+
+    def margins(self, w: Windows) -> np.ndarray:
+        return self.by_ordinary.lengths(w) - self.by_toxic.lengths(w)
+
+    def features(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each text the largest margin of its windows, the mean of its three and of its TOP largest; none is under 0."""
+        w = windows(raw, offsets)
+        margin = self.margins(w)[w.which]
+        text, n = w.text_of, len(offsets) - 1
+        some = np.flatnonzero(margin > 0)
+        order = some[np.lexsort((-margin[some], text[some]))]
+        begins = np.searchsorted(text[order], np.arange(n))
+        rank = np.arange(len(order)) - begins[text[order]]
+        top = np.zeros((n, TOP))
+        top[text[order][rank < TOP], rank[rank < TOP]] = margin[order][rank < TOP]
+        return np.column_stack([top[:, 0], top[:, :3].mean(axis=1), top.mean(axis=1)])
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.model.weights is None:
-            return 0.0
-        a, b, c = self.model.weights
-        x, y = self.features(text)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, a + b * x + c * y))))
+            return np.zeros(len(texts))
+        out = [np.zeros(0)]
+        lowered = pa.array([(t or "").lower() for t in texts], pa.string())
+        for _, _, raw, offsets in text_blocks(lowered, BLOCK_BYTES):
+            z = np.column_stack([np.ones(len(offsets) - 1), self.features(raw, offsets)]) @ np.array(self.model.weights)
+            out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        return np.concatenate(out)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Newton's method with a small ridge; classes weigh the same."""
-    scale = np.array([1.0, 10.0, 10.0])
-    a = np.column_stack([np.ones(len(x)), x]) / scale
-    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
-    w = np.zeros(3)
-    ridge = np.diag([1e-6, 0.05, 0.05])
+    """Newton's method with a small ridge; classes weigh by the root of their sizes."""
+    a = np.column_stack([np.ones(len(x)), x])
+    scale = np.maximum(np.sqrt((a**2).mean(axis=0)), 1e-9)
+    a = a / scale
+    weight = np.where(y == 1, 1 / np.sqrt(y.sum()), 1 / np.sqrt((1 - y).sum()))
+    weight *= len(y) / weight.sum()
+    w = np.zeros(a.shape[1])
+    ridge = 0.05 * np.eye(len(w))
+    ridge[0, 0] = 1e-6
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         slope = a.T @ (weight * (y - p)) - ridge @ w
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(3), slope)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(len(w)), slope)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
     return tuple(float(v) for v in w / scale)
 
 
-def _sample(labels: DataFrame, bound: int, toxic: int) -> DataFrame:
-    picked = labels.where(F.col("toxic") == toxic)
-    return picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+def learned(rows: list[tuple[str, int, str | None]]) -> Model:
+    """rows: (use, label, text); use is 'train' or 'curve'."""
+    held = {(use, label): [t or "" for u, y, t in rows if (u, y) == (use, label)] for use in ("train", "curve") for label in (0, 1)}
+    if not held["train", 0] or not held["train", 1]:
+        return Model(b"", b"", None)
+    ordinary, toxic = train(held["train", 0], held["train", 1])
+    model = Model(ordinary, toxic, None)
+    if not held["curve", 0] or not held["curve", 1]:
+        # too few labelled rows for rows of their own: a fixed curve, half-way at a margin of five spread characters
+        return Model(ordinary, toxic, (-10.0, 10.0 / (5 * SPREAD), 0.0, 0.0))
+    scorer, y = Scorer(model), [0] * len(held["curve", 0]) + [1] * len(held["curve", 1])
+    x = np.concatenate([scorer.features(raw, offsets) for _, _, raw, offsets in text_blocks(pa.array([t.lower() for t in held["curve", 0] + held["curve", 1]], pa.string()), BLOCK_BYTES)])
+    return Model(ordinary, toxic, _logistic(x, np.array(y, float)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: F.Column, calibration: F.Column, text: str = "text", key: str = "doc_id") -> Model:
     """training, calibration: conditions on labels' doc_id that pick the rows for dictionaries and for the curve."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.where("toxic IN (0, 1)")
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    parts = [known.where(cond & (F.col("toxic") == y)).orderBy(*by_hash).limit(n).select("doc_id", "toxic", F.lit(use).alias("use")) for use, cond, most in (("train", training, (MAX_ORDINARY, MAX_TOXIC)), ("curve", calibration, (MAX_CALIBRATION,) * 2)) for y, n in enumerate(most)]
+    chosen = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    met = rows.join(F.broadcast(chosen), "doc_id").groupBy("use", "toxic", "doc_id").agg(F.min(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")).alias("row"))
+    order = Window.partitionBy("use", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = met.withColumn("bytes", F.sum("row.size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sample = sample.where((F.col("bytes") <= SAMPLE_BYTES) | (F.col("bytes") == F.col("row.size"))).select("use", "toxic", "row.text")
 
-    chosen = _sample(known.where(training), MAX_TOXIC, 1).unionAll(_sample(known.where(training), MAX_ORDINARY, 0))
-    words = (
-        rows.join(F.broadcast(chosen), "doc_id")
-        .select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_SPARK_WORD), F.lit(0)))).alias("word"))
-        .groupBy("word")
-        .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-        .persist()
-    )
-    try:
-        n_docs = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n_t, n_o = n_docs.get(1, 0), n_docs.get(0, 0)
-        if not n_t or not n_o:
-            return Model(b"", b"", None)
-        bordered = F.concat(F.lit(" "), "word", F.lit(" "))
-
-        def pieces(n: int) -> F.Column:
-            return F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") + 3 - n, F.lit(1))), lambda i: F.substring(bordered, i, F.lit(n)))
-
-        by_gram = words.select("t", "o", F.explode(F.array_distinct(F.concat(*map(pieces, GRAMS)))).alias("gram")).groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-        total = F.col("t") + F.col("o")
-        part = lambda c, n: F.when(c > 0, c * F.log(c * (n_t + n_o) / (total * n))).otherwise(0.0)
-        g2 = 2 * (part(F.col("t"), n_t) + part(F.col("o"), n_o))
-        good = {r.gram for r in by_gram.where((g2 >= LEAST_G2) & (F.col("t") * n_o > LEAST_RATIO * F.col("o") * n_t)).select("gram").orderBy("gram").collect()}
-        common = words.where("o > 0").orderBy(F.desc("o"), "word").limit(ORDINARY_WORDS).collect()
-        seen = words.where("t > 0").orderBy(F.desc("t"), "word").limit(20 * TOXIC_WORDS).collect()
-    finally:
-        words.unpersist()
-
-    def marked(word: str) -> bool:
-        s = f" {word} "
-        return any(s[k : k + n] in good for n in GRAMS for k in range(len(s) - n + 1))
-
-    base = " ".join(["", *(r.word for r in reversed(common) if not marked(r.word)), ""])
-    toxic = [r.word for r in seen if marked(r.word)][:TOXIC_WORDS]
-    model = Model(spread(base.encode()), spread((base + " ".join([*reversed(toxic), ""])).encode()), None)
-
-    held = _sample(known.where(calibration), MAX_CALIBRATION, 1).unionAll(_sample(known.where(calibration), MAX_CALIBRATION, 0))
-    scored = _apply(rows.join(F.broadcast(held), "doc_id").select("toxic", "text"), model, "toxic int, f1 double, f2 double", lambda s, t: s.features(t)).collect()
-    y = np.array([r[0] for r in scored], float)
-    if not 0 < y.sum() < len(y):
-        # too few labelled rows for rows of their own: a fixed curve, half-way at six spread characters
-        return Model(model.ordinary, model.toxic, (-12.0, 1.0, 0.0))
-    return Model(model.ordinary, model.toxic, _logistic(np.array([r[1:] for r in scored], float), y))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(r.values()) for batch in batches for r in batch.to_pylist()]
+        model = learned(sorted(held, key=lambda r: (r[0], r[1], r[2] or "")))
+        yield pa.RecordBatch.from_arrays([pa.array([model.ordinary], pa.binary()), pa.array([model.toxic], pa.binary()), pa.array([model.weights], pa.list_(pa.float64()))], ["ordinary", "toxic", "weights"])
+
+    # one task trains: it gets no more than the bounds above
+    found = sample.repartition(1).mapInArrow(run, "ordinary binary, toxic binary, weights array<double>").collect()
+    if not found:
+        return Model(b"", b"", None)
+    return Model(bytes(found[0].ordinary), bytes(found[0].toxic), None if found[0].weights is None else tuple(found[0].weights))
 
 
 _scorers: dict[Model, Scorer] = {}
 
 
 def _scorer(model: Model) -> Scorer:
-    """The worker's scorer of this model, with what it remembers; one at a time."""
+    """The worker's scorer of this model; one at a time."""
     if model not in _scorers:
         _scorers.clear()
         _scorers[model] = Scorer(model)
     return _scorers[model]
 
 
-def _apply(rows: DataFrame, model: Model, schema: str, what) -> DataFrame:
-    """what(scorer, text) for each row of (any column, text); the first column is kept."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, score, predicted for each row of docs."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(held.value)
         for batch in batches:
-            got = [what(scorer, t) for t in batch.column(1).to_pylist()]
-            columns = zip(*got, strict=True) if got else [[] for _ in names[1:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), pa.float64()) for c in columns)], names)
-
-    return rows.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1).to_pylist()))], ["doc_id", "score"])
 
-
-def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, score, predicted for each row of docs."""
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    scored = _apply(rows, model, "doc_id long, score double", lambda s, t: (s.score(t),))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_ordinary(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -247,7 +324,7 @@ def keep_ordinary(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(held.value)
         for batch in batches:
-            yield batch.filter(pa.array([scorer.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array(scorer.scores(batch.column(at).to_pylist()) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 

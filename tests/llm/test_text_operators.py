@@ -178,11 +178,41 @@ def test_toxicity_is_learned(spark):
     assert toxicity.score(spark.createDataFrame([(1, None, None, None, None), (2, "", None, None, None)], DOCS), model).where("predicted = 1").count() == 0
 
 
-def test_short_data_is_spread_alike():
-    r = random.Random(12)
-    for _ in range(500):
-        data = bytes(r.randrange(256) for _ in range(r.randint(0, 40)))
-        assert toxicity.spread_short(data) == toxicity.spread(data)
+def _toxic_texts(seed, n):
+    r = random.Random(seed)
+    plain = ["".join(r.choice(["an", "er", "tho", "il", "mo", "ké"]) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    ordinary = [" ".join(r.choice(plain) for _ in range(60)) for _ in range(n)]
+    toxic = [" ".join(r.choice(plain) if r.random() > 0.05 else r.choice(["wretchling", "scumbag", "SCUMBAG!"]) for _ in range(60)) for _ in range(n)]
+    return ordinary, toxic
+
+
+def test_margins_equal_a_plain_loop():
+    import zstandard as z
+
+    ordinary, toxic = _toxic_texts(3, 200)
+    model = toxicity.Model(*toxicity.train(ordinary, toxic), (0.0, 1.0, 0.0, 0.0))
+    how = z.ZstdCompressionParameters(format=z.FORMAT_ZSTD1_MAGICLESS, strategy=z.STRATEGY_BTOPT, min_match=3, window_log=22, hash_log=20, chain_log=20, search_log=6, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+    spread = lambda b: toxicity.spread(np.frombuffer(b, np.uint8)).tobytes()
+    by = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(spread(d), dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how) for d in (model.ordinary, model.toxic)]
+    texts = [None, "", " \n ", "one", *ordinary[:5], *toxic[:20], "x" * 5000]
+    plain = []
+    for t in texts:
+        lengths = [[len(c.compress(spread(f" {w} ".encode()))) for c in by] for w in re.split("[\x20\x09-\x0d]+", (t or "").lower()) if w]
+        m = sorted((max(0, a - b) for a, b in lengths), reverse=True)[:8]
+        m += [0] * (8 - len(m))
+        plain.append([m[0], sum(m[:3]) / 3, sum(m) / 8])
+    got = toxicity.Scorer(model).features(*hashing.text_bytes(pa.array([(t or "").lower() for t in texts])))
+    assert np.allclose(got, plain)
+
+
+def test_dictionaries_are_what_tells_the_classes():
+    ordinary, toxic = _toxic_texts(4, 300)
+    model = toxicity.learned([("train", 0, t) for t in ordinary[:150]] + [("train", 1, t) for t in toxic[:150]] + [("curve", 0, t) for t in ordinary[150:220]] + [("curve", 1, t) for t in toxic[150:220]])
+    right = lambda m: ((toxicity.Scorer(m).scores(toxic[220:]) >= 0.5).mean(), (toxicity.Scorer(m).scores(ordinary[220:]) < 0.5).mean())
+    assert min(right(model)) > 0.9
+    assert model.toxic != model.ordinary and b"scumbag" in model.toxic and b"scumbag" not in model.ordinary
+    same = toxicity.Model(model.ordinary, model.ordinary, model.weights)
+    assert right(same)[0] == 0.0
 
 
 def test_one_class_of_labels_scores_nothing(spark):
