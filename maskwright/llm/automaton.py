@@ -5,7 +5,10 @@ builds Thompson automata that may start at any byte, joins them by subset constr
 and merges equal states by partition refinement. The result is one array of
 transitions over byte classes; its states tell which rules have just matched.
 
-scan runs it in one pass over the bytes of a batch. Texts are cut into lanes at places
+compile_reversed does the same for one rule read from its end, tied to the byte at which
+it begins; first_byte runs that from the last byte of a match to where the match starts.
+
+scan runs the automaton of all rules in one pass over the bytes of a batch. Texts are cut into lanes at places
 where the state is known whatever came before (found from the transition array), and
 all lanes advance together, one byte a step, by array look-ups.
 """
@@ -165,6 +168,8 @@ class Automaton:
     start: int
     #: sync[a, b]: the state after bytes of class a and b, if it is the same from every state, else -1.
     sync: np.ndarray
+    #: The state that nothing leaves and in which no rule ends, or -1.
+    dead: int
 
     @property
     def n_states(self) -> int:
@@ -172,9 +177,40 @@ class Automaton:
 
 
 def compile_rules(patterns: list[str]) -> Automaton:
+    return _compiled([_Parser(p).parse() for p in patterns], True)
+
+
+def compile_reversed(pattern: str) -> Automaton:
+    return _compiled([_reversed(_Parser(pattern).parse())], False)
+
+
+def _reversed(node):
+    kind = node[0]
+    if kind == "set":
+        return node
+    if kind == "rep":
+        return ("rep", _reversed(node[1]), node[2], node[3])
+    parts = [_reversed(x) for x in node[1]]
+    return (kind, parts[::-1] if kind == "cat" else parts)
+
+
+def first_byte(a: Automaton, raw: np.ndarray, low: int, last: int) -> int:
+    """The smallest i >= low such that bytes i to last, read backwards, are a match of a; -1 if there is none."""
+    state, out = a.start, -1
+    for i in range(last, low - 1, -1):
+        state = int(a.step[state * a.n_classes + int(a.byte_class[raw[i]])])
+        if a.found[state]:
+            out = i
+        if state == a.dead:
+            break
+    return out
+
+
+def _compiled(trees: list, anywhere: bool) -> Automaton:
+    """anywhere: a match may begin at any byte; else only at the first."""
     nfa = _Nfa()
     root = nfa.state()
-    ends = [nfa.add(_Parser(p).parse(), root) for p in patterns]
+    ends = [nfa.add(t, root) for t in trees]
     masks = {on[0] for on in nfa.on if on}
     groups: dict[tuple[bool, ...], int] = {}
     ordered = sorted(masks)
@@ -197,7 +233,7 @@ def compile_rules(patterns: list[str]) -> Automaton:
         found.append(sum(1 << r for r, e in enumerate(ends) if e in now))
         row = []
         for b in sample:
-            after = closed([root, *(nfa.on[s][1] for s in now if nfa.on[s] and nfa.on[s][0] >> b & 1)])
+            after = closed([*[root] * anywhere, *(nfa.on[s][1] for s in now if nfa.on[s] and nfa.on[s][0] >> b & 1)])
             if after not in index:
                 index[after] = len(index)
                 todo.append(after)
@@ -215,7 +251,8 @@ def compile_rules(patterns: list[str]) -> Automaton:
     small = part[table[chosen]].astype(np.int32)
     twice = small[small]  # [state, a, b]
     sync = np.where((twice == twice[:1]).all(axis=0), twice[0], -1)
-    return Automaton(small.reshape(-1), marks[chosen], byte_class, len(groups), int(part[0]), sync)
+    stuck = np.flatnonzero((small == np.arange(len(small))[:, None]).all(axis=1) & (marks[chosen] == 0))
+    return Automaton(small.reshape(-1), marks[chosen], byte_class, len(groups), int(part[0]), sync, int(stuck[0]) if len(stuck) else -1)
 
 
 #: Lanes are cut about so many bytes apart, where the bytes allow.

@@ -13,7 +13,9 @@ words that each batch meets anyway. A bounded memo keeps counts between batches.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; a text of spaces only
 is one pre-token; U+2581 is what the model turns spaces into, so it counts as one;
-repeated rows give repeated results; other columns are ignored.
+texts of any length are read whole; an empty table gives an empty one; repeated rows and
+doc_ids, and null doc_ids, give a result for each row; other columns, whatever they are
+called, are ignored.
 """
 
 from __future__ import annotations
@@ -83,9 +85,10 @@ class PieceCounter:
                 counts[i] = self.alone
             if len(p) <= MEMO_CHARS:
                 memo[p] = int(counts[i])
-        sums = np.zeros(len(which) + 1, np.int64)
-        np.cumsum(counts[np.array(which, np.int64)], out=sums[1:])
-        return np.diff(sums[np.array(ends)])
+        # (document, pre-token, frequency), joined to the counts and summed
+        document = np.repeat(np.arange(len(texts)), np.diff(ends))
+        pairs, frequency = np.unique(document * len(distinct) + np.array(which, np.int64), return_counts=True)
+        return np.bincount(pairs // len(distinct), counts[pairs % len(distinct)] * frequency, len(texts)).astype(np.int64)
 
     @property
     def alone(self) -> int:
