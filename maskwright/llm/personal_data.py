@@ -13,13 +13,20 @@ digits. Labels are other, email, ip, card and phone. Three kinds of potential:
 Loopy sum-product message passing gives each free mention its marginal; mentions with
 a label other than `other` at 0.5 or more are added to the base spans.
 
-Training is piecewise on mentions of at most MAX_TRAINING documents (by a hash of
-doc_id, of those that have mentions): base spans with their labels, free mentions as
-other. Node weights by gradient steps, chain and skip weights from smoothed counts of
-agreeing base labels.
-
-Defined cases: null and empty texts have no spans; any length is read whole; repeated
-rows give repeated results; other columns are ignored.
+Training is piecewise, in one task, on at most MAX_MENTIONS mentions of each of at most
+MAX_TRAINING documents (by a hash of doc_id, of those that may have mentions; of rows that
+share a doc_id the shortest text). Node weights learn from masked base mentions: what
+makes a base span of a mention is hidden (HIDDEN), its label stays, so the model learns
+what else tells the kinds: digits, form, the word before. Free mentions that resemble no
+base mention of their document are examples of other; so is, to a share of PRIOR, a
+mention that shows nothing. Classes of examples weigh so that other and the rest are
+alike. Free mentions that resemble a base mention teach nothing: what they are, messages
+decide. Chain and skip weights come from smoothed counts of base labels that agree.
+
+Defined cases: null and empty texts have no spans; any length is read whole; an empty
+table gives an empty one (and a field of no evidence); repeated rows and doc_ids, and null
+doc_ids, give a result for each row; of kinds as likely as each other the first counts;
+other columns, whatever they are called, are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +42,9 @@ from pyspark.sql import functions as F
 
 LABELS = ("other", "email", "ip", "card", "phone")
 KINDS = LABELS[1:]
-MAX_TRAINING = 4_000
+MAX_TRAINING, MAX_MENTIONS = 4_000, 64
+#: Weight of the example that shows nothing, as a share of all others.
+PRIOR = 0.25
 SWEEPS = 12
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -147,6 +156,14 @@ def key(text: str, start: int, end: int) -> str:
     return _NOT_DIGITS.sub("", m)[-7:]
 
 
+#: Features (by place in features()) that make a base span, for each label.
+HIDDEN = {1: (1, 2), 2: (3,), 3: (7, 9), 4: (10,)}
+
+
+def masked(x: list[float], label: int) -> list[float]:
+    return [0.0 if i in HIDDEN[label] else v for i, v in enumerate(x)]
+
+
 @dataclass(frozen=True)
 class Field:
     """node: weights by feature and label; chain, skip: log potentials by label of either end."""
@@ -217,51 +234,73 @@ def find_text(text: str | None, field: Field | None) -> list[tuple[int, int, int
 
 
 def _mentions(text: str | None) -> list[dict]:
+    """The first MAX_MENTIONS mentions of a training text."""
     text = text or ""
     base = base_spans(text)
     nodes = sorted([(s, e, k + 1) for k, s, e in base] + [(s, e, 0) for s, e in free_mentions(text, base)])
-    return [{"x": features(text, s, e), "label": o, "key": key(text, s, e)} for s, e, o in nodes]
+    return [{"x": features(text, s, e), "label": o, "key": key(text, s, e)} for s, e, o in nodes[:MAX_MENTIONS]]
 
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Field:
     """Learns from the mentions of at most MAX_TRAINING documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("x", pa.list_(pa.float64())), ("label", pa.int32()), ("key", pa.string())]))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_mentions(t) for t in batch.column(1).to_pylist()], kind)], ["doc_id", "nodes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_mentions(t) for t in batch.column(1).to_pylist()], kind)], ["h", "nodes"])
 
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    chosen = rows.where(F.col("text").rlike("@|[0-9]{7}|[0-9]\\.[0-9]|\\+[0-9]")).select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(MAX_TRAINING)
-    some = rows.join(F.broadcast(chosen), F.xxhash64("doc_id") == chosen["h"], "left_semi")
-    found = some.mapInArrow(run, "doc_id long, nodes array<struct<x:array<double>,label:int,key:string>>").where(F.size("nodes") > 0).orderBy("doc_id").collect()
-    return train([[(m.x, m.label, m.key) for m in row.nodes] for row in found])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["h"])
+        field = train([[(m["x"], m["label"], m["key"]) for m in r["nodes"]] for r in held])
+        yield pa.RecordBatch.from_arrays([pa.array([m.reshape(-1).tolist()], pa.list_(pa.float64())) for m in (field.node, field.chain, field.skip)], ["node", "chain", "skip"])
+
+    rows = docs.select(F.xxhash64(docs[key].cast("long")).alias("h"), docs[text].cast("string").alias("text")).where(F.col("text").rlike("@|[0-9]{7}|[0-9]\\.[0-9]|\\+[0-9]"))
+    chosen = rows.select("h").distinct().orderBy("h").limit(MAX_TRAINING)
+    some = rows.join(F.broadcast(chosen), "h", "left_semi").groupBy("h").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("row")).select("h", "row.text")
+    found = some.mapInArrow(read, "h long, nodes array<struct<x:array<double>,label:int,key:string>>").where(F.size("nodes") > 0)
+    # one task learns: it gets no more than the bounds above
+    made = found.repartition(1).mapInArrow(learn, "node array<double>, chain array<double>, skip array<double>").collect()
+    if not made:
+        return train([])
+    k = len(LABELS)
+    return Field(*(np.array(v).reshape(-1, k) for v in (made[0].node, made[0].chain, made[0].skip)))
 
 
 def train(documents: list[list[tuple[list[float], int, str]]]) -> Field:
-    """documents: for each its mentions in order, as (features, label, key)."""
+    """documents: for each its mentions in order, as (features, label, key); label 0: a free mention."""
     k, d = len(LABELS), len(features("0000000", 0, 7))
     chain, agree, differ = np.ones((k, k)), 20.0, 1.0
     xs, ys = [], []
     for nodes in documents:
         last: dict[str, int] = {}
+        known = {word for _, label, word in nodes if label}
         for i, (x, label, word) in enumerate(nodes):
-            xs.append(x)
-            ys.append(label)
-            if i:
-                chain[nodes[i - 1][1], label] += 1
             if label:
+                xs.append(masked(x, label))
+                ys.append(label)
                 if word in last:
                     agree, differ = agree + (last[word] == label), differ + (last[word] != label)
                 last[word] = label
+            elif word not in known:
+                xs.append(x)
+                ys.append(0)
+            if i and label and nodes[i - 1][1]:
+                chain[nodes[i - 1][1], label] += 1
     node = np.zeros((d, k))
     if xs:
-        x, y = np.array(xs), np.eye(k)[np.array(ys)]
+        x, label = np.array([*xs, [1.0] + [0.0] * (d - 1)]), np.array([*ys, 0])
+        other = label == 0
+        weight = np.ones(len(x))
+        weight[-1] = 0.0
+        weight[other] *= max(1.0, (~other).sum()) / max(1.0, weight[other].sum())
+        weight[-1] = PRIOR * weight.sum()
+        weight /= weight.sum()
+        y = np.eye(k)[label]
         for _ in range(400):
             z = x @ node
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            node += 2.0 * (x.T @ (y - p) / len(x) - 2e-4 * node)
+            node += 2.0 * (x.T @ (weight[:, None] * (y - p)) - 2e-4 * node)
     joint = chain / chain.sum()
     # how much more often than by chance two labels follow each other
     ratio = np.log(joint) - np.log(joint.sum(axis=1))[:, None] - np.log(joint.sum(axis=0))[None, :]

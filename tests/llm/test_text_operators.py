@@ -1,6 +1,8 @@
 """Tokens, secrets, personal data, toxicity and language model against plain versions."""
 
 import collections
+import dataclasses
+import itertools
 import math
 import random
 import re
@@ -182,6 +184,50 @@ def test_messages_agree_with_enumeration():
     assert np.allclose(p, total / total.sum(axis=1, keepdims=True), atol=1e-4)
 
 
+def _exact_marginals(field, x, edges):
+    n, k = len(x), len(personal_data.LABELS)
+    total = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        w = math.exp(sum((x[i] @ field.node)[v] for i, v in enumerate(labels)) + sum(psi[labels[a], labels[b]] for a, b, psi in edges))
+        for i, v in enumerate(labels):
+            total[i, v] += w
+    return total / total.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_messages_around_circles_are_near_enumeration(seed):
+    r = np.random.default_rng(seed)
+    k = len(personal_data.LABELS)
+    field = personal_data.Field(r.normal(size=(3, k)), r.normal(size=(k, k)) * 0.2, 0.8 * np.eye(k))
+    x = r.normal(size=(5, 3))
+    keys = ["a", "b", "a", "c", "b"]  # skip edges 0-2 and 1-4 close circles with the chain
+    got = personal_data.marginals(field, x, np.full(5, -1), keys)
+    want = _exact_marginals(field, x, [*((i, i + 1, field.chain) for i in range(4)), (0, 2, field.skip), (1, 4, field.skip)])
+    assert np.abs(got - want).max() < 0.05
+    without = personal_data.marginals(dataclasses.replace(field, skip=0 * field.skip), x, np.full(5, -1), keys)
+    assert np.abs(without - want).max() > np.abs(got - want).max()
+
+
+def test_messages_change_labels(spark):
+    r = random.Random(21)
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    rows = [f"write to {number(3)}.x@host.org, the order {number(14 if i % 20 else 9)} of 10.0.0.{i}, part {number(8)}, or call +49 151 {(n := number(8))}, +49 151 {n}" for i in range(120)]
+    field = personal_data.fit(_docs(spark, rows))
+    texts = [f"ring +49 151 {(n := number(8))} please, {'so ' * r.randint(3, 60)} or in town 0151 {n} and part {number(8)}" for _ in range(30)]
+    added = [[s for s in personal_data.find_text(t, field) if not s[3]] for t in texts]
+    assert all([t[s:e] for _, s, e, _ in found] == [t[t.index("0151") : t.index(" and part")]] and found[0][0] == 3 for t, found in zip(texts, added, strict=True))
+    alone = dataclasses.replace(field, skip=0 * field.skip)
+    assert not any(not s[3] for t in texts for s in personal_data.find_text(t, alone))
+    assert all(personal_data.base_spans(t) == [s[:3] for s in personal_data.find_text(t, field) if s[3]] for t in texts)
+
+
+def test_training_is_bounded_by_documents(spark):
+    docs = spark.createDataFrame([(None, f"+49 151 1234{i:04d}", None, None, None) for i in range(50)] + [(7, "a@b.cd " * 500, None, None, None)] * 20, DOCS)
+    field = personal_data.fit(docs)
+    assert field.node.shape == (len(personal_data.features("0000000", 0, 7)), 5) and len(personal_data._mentions("a@b.cd " * 500)) == personal_data.MAX_MENTIONS
+    assert personal_data.find_personal_data(docs, field).count() == 70
+
+
 def test_toxicity_is_learned(spark):
     r = random.Random(7)
     plain, bad = [f"word{i}" for i in range(300)], ["idiotic", "scumbag", "wretchling"]
