@@ -1,22 +1,28 @@
 """Mixing sources to target weights, by blocks of words. DataFrame functions only.
 
 The documents of a source stand one after the other, in pseudorandom order, and are cut
-into blocks of BLOCK_WORDS words. A source's target is filled slot by slot: slot k takes
-block p(k) of an epoch, where p is a pseudorandom bijection of the source's full blocks
-(multiply and shift on the next power of two, walked until it falls inside); the short
-last block closes each epoch; the last slot takes what is missing to the target. Each
-slot draws its output shard independently and uniformly, so the counts of a source per
-shard are multinomial and its sum is exact. Slots meet blocks by index in a join.
+into blocks of BLOCK_WORDS words. A source's target is filled slot by slot. First the
+number of its slots in each output shard is drawn: a multinomial draw, one uniform and
+independent choice of a shard for each slot, of which only the counts are kept. Then the
+shards take their counts of slots one after the other, and slot k takes block p(k) of an
+epoch, where p is a pseudorandom bijection of the source's full blocks (multiply and shift
+on the next power of two, walked until it falls inside); the short last block closes each
+epoch; the last slot takes what is missing to the target. So the counts of a source per
+shard are random and its sum is exact. Slots meet blocks by index in a join.
 
 Targets: weights WEIGHTS repeat over the sources in code-point order, null last. They
 share SHARE times all words; a target stops at MOST times its source, the excess goes to
 the others by weight (solved exactly by ordering sources by size over weight).
 
 Positions come from sums over (source, bucket) and then inside a bucket, so no task
-orders a whole source. Only block numbers, never texts, are shuffled.
+orders a whole source; buckets grow with the table. Only block numbers, never texts, are
+shuffled. Slots are made in many tasks, of SLOTS_OF_TASK each or more.
 
 Defined cases: a null text has no words and is never taken; a null source is a source;
-rows that share a doc_id are documents of their own; with no words at all, targets are 0.
+rows that share a doc_id are documents of their own (equal in order and size, they are
+interchangeable); null doc_ids come first; texts of any length are measured whole; an
+empty table has no documents and no slots; with no words at all, targets are 0; other
+columns, whatever they are called, are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +41,10 @@ MOST = 2
 
 BLOCK_WORDS = 512
 SHARD_WORDS = 1 << 22
-BUCKETS = 4096
-#: Slots are generated in two steps, so that no row holds more than so many.
-CHUNK = 1 << 16
+#: Buckets at least, and documents of a bucket on average at most.
+BUCKETS, BUCKET_ROWS = 4096, 1 << 16
+#: Slots that one row stands for before they are made, and that a task makes at least.
+CHUNK, SLOTS_OF_TASK = 1 << 12, 1 << 14
 #: Sources up to this number are broadcast; beyond, they are joined like any table.
 FEW_SOURCES = 20_000
 
@@ -62,14 +69,15 @@ def permuted(index: str, n: str, rank: str, epoch: str, duck: bool = False) -> s
         step = f"CASE WHEN y < {n} THEN y ELSE {round_of('y')} END"
         return f"list_reduce(range(0, {_WALK}), lambda y, i: {step}, {round_of(index)})"
     mask, half = f"(shiftleft(1L, {bits}) - 1)", f"CAST(({bits} + 1) div 2 AS INT)"
-    return f"aggregate(sequence(1, {_WALK}), {round_of(index)}, (y, i) -> CASE WHEN y < {n} THEN y ELSE {round_of('y')} END)"
+    walk = f"aggregate(sequence(1, {_WALK}), {round_of(index)}, (y, i) -> CASE WHEN y < {n} THEN y ELSE {round_of('y')} END)"
+    return f"CASE WHEN {round_of(index)} < {n} THEN {round_of(index)} ELSE {walk} END"  # most need no walk
 
 
 def sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, source, size, bucket; written once."""
+    """doc_id, source, size, digest (32 bits of a hash of doc_id); written once."""
     words = F.regexp_count(F.coalesce(docs[text].cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    bucket = F.conv(F.substring(F.md5(F.coalesce(docs[key].cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % BUCKETS
-    return stored(docs.select(docs[key].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), words.alias("size"), bucket.alias("bucket")), "sizes")
+    digest = F.conv(F.substring(F.md5(F.coalesce(docs[key].cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return stored(docs.select(docs[key].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), words.alias("size"), digest.alias("digest")), "sizes")
 
 
 def targets(sized: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -96,34 +104,56 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 @dataclass
 class Mix:
-    """slots: rank, slot, epoch, block, words, shard. documents: one row for each, with taken."""
+    """counts: rank, shard, n (slots). slots: rank, shard, slot, epoch, block, words. documents: one row for each, with taken."""
 
+    counts: DataFrame
     slots: DataFrame
     documents: DataFrame
 
 
+def _spread(df: DataFrame, n_slots: int) -> DataFrame:
+    """Rows that stand for n_slots slots together, dealt out so that many tasks make them. Not by a key, and with a number, so Spark neither gathers nor merges them."""
+    most = max(200, 16 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(max(1, min(most, -(-n_slots // SLOTS_OF_TASK))))
+
+
+def draw_counts(plan: DataFrame, n_slots: int, n_shards: int) -> DataFrame:
+    """rank, shard, n: how many of its slots a source has in each shard; written once. plan: rank, n_slots."""
+    chunks = plan.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {CHUNK})")))
+    draws = _spread(chunks, n_slots).select("rank", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least((chunk + 1) * {CHUNK}, n_slots) - 1)")).alias("draw"))
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "rank", "draw"), F.lit(n_shards))
+    return stored(draws.groupBy("rank", shard.alias("shard")).agg(F.count(F.lit(1)).alias("n")), "shards", merged=True)
+
+
 def mix(sized: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> Mix:
     sources = stored(sources, "sources")
     n_sources = sources.count()
-    total = sources.agg(F.sum(F.floor("target"))).first()[0] or 0
-    n_shards = max(1, -(-int(total) // shard_words))
+    buckets = max(BUCKETS, 1 << (sized.count() // BUCKET_ROWS).bit_length())
 
     # how many slots: whole epochs, then blocks up to what is missing
     plan = sources.withColumn("words", F.floor("target").cast("long")).withColumn("n_full", F.expr(f"source_size div {block_words}")).withColumn("short", F.expr(f"source_size % {block_words}"))
     plan = plan.where("words > 0").withColumn("n_blocks", F.expr("n_full + CAST(short > 0 AS INT)")).withColumn("epochs", F.expr("words div source_size")).withColumn("left_over", F.expr("words % source_size"))
     plan = plan.withColumn("n_slots", F.expr(f"epochs * n_blocks + (left_over + {block_words} - 1) div {block_words}"))
-    chunks = plan.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {CHUNK})"))).repartition("rank", "chunk")
-    slots = chunks.withColumn("slot", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least((chunk + 1) * {CHUNK}, n_slots) - 1)")))
+    plan = plan.select("rank", "n_full", "short", "n_blocks", "epochs", "left_over", "words", "n_slots")
+    total = plan.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_slots"), F.lit(0)).alias("n_slots")).first()
+    n_slots = int(total.n_slots)
+    counts = draw_counts(plan.select("rank", "n_slots"), n_slots, max(1, -(-int(total.words) // shard_words)))
+
+    # shards take their counts one after the other; a row of many slots is cut first
+    earlier = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    laid_out = counts.withColumn("begin", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    pieces = laid_out.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})")))
+    slots = _spread(pieces, n_slots).select("rank", "shard", F.explode(F.expr(f"sequence(begin + chunk * {CHUNK}, begin + least((chunk + 1) * {CHUNK}, n) - 1)")).alias("slot"))
+    slots = slots.join(_small(plan.drop("words", "n_slots"), n_sources), "rank")
     slots = slots.withColumn("epoch", F.expr("slot div n_blocks")).withColumn("place", F.expr("slot % n_blocks"))
     slots = slots.withColumn("block", F.expr(f"CASE WHEN place < n_full THEN {permuted('place', 'n_full', 'rank', 'epoch')} ELSE n_full END"))
     most = F.expr(f"CASE WHEN place < n_full THEN {block_words}L ELSE short END")
     slots = slots.withColumn("words", F.when(F.col("epoch") < F.col("epochs"), most).otherwise(F.least(most, F.col("left_over") - F.col("place") * block_words)))
-    shard = F.pmod(F.xxhash64(F.lit("shard"), "rank", "slot"), F.lit(n_shards))
-    slots = slots.select("rank", "slot", "epoch", "block", "words", shard.alias("shard"))
+    slots = slots.select("rank", "shard", "slot", "epoch", "block", "words")
 
     # where each document begins in its source
     named = sized.withColumnRenamed("source", "s")
-    known = named.join(_small(sources, n_sources), F.col("s").eqNullSafe(F.col("source"))).select("doc_id", "source", "rank", "source_size", "target", "size", "bucket")
+    known = named.join(_small(sources, n_sources), F.col("s").eqNullSafe(F.col("source"))).select("doc_id", "source", "rank", "source_size", "target", "size", (F.col("digest") % buckets).alias("bucket"))
     in_bucket = Window.partitionBy("rank", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size")
     per_bucket = known.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
     up_to = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,7 +169,7 @@ def mix(sized: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, sh
     met = pieces.join(slots.groupBy("rank", "block").agg(F.collect_list("words").alias("takes")).hint("merge"), ["rank", "block"], "left")
     taken = F.expr("aggregate(coalesce(takes, array()), 0L, (t, w) -> t + greatest(least(`to`, w) - `from`, 0L))")
     documents = met.groupBy("rank", "bucket", "nth", "doc_id", "source", "size", "source_size", "target").agg(F.sum(taken).alias("taken"))
-    return Mix(slots, documents)
+    return Mix(counts, slots, documents)
 
 
 def mix_documents(docs: DataFrame, **names: str) -> Mix:

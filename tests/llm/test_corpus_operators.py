@@ -1,5 +1,6 @@
 """Duplicates, neighbours, overlaps with a benchmark, mixing and the pipeline against plain versions."""
 
+import collections
 import math
 import random
 
@@ -138,8 +139,9 @@ def test_line_dedup_equals_all_pairs(spark, edits):
     gone = {p for places in classes.values() for p in sorted(places)[1:]}
     want = {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in enumerate(texts)}
     docs = _docs(spark, texts).withColumn("removed", F.lit(1)).withColumn("h", F.lit(2))
+    docs = docs.withColumn("_lines", F.lit(3)).withColumn("line_hash", F.lit(4)).withColumn("__slices", F.lit(5))
     out = line_dedup.dedup_lines(docs, edits, min_chars=8)
-    assert out.columns[: len(docs.columns)] == docs.columns
+    assert out.columns == docs.columns
     assert {x.doc_id: x.text for x in out.collect()} == want
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
@@ -155,6 +157,46 @@ def test_short_lines_go_as_exact_copies_only(spark, tmp_path):
     assert sorted((x.doc_id, x.n_lines, x.n_kept) for x in queries.op2_line_dedup(spark, str(tmp_path)).collect()) == [(0, 4, 4), (1, 4, 2), (2, 3, 2)]
 
 
+@pytest.mark.parametrize("edits", [0, 1, 2, 4])
+def test_banded_bits_equal_the_distance(spark, edits):
+    r = random.Random(edits)
+    pairs = [("", ""), ("", "ab"), ("a", "a"), ("ab", "ba"), ("𝄞é", "é𝄞x"), ("a" * 70, "a" * 72), ("ab" * 40, "ba" * 40)]
+    for _ in range(300):
+        a = "".join(r.choice("abé𝄞") for _ in range(r.randint(0, 70)))
+        b = list(a)
+        for _ in range(r.randint(0, 6)):
+            k = r.randint(0, len(b))
+            b[k : k + r.choice([0, 1])] = r.choice(["", "a", "z"])
+        pairs.append(tuple(sorted((a, "".join(b)), key=len)))
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    got = rows.select("a", "b", line_dedup.within_edits(F.col("a"), F.col("b"), edits).alias("near")).collect()
+    assert [x.near for x in got] == [_distance(x.a, x.b) <= edits for x in got]
+
+
+@pytest.mark.parametrize("hot", [2, 10_000])
+def test_a_line_in_most_documents_is_split(spark, monkeypatch, hot):
+    from maskwright.functions import tables
+
+    monkeypatch.setattr(tables, "HOT_KEYS", hot)
+    monkeypatch.setattr(tables, "SPLIT_FROM", 0)
+    common = "a line that stands in nearly all of the documents"
+    texts = [f"{common if i % 3 else common[:-1]}\nline {i} of its own, quite long" for i in range(120)]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(_docs(spark, texts)).collect()}
+    u, lines = Union(), {}
+    for i, t in enumerate(texts):
+        for n, line in enumerate(t.split("\n")):
+            lines.setdefault(line, []).append((i, n))
+    for a in lines:
+        for b in lines:
+            if a < b and _distance(a, b) <= 2:
+                u.join(a, b)
+    classes = {}
+    for line, at in lines.items():
+        classes.setdefault(u.top(line), []).extend(at)
+    gone = {p for at in classes.values() for p in sorted(at)[1:]}
+    assert got == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in enumerate(texts)}
+
+
 def test_line_links_by_shuffle_are_the_same(spark, monkeypatch):
     lines = spark.createDataFrame([("the quick brown fox",), ("the quick brown fix",), ("a quick brown fox is",), ("something else here",)], "line string")
     few = sorted(map(tuple, line_dedup.line_links(lines).collect()))
@@ -188,9 +230,8 @@ def test_neighbours_of_few_vectors_are_exact(spark):
 
 
 def test_recall_with_leaves(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "PART", 100)
-    monkeypatch.setattr(nearest, "GROUP", 7)
-    monkeypatch.setattr(nearest, "LEAF", 16)
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 64 * 64)
+    monkeypatch.setattr(nearest, "LEAF_VECTORS", 64)
     r = np.random.default_rng(3)
     centres = r.normal(size=(20, 8)) * 3
     vectors = {i: (centres[i % 20] + r.normal(size=8)).tolist() for i in range(3000)}
@@ -205,6 +246,27 @@ def test_recall_with_leaves(spark, monkeypatch):
     assert nearest.neighbours(table.limit(0), 50).count() == 0
 
 
+def test_neighbours_of_very_large_and_small_components(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 3e190]), (2, [-1e200, 0.0]), (3, [1e-200, 1e-200]), (4, [4e-200, 5e-200]), (5, [1.0, 2.0]), (6, [1.0, 2.0]), (20, [1e300, 1e300]), (20, [1.0, 1.0])]
+    got = {}
+    for x in nearest.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 3).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    assert [(v, s) for _, v, s in sorted(got[0])] == [(1, 3e190), (3, 1e200), (4, 1e200)]  # ties to the smaller vec_id
+    assert [(v, s) for _, v, s in sorted(got[20])] == [(5, 1.0), (6, 1.0), (3, pytest.approx(math.sqrt(2)))]  # the smaller of its vectors asks
+    assert nearest._distances(np.array([[4e-200, 5e-200]]), np.array([1e-200, 2e-200]))[0] == pytest.approx(math.sqrt(18) * 1e-200)
+
+
+def test_leaves_grow_with_the_table_and_queries_go_on(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(2000, 4))
+    assert nearest.fit_tree(x, 10, 2_000).n_leaves < nearest.fit_tree(x, 10, 20_000).n_leaves < nearest.fit_tree(x, 10, 10**9).n_leaves
+    tree = nearest.fit_tree(x, 10, 10**9)
+    counts = np.ones(tree.n_leaves, np.int64)
+    assert len(tree.best_bins(tree.scaled(x[:1])[0], 1, counts, 11)) == 11
+    near = tree.best_bins(tree.scaled(x[:1])[0], tree.n_leaves)
+    assert sorted(near) == list(range(tree.n_leaves))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_overlaps_with_a_benchmark(spark, monkeypatch, seed):
     monkeypatch.setattr(decontamination, "SLICE_WORDS", 1000 if seed % 2 else 30)
@@ -234,6 +296,54 @@ def test_overlaps_with_a_benchmark(spark, monkeypatch, seed):
     assert clean == set(range(len(texts))) - {i for i, _ in want}
 
 
+def _best_stretch(own, text, window, need):
+    """Plain version: every diagonal, every window."""
+    best = None
+    for shift in range(-(len(own) - window), len(text) - window + 1):
+        good = [i for i in range(len(own) - window + 1) if 0 <= shift + i and shift + i + window <= len(text) and sum(own[i + k] == text[shift + i + k] for k in range(window)) >= need]
+        if good:
+            a, b = good[0], good[-1] + window
+            same = sum(own[k] == text[shift + k] for k in range(a, b))
+            found = (same, -(shift + a), b - a, len(good))
+            best = found if best is None or found > best else best
+    return best
+
+
+@pytest.mark.parametrize("alphabet", [2, 5, 60])
+def test_overlaps_stand_where_a_plain_search_finds_them(spark, monkeypatch, alphabet):
+    monkeypatch.setattr(decontamination, "SLICE_WORDS", 150)
+    r = random.Random(alphabet)
+    words = lambda n: [f"w{r.randrange(alphabet)}" for _ in range(n)]
+    items = [words(r.choice([3, 13, 14, 30, 60])) for _ in range(12)]
+    items += [items[0], items[3]]
+    texts = []
+    for _ in range(25):
+        part = list(r.choice(items))
+        for k in range(len(part)):
+            if r.random() < 0.08:
+                part[k] = f"x{k}"
+        texts.append(words(r.randint(0, 20)) + part[r.randint(0, 3) :] + words(r.randint(0, 20)))
+    docs = _docs(spark, [" ".join(t) for t in texts] + [None, ""])
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(None, None), (99, "")], "item_id long, text string")
+    got = sorted((x.doc_id, x.item_id, x.n_same, -x.start_word, x.end_word - x.start_word, x.n_windows) for x in decontamination.find_overlaps(docs, bench).collect())
+    want = []
+    for d, t in enumerate(texts):
+        for i, own in enumerate(items):
+            window = min(13, len(own))
+            best = _best_stretch(own, t, window, decontamination.needed(window)) if len(t) >= window else None
+            if best:
+                want.append((d, i, *best))
+    assert got == sorted(want)
+    clean = {x.doc_id for x in decontamination.drop_contaminated(docs, bench).collect()}
+    assert clean == set(range(27)) - {d for d, *_ in want}
+
+
+def test_words_that_repeat_take_bounded_time():
+    items = decontamination.prepare([1, 2], pa.array(["a " * 500, "b c " * 100]))
+    raw, offsets = np.frombuffer(b"a " * 40_000 + b"b c " * 5_000, np.uint8), np.array([0, 80_000, 100_000])
+    assert decontamination.find_block(items, raw, offsets) == [(0, 0, 0, 500, 500, 488), (1, 1, 0, 200, 200, 188)]
+
+
 def test_masks_cover_all_substitutions():
     import itertools
 
@@ -268,6 +378,30 @@ def test_mix_takes_its_targets(spark):
     assert len(levels) == 1 and all(2 * by[s][2] <= weight[s] * max(levels) + 1e-6 for s in by if s not in free)
     slots = mix.slots.collect()
     assert len({(x.rank, x.slot) for x in slots}) == len(slots) and len({x.shard for x in slots}) > 5
+    in_shard, begins = collections.Counter((x.rank, x.shard) for x in slots), {}
+    assert {(x.rank, x.shard): x.n for x in mix.counts.collect()} == in_shard
+    for x in sorted(slots, key=lambda x: (x.rank, x.slot)):  # a source's shards stand one after the other
+        assert x.shard >= begins.get(x.rank, -1)
+        begins[x.rank] = x.shard
+    n = [in_shard[rank, shard] for rank, shard in in_shard]
+    assert max(n) > min(n)  # drawn, not dealt out evenly
+
+
+def test_slots_come_from_the_drawn_counts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c", "s") for i in range(50)], "doc_id long, text string, source string")
+    draw = mixing.draw_counts
+    monkeypatch.setattr(mixing, "draw_counts", lambda *a: draw(*a).where("shard < 0"))
+    assert {x.taken for x in mixing.mix_documents(docs).documents.collect()} == {0}
+
+
+def test_mix_of_many_buckets_is_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 90, "a b c d e " * (i % 7), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    totals = lambda rows: sorted((x.source_size, x.target, x.size) for x in rows)
+    few = mixing.mix_documents(docs).documents.collect()
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(mixing, "BUCKETS", 2)
+    many = mixing.mix_documents(docs).documents.collect()
+    assert totals(few) == totals(many) and sum(x.taken for x in few) == sum(x.taken for x in many)
 
 
 def test_mix_without_words(spark):
