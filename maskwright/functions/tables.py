@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Keys that join_split and sliced_join treat on their own: at most so many rows are broadcast.
 HOT_KEYS = 10_000
+#: Up to so many rows they join plainly: no task can get more.
+SPLIT_FROM = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +73,8 @@ def join_split(left: DataFrame, right: DataFrame, on: str, n: str, total: int) -
     Of keys with more than total / HOT_KEYS rows there are fewer than HOT_KEYS: they are
     broadcast. The others meet in a shuffle, where none of them has more rows than that.
     """
+    if total <= SPLIT_FROM:
+        return left.join(right, on)
     limit = max(1, total // HOT_KEYS)
     hot, cold = right.where(F.col(n) > limit), right.where(F.col(n) <= limit)
     rest = left.join(F.broadcast(hot.select(on)), on, "left_anti")
@@ -84,6 +88,11 @@ def sliced_join(many: DataFrame, one: DataFrame, on: str, counts: DataFrame, tot
     slices by a hash of column `by`, and their row of `one` goes to each slice. condition:
     tested inside the join, so rows that fail it are never made.
     """
+    if total <= SPLIT_FROM:
+        if condition is None:
+            return many.join(one, on)
+        there = one.select(F.col(on).alias("on_there"), *(c for c in one.columns if c != on))
+        return many.join(there.hint("merge"), (F.col(on) == F.col("on_there")) & condition).drop("on_there")
     limit = max(1, total // HOT_KEYS)
     part, slices = free(many, "slice", "slices")
     hot = F.broadcast(counts.where(F.col("n") > limit).select(F.col(on), F.ceil(F.col("n") / limit).cast("int").alias(slices)))
