@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import discard, stored
+from ..functions.tables import discard, free, join_split, sliced_join, stored
 
-__all__ = ["WORD", "crc_mod", "discard", "stored", "table"]
+__all__ = ["WORD", "crc_mod", "discard", "free", "join_split", "sliced_join", "stored", "table"]
 
 #: A word, as all contracts of this subpackage define it.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -40,8 +40,8 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), copy_chars=line_dedup.COPY_CHARS)
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_kept").alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), copy_chars=line_dedup.COPY_CHARS, counts=("n_lines", "n_kept"))
+    return out.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,8 +169,11 @@ def test_banded_bits_equal_the_distance(spark, edits):
             b[k : k + r.choice([0, 1])] = r.choice(["", "a", "z"])
         pairs.append(tuple(sorted((a, "".join(b)), key=len)))
     rows = spark.createDataFrame(pairs, "a string, b string")
-    got = rows.select("a", "b", line_dedup.within_edits(F.col("a"), F.col("b"), edits).alias("near")).collect()
-    assert [x.near for x in got] == [_distance(x.a, x.b) <= edits for x in got]
+    a, b = F.col("a"), F.col("b")
+    got = rows.select("a", "b", line_dedup.within_edits(a, b, edits).alias("near"), line_dedup.linked(a, b, edits).alias("linked"), line_dedup.segments_held(a, b, edits).alias("held")).collect()
+    for x in got:
+        near = _distance(x.a, x.b) <= edits
+        assert (x.near, x.linked) == (near, near) and (x.held or not near), (x.a, x.b)
 
 
 @pytest.mark.parametrize("hot", [2, 10_000])
