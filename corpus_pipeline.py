@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import decontamination, line_dedup, mixing, near_duplicates, toxicity
-from maskwright.llm.common import stored, table
+from maskwright.llm.common import free, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,9 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars follows. A document of which nothing but spaces is left goes, if lines were taken from it."""
-    out = line_dedup.dedup_lines(docs, copy_chars=line_dedup.COPY_CHARS)
-    out = out.where((F.col("_lines") == F.col("_kept")) | F.col("text").rlike(r"\S"))
-    return out.select(*(F.when(F.col("_lines") == F.col("_kept"), F.col(c)).otherwise(F.length("text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    before, after = free(docs, "lines", "kept")
+    out = line_dedup.dedup_lines(docs, copy_chars=line_dedup.COPY_CHARS, counts=(before, after))
+    whole = F.col(before) == F.col(after)
+    n_chars = F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.where(whole | F.col("text").rlike(r"\S")).select(*(n_chars if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
