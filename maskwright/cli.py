@@ -1,4 +1,6 @@
-"""python -m maskwright.cli --input in.docx --output out.docx [--report report.md]"""
+"""python -m maskwright.cli --input in.docx --output out.docx [--report report.md]
+python -m maskwright.cli inspect --input in.docx [--report report.md]
+"""
 
 from __future__ import annotations
 
@@ -6,7 +8,7 @@ import argparse
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import audit, rewrite
@@ -15,9 +17,9 @@ from .sources import blocks as sources
 from .sources import docx
 
 
-def check_arguments(source: str | None, target: str | None) -> None:
+def check_arguments(source: str | None, target: str | None, written: bool = True) -> None:
     """Raises ValueError or FileNotFoundError with a message for the user."""
-    for name, value in (("input", source), ("output", target)):
+    for name, value in (("input", source), ("output", target))[: 1 + written]:
         if not value or not value.strip():
             raise ValueError(f"--{name} is missing")
         if not value.lower().endswith(".docx"):
@@ -42,19 +44,38 @@ def redact_file(spark: SparkSession, source: str, target: str) -> redaction.Reda
     return done
 
 
+def elements(spark: SparkSession, path: str) -> DataFrame:
+    """file, block_seq, path, runs of a file that the driver sees."""
+    with open(path, "rb") as f:
+        rows = [(os.path.basename(path), p["block_seq"], p["path"], p["runs"]) for p in docx.paragraphs(f.read())]
+    return spark.createDataFrame(rows, "file string, block_seq int, path string, runs array<string>")
+
+
 def main(arguments: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(description="Redacts personal data in a Word document.")
+    given_all = sys.argv[1:] if arguments is None else arguments
+    inspect = given_all[:1] == ["inspect"]
+    parser = argparse.ArgumentParser(description="Redacts personal data in a Word document, or tells what it is made of (inspect).")
     parser.add_argument("--input")
     parser.add_argument("--output")
     parser.add_argument("--report")
-    given = parser.parse_args(arguments)
+    given = parser.parse_args(given_all[inspect:])
     try:
-        check_arguments(given.input, given.output)
+        check_arguments(given.input, given.output, not inspect)
         spark = SparkSession.builder.getOrCreate()
-        done = redact_file(spark, given.input, given.output)
+        if inspect:
+            report = reports.inspection(elements(spark, given.input))
+        else:
+            done = redact_file(spark, given.input, given.output)
+            name = F.lit(os.path.basename(given.input))  # both under one name, to be compared
+            counts = audit.structure_check(*(audit.element_counts(elements(spark, p).withColumn("file", name)) for p in (given.input, given.output)))
+            if counts.where("NOT same").count():
+                raise RuntimeError(f"the structure of {given.output} is not that of {given.input}")
+            report = reports.assurance(done.blocks, done.manifest, counts) if given.report else ""
         if given.report:
             with open(given.report, "w", encoding="utf-8") as f:
-                f.write(reports.markdown("Redaction", {"Manifest": done.manifest.groupBy("entity_type").count().orderBy("entity_type"), "Gate": audit.gate(done.blocks, done.manifest)}))
+                f.write(report)
+        elif inspect:
+            print(report)
     except (ValueError, FileNotFoundError, RuntimeError) as e:
         print(e, file=sys.stderr)
         return 1

@@ -2,37 +2,61 @@
 
 Positions count code points from 0, the end is exclusive. Patterns must never match the
 empty string. They are Java patterns; (?U) makes classes and boundaries follow Unicode.
+A null text has no matches, an empty one neither; repeated and long texts are nothing special.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,text:string>"
+#: Put around matches; a text that holds it is searched with another control character in its place.
+_MARK, _OTHER = "\x01", "\x02"
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once for each row: it is a lambda's variable there, not an expression that is put in at each use."""
+    return F.transform(F.array(value), then)[0]
+
+
+def holds_any(*parts: str) -> Callable[[Column], Column]:
+    """A test for texts that hold one of the parts."""
+
+    def test(text: Column) -> Column:
+        found = [F.contains(text, F.lit(p)) for p in parts]
+        out = found[0]
+        for f in found[1:]:
+            out = out | f
+        return out
+
+    return test
 
 
-def spans_of(text: Column, pattern: Column | str, holds: str = "") -> Column:
+def spans_of(text: Column, pattern: Column | str, holds: str | Callable[[Column], Column] | None = None) -> Column:
     """array<struct<start, end, text>> of all non-overlapping matches, leftmost first; null text gives none.
 
-    holds: what every match holds; texts without it are not searched.
+    The text is searched once: matches are marked by a replacement, and the pieces between
+    the marks give the places. holds: what every match holds, or a test that every text with
+    a match passes; other texts are not searched.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    # what stands between the matches: its lengths and those of the matches add up to the positions
-    gaps = F.split(text, p, -1) if isinstance(pattern, str) else F.call_function("split", text, p, F.lit(-1))
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("text")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        begin = (acc["at"] + s["gap"]).cast("int")
-        end = (begin + F.length(s["text"])).cast("int")
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), s["text"].alias("text")))).alias("out"))
-
-    walked = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    there = text.rlike(pattern) if isinstance(pattern, str) else F.call_function("rlike", text, p)
-    there = F.contains(text, F.lit(holds)) & there if holds else there
-    return F.when(F.coalesce(there, F.lit(False)), walked).otherwise(F.array().cast(f"array<{SPAN}>"))
+    marked = F.contains(text, F.lit(_MARK))
+    searched = F.regexp_replace(F.when(marked, F.translate(text, _MARK, _OTHER)).otherwise(text), p, F.lit(f"{_MARK}$0{_MARK}"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast(f"array<{SPAN}>").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        end = (acc["at"] + F.length(piece)).cast("int")
+        own = F.when(marked, F.substring(text, acc["at"] + 1, F.length(piece))).otherwise(piece)
+        out = F.when(acc["match"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"), own.alias("text"))))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), (~acc["match"]).alias("match"), out.alias("out"))
+
+    none = F.array().cast(f"array<{SPAN}>")
+    walked = bound(searched, lambda m: F.when(F.contains(m, F.lit(_MARK)), F.aggregate(F.split(m, _MARK, -1), start, step, lambda acc: acc["out"])).otherwise(none))
+    test = F.lit(True) if holds is None else holds_any(holds)(text) if isinstance(holds, str) else holds(text)
+    return F.when(F.coalesce(test & text.isNotNull(), F.lit(False)), walked).otherwise(none)
 
 
 def left_of(text: Column, start: Column, width: int) -> Column:

@@ -1,10 +1,18 @@
-"""Audits of a detection and checks of a redaction."""
+"""Audits of a detection and checks of a redaction.
+
+The checks name documents by doc_id and, where both tables have it, row (see
+functions/identity), so documents that share a doc_id or have none are checked each by
+itself. Defined cases: empty tables give empty audits, and a gate that passes; null texts
+hold nothing; blocks that repeat count once as leaks and once as unplaced; ties stand in
+the order of the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.identity import packed, unpacked
 from ..functions.spans import spans_of
 from .evaluate import snippet
 from .rewrite import literal_pattern
@@ -61,23 +69,31 @@ def _searched(text: Column, kind: Column, original: Column) -> Column:
     return F.when(anywhere, F.contains(text, original)).otherwise(F.call_function("rlike", text, F.regexp_replace(literal_pattern(original), r"^\(\?iu\)", "")))
 
 
+def _named(redacted: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    by_row = "row" in redacted.columns and "row" in manifest.columns
+    return tuple(packed(df if by_row else df.drop("row")) for df in (redacted, manifest))
+
+
 def leaks(redacted: DataFrame, manifest: DataFrame) -> DataFrame:
-    """doc_id, block_seq, entity_type, original_text: critical originals that a redacted block of their document still holds.
+    """doc_id, row, block_seq, entity_type, original_text: critical originals that a redacted block of their document still holds.
 
     An original that is only there because of one of the block's replacements is no leak.
     """
+    redacted, manifest = _named(redacted, manifest)
     originals = manifest.where(F.col("entity_type").isin(*CRITICAL) & (F.length(F.trim("original_text")) > 3)).select("doc_id", "entity_type", "original_text").distinct()
     new = manifest.groupBy("doc_id", "block_seq").agg(F.collect_set("replacement_text").alias("new"))
     met = redacted.select("doc_id", "block_seq", "redacted").join(originals, "doc_id").where(F.contains("redacted", "original_text") & _searched(F.col("redacted"), F.col("entity_type"), F.col("original_text")))
     known = met.join(new, ["doc_id", "block_seq"], "left").withColumn("new", F.coalesce(F.col("new"), F.array().cast("array<string>")))
     explained = F.exists("new", lambda r: ~_searched(F.replace(F.col("redacted"), r, F.lit("")), F.col("entity_type"), F.col("original_text")))
-    return known.where(~explained).select("doc_id", "block_seq", "entity_type", "original_text")
+    return unpacked(known.where(~explained).select("doc_id", "block_seq", "entity_type", "original_text").distinct())
 
 
 def unplaced(redacted: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Manifest rows of other types whose replacement is not in their block."""
+    """Manifest rows of other types whose replacement is in no such block."""
+    redacted, manifest = _named(redacted, manifest)
     rows = manifest.where(~F.col("entity_type").isin(*CRITICAL))
-    return rows.join(redacted.select("doc_id", "block_seq", "redacted"), ["doc_id", "block_seq"], "left").where(~F.coalesce(F.contains("redacted", "replacement_text"), F.lit(False))).drop("redacted")
+    there = redacted.select(F.col("doc_id").alias("d"), F.col("block_seq").alias("b"), "redacted")
+    return unpacked(rows.join(there, (F.col("doc_id") == F.col("d")) & (F.col("block_seq") == F.col("b")) & F.contains("redacted", "replacement_text"), "left_anti"))
 
 
 def gate(redacted: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -99,6 +115,48 @@ def structure(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(container.alias("container")).agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("characters"))
 
 
+#: Counts that a redaction must not change.
+KEPT_COUNTS = ("paragraphs", "tables", "cells", "sections", "header_paragraphs", "footer_paragraphs")
+
+
+def element_counts(elements: DataFrame) -> DataFrame:
+    """file and eleven counts: paragraphs and runs of body, cells, headers and footers, and tables, rows and cells; sections besides.
+
+    elements: file, path, runs (array<string>), one row for each paragraph as docx.read gives
+    them. A header that several sections share counts in each, as a cell that is merged does.
+    """
+    kind = F.regexp_extract("path", r"^(\w+)", 1)
+    place = lambda name: F.regexp_extract("path", rf"{name}=(\d+)", 1)
+    rows = elements.select("file", kind.alias("kind"), F.size("runs").alias("runs"), *(place(n).alias(n) for n in ("table", "row", "cell", "section")))
+
+    def of(what: str, value) -> list[Column]:
+        here = F.col("kind") == what
+        return [F.count_if(here).alias(f"{value}paragraphs"), F.coalesce(F.sum(F.when(here, F.col("runs"))), F.lit(0)).alias(f"{value}runs")]
+
+    in_table = F.col("kind") == "table"
+    distinct = lambda cond, *names: F.count_distinct(F.when(cond, F.struct(*names)))
+    return rows.groupBy("file").agg(
+        *of("body", ""),
+        distinct(in_table, "table").alias("tables"),
+        distinct(in_table, "table", "row").alias("rows"),
+        distinct(in_table, "table", "row", "cell").alias("cells"),
+        *of("table", "cell_"),
+        *of("header", "header_"),
+        *of("footer", "footer_"),
+        distinct(F.col("section") != "", "section").alias("sections"),
+    )
+
+
+def structure_check(before: DataFrame, after: DataFrame) -> DataFrame:
+    """file, count, before, after, same: KEPT_COUNTS of two tables of element_counts; a file that only one has differs in all of them."""
+
+    def tall(df: DataFrame, name: str) -> DataFrame:
+        return df.select("file", F.explode(F.array(*(F.struct(F.lit(c).alias("count"), F.col(c).cast("long").alias(name)) for c in KEPT_COUNTS))).alias("x")).select("file", "x.*")
+
+    both = tall(before, "before").join(tall(after, "after"), ["file", "count"], "full_outer")
+    return both.withColumn("same", F.coalesce(F.col("before") == F.col("after"), F.lit(False)))
+
+
 def fragmented(runs: DataFrame, paragraphs: int = 200, n: int = 10) -> DataFrame:
     """Words that are split between two runs. runs: doc_id, block_seq, run_idx, text; the first n places in the first paragraphs of each document."""
     order = Window.partitionBy("doc_id", "block_seq").orderBy("run_idx")

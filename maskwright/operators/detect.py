@@ -3,6 +3,11 @@
 candidates: array<struct<entity_type, text, start, end, confidence, source>>. A detector
 is a function from the text column to such an array; detect() concatenates those that are
 registered and keeps repeats. Nothing is shuffled and no Python runs on the workers.
+A pattern is searched only in texts that pass a cheap test which every match passes.
+
+Defined cases: null, empty and blank texts have no candidates; texts of any length are
+searched whole; rows that repeat give repeated results; columns of other names pass
+through, a column `candidates` is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import left_of, right_of, spans_of
+from ..functions.spans import holds_any, left_of, right_of, spans_of
 
 CANDIDATES = "array<struct<entity_type:string,text:string,start:int,end:int,confidence:double,source:string>>"
 Detector = Callable[[Column], Column]
@@ -69,8 +74,12 @@ def _candidate(kind: Column | str, s: Column, confidence: Column | float, source
     return F.struct(kind.alias("entity_type"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"), confidence.alias("confidence"), F.lit(source).alias("source"))
 
 
-def by_pattern(kind: str, pattern: str, confidence: float, keep: Callable[[Column, Column], Column] | None = None, source: str = "regex", holds: str = "") -> Detector:
-    """A detector of all matches of a pattern for which keep(text, span) holds; holds: what every match holds."""
+def has_digit(text: Column) -> Column:
+    return text.rlike(r"(?U)\d")
+
+
+def by_pattern(kind: str, pattern: str, confidence: float, keep: Callable[[Column, Column], Column] | None = None, source: str = "regex", holds: str | Callable[[Column], Column] | None = None) -> Detector:
+    """A detector of all matches of a pattern for which keep(text, span) holds; holds: see spans_of."""
 
     def run(text: Column) -> Column:
         found = spans_of(text, pattern, holds)
@@ -94,10 +103,10 @@ def dates(text: Column) -> Column:
         birth = dob_context(text, s["start"], s["end"])
         return _candidate(F.when(birth, "DATE_OF_BIRTH").otherwise("DATE_CANDIDATE"), s, F.when(birth, 0.90).otherwise(0.50))
 
-    return F.transform(spans_of(text, DATE), one)
+    return F.transform(spans_of(text, DATE, has_digit), one)
 
 
-def _addresses(pattern: str) -> Detector:
+def _addresses(pattern: str, holds: str | Callable[[Column], Column]) -> Detector:
     """Spans without punctuation around them, longer than 8 characters."""
 
     def run(text: Column) -> Column:
@@ -107,7 +116,7 @@ def _addresses(pattern: str) -> Detector:
             start = (s["start"] + left).cast("int")
             return F.struct(start.alias("start"), (start + F.length(clean)).cast("int").alias("end"), clean.alias("text"))
 
-        trimmed = F.filter(F.transform(spans_of(text, pattern), cut), lambda s: F.length(s["text"]) > 8)
+        trimmed = F.filter(F.transform(spans_of(text, pattern, holds), cut), lambda s: F.length(s["text"]) > 8)
         return F.transform(trimmed, lambda s: _candidate("ADDRESS", s, 0.90))
 
     return run
@@ -116,27 +125,29 @@ def _addresses(pattern: str) -> Detector:
 #: The built-in detectors, in the order in which their candidates count as found.
 REGEX: dict[str, Detector] = {
     "email": by_pattern("EMAIL", EMAIL, 0.99, holds="@"),
-    "phone": by_pattern("PHONE_CANDIDATE", PHONE, 0.85, _phone_kept),
-    "ssn": by_pattern("SSN_CANDIDATE", SSN, 0.95),
-    "card": by_pattern("CREDIT_CARD_CANDIDATE", CARD, 0.90, _card_kept),
-    "ipv4": by_pattern("IP_CANDIDATE", IPV4, 0.95),
+    "phone": by_pattern("PHONE_CANDIDATE", PHONE, 0.85, _phone_kept, holds=has_digit),
+    "ssn": by_pattern("SSN_CANDIDATE", SSN, 0.95, holds="-"),
+    "card": by_pattern("CREDIT_CARD_CANDIDATE", CARD, 0.90, _card_kept, holds=has_digit),
+    "ipv4": by_pattern("IP_CANDIDATE", IPV4, 0.95, holds=has_digit),
     "ipv6": by_pattern("IP_CANDIDATE", IPV6, 0.95, holds=":"),
     "date": dates,
     "registry": by_pattern("COMPANY_CANDIDATE", REGISTRY, 0.95),
-    "company": by_pattern("COMPANY_CANDIDATE", COMPANY, 0.95),
-    "street": _addresses(STREET),
-    "office": _addresses(OFFICE),
-    "place_pin": _addresses(PLACE_PIN),
+    "company": by_pattern("COMPANY_CANDIDATE", COMPANY, 0.95, holds=holds_any("Limited", "LLP", "Corporation", "Ltd")),
+    "street": _addresses(STREET, has_digit),
+    "office": _addresses(OFFICE, ":"),
+    "place_pin": _addresses(PLACE_PIN, ","),
 }
 
 _TITLED = r"(?U)\b(?:Mr|Ms|Mrs|Dr|Shri|Prof|Shree)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}"
-_GPE = r"(?U)\b(?:Pune|Mumbai|Bombay|Maharashtra|Delhi|India|Chakan|Khed|Birdewadi)\b"
+# Place names.
+PLACES = ("Pune", "Mumbai", "Bombay", "Maharashtra", "Delhi", "India", "Chakan", "Khed", "Birdewadi")
+_GPE = r"(?U)\b(?:" + "|".join(PLACES) + r")\b"
 
 
 def rule_names(text: Column) -> Column:
     """Stands in for a statistical name recogniser where none is plugged in: titled names and a short list of places."""
-    persons = F.transform(spans_of(text, _TITLED), lambda s: _candidate("PERSON_CANDIDATE", s, 0.85, "rules"))
-    return F.concat(persons, F.transform(spans_of(text, _GPE), lambda s: _candidate("LOCATION_CANDIDATE", s, 0.70, "rules")))
+    persons = F.transform(spans_of(text, _TITLED, holds_any("Mr", "Ms", "Dr", "Shri", "Prof", "Shree")), lambda s: _candidate("PERSON_CANDIDATE", s, 0.85, "rules"))
+    return F.concat(persons, F.transform(spans_of(text, _GPE, holds_any(*PLACES)), lambda s: _candidate("LOCATION_CANDIDATE", s, 0.70, "rules")))
 
 
 _registered: dict[str, Detector] = {**REGEX, "names": rule_names}

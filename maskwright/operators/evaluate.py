@@ -2,6 +2,10 @@
 
 truth and predicted: block (any key column), entity_type, start, end. Matching is one to
 one; where it depends on order (greedy overlap), the order is that of start, end and type.
+
+Defined cases: empty tables give no rows (averages: zeros); spans that repeat are matched
+each; a block that is null matches nothing; a block that only one side has counts as missed
+or extra, so true spans of blocks without runs are all missed.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from ..functions.spans import spans_of
 
 SPANS = "array<struct<entity_type:string,start:int,end:int>>"
 #: Categories that are always reported.
-ALWAYS = ("PERSON", "EMAIL", "PHONE", "COMPANY", "ADDRESS")
+ALWAYS = ("PERSON", "COMPANY", "LOCATION", "EMAIL", "PHONE")
 
 
 def _numbered(spans: DataFrame) -> DataFrame:
@@ -92,6 +96,14 @@ def ratios(counts: DataFrame) -> DataFrame:
     return with_two.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
+def by_category(counts: DataFrame) -> DataFrame:
+    """counts with a row for each category of ALWAYS, of zeros where nothing was counted."""
+    spark = counts.sparkSession
+    always = spark.createDataFrame([(c,) for c in ALWAYS], "entity_type string")
+    zero = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn")]
+    return counts.join(F.broadcast(always), "entity_type", "full_outer").select("entity_type", *zero)
+
+
 def averages(counts: DataFrame) -> DataFrame:
     """kind (micro, macro), precision, recall, f1: from sums, and as means over categories that occur."""
     micro = ratios(counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")))).select(F.lit("micro").alias("kind"), "precision", "recall", "f1")
@@ -128,6 +140,26 @@ def examples(spans: DataFrame, n: int = 3) -> DataFrame:
     return spans.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
 
 
+def containing_sources(candidates: Column, start: Column, end: Column) -> Column:
+    """The sources, sorted, of raw candidates that lie inside a final span, joined by ' + '; 'unknown' if there are none."""
+    inside = F.filter(candidates, lambda c: (c["start"] >= start) & (c["end"] <= end))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform(inside, lambda c: c["source"]))), " + ")
+    return F.when(names == "", "unknown").otherwise(names)
+
+
+def stage_counts(judged: DataFrame) -> DataFrame:
+    """One row: raw, resolved, merged (raw less resolved), kept, rejected. judged: blocks with candidates, resolved and validated."""
+    kept = lambda decision: F.size(F.filter("validated", lambda v: v["decision"] == decision))
+    sums = judged.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("raw", F.size("candidates")), ("resolved", F.size("resolved")), ("kept", kept("KEEP")), ("rejected", kept("REJECT")))))
+    return sums.select("raw", "resolved", (F.col("raw") - F.col("resolved")).alias("merged"), "kept", "rejected")
+
+
+def kept_by(judged: DataFrame) -> DataFrame:
+    """container, entity_type, n: validated spans that stay. judged: blocks with path and validated."""
+    spans = judged.select(F.regexp_extract("path", r"^(\w+)", 1).alias("container"), F.explode("validated").alias("v")).where("v.decision = 'KEEP'")
+    return spans.groupBy("container", "v.entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def profile(detected: DataFrame) -> DataFrame:
     """source, raw: candidates by detector; detected: blocks with candidates."""
     return detected.select(F.explode("candidates").alias("c")).groupBy(F.col("c.source").alias("source"), F.col("c.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("raw"))

@@ -3,6 +3,10 @@
 Types become canonical, candidates with equal place and type are merged (all sources
 stay), then spans are taken in order of start, length, strength, confidence and type; one
 that overlaps replaces what it overlaps if it wins against all of it, else it goes.
+
+Defined cases: no candidates give no spans; candidates that repeat count once as spans and
+each as a source; unknown types are their own in capitals and weakest; ties fall to the
+type that sorts first.
 """
 
 from __future__ import annotations
@@ -10,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.spans import bound
+
 # Canonical types by detector type, and how strong a type is (1 if not named).
 CANONICAL = {
     "PERSON_CANDIDATE": "PERSON",
@@ -46,7 +52,10 @@ def canonical(kind: Column) -> Column:
 
 
 def strength(kind: Column) -> Column:
-    return _lookup(STRENGTH, kind, F.lit(1))
+    out = F.lit(1)
+    for n in sorted(set(STRENGTH.values())):
+        out = F.when(kind.isin(*(k for k, v in STRENGTH.items() if v == n)), n).otherwise(out)
+    return out
 
 
 def valid(text: Column, c: Column) -> Column:
@@ -113,4 +122,6 @@ def resolve(candidates: Column) -> Column:
 
 def guarded(candidates: Column, text: Column) -> Column:
     """candidates, or an error if one of them contradicts the text."""
-    return F.when(F.forall(candidates, lambda c: valid(text, c)), candidates).otherwise(F.raise_error(F.lit("a candidate has invalid offsets or another text")).cast("array<struct<entity_type:string,text:string,start:int,end:int,confidence:double,source:string>>"))
+    kind = "array<struct<entity_type:string,text:string,start:int,end:int,confidence:double,source:string>>"
+    wrong = F.raise_error(F.lit("a candidate has invalid offsets or another text")).cast(kind)
+    return bound(candidates, lambda c: F.when(F.forall(c, lambda x: F.coalesce(valid(text, x), F.lit(False))), c).otherwise(wrong))

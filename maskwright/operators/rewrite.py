@@ -1,4 +1,12 @@
-"""Propagation of known values, replacement in the text, and mapping to runs."""
+"""Propagation of known values, replacement in the text, and mapping to runs.
+
+doc_id is any column that names documents; null never equals null in it, so the redaction
+plan passes structs (see functions/identity). Blocks of one document that repeat are one
+block: spans are found once for them, and each of them is rewritten.
+
+Defined cases: null texts have no spans and stay null; empty tables give empty ones; texts
+of any length are rewritten whole; equal edits count once; columns of other names stay.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import escaped, spans_of
+from ..sources.blocks import normalised
 from . import fuse
 from .detect import CANDIDATES
 from .entities import TITLES, normal
@@ -42,7 +51,7 @@ def propagate(blocks: DataFrame, entities: DataFrame) -> DataFrame:
     met = blocks.select("doc_id", "block_seq", "text").join(known, (F.col("doc_id") == F.col("d")) & F.contains(F.lower("text"), F.lower("value")))
     hits = met.withColumn("s", F.explode(spans_of(F.col("text"), literal_pattern(F.col("value")))))
     one = F.struct("entity_type", F.col("s.text").alias("text"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit(1.0).alias("confidence"), F.lit("propagation").alias("source"))
-    return hits.groupBy("doc_id", "block_seq").agg(F.array_sort(F.collect_list(one)).cast(CANDIDATES).alias("found"))
+    return hits.groupBy("doc_id", "block_seq").agg(F.array_sort(F.collect_set(one)).cast(CANDIDATES).alias("found"))
 
 
 def final_spans(blocks: DataFrame, found: DataFrame) -> DataFrame:
@@ -60,7 +69,7 @@ def with_replacements(spanned: DataFrame, keys: DataFrame, synthetic: DataFrame)
     ids = keys.select("doc_id", "entity_type", "norm", "id")
     made = synthetic.select("doc_id", "id", "synthetic")
     out = named.join(ids, ["doc_id", "entity_type", "norm"], "left").join(made, ["doc_id", "id"], "left")
-    return out.select("doc_id", "block_seq", "entity_type", "start", "end", "original_text", F.coalesce("synthetic", "original_text").alias("replacement_text"))
+    return out.select("doc_id", "block_seq", "entity_type", "start", "end", "original_text", F.coalesce("synthetic", "original_text").alias("replacement_text")).distinct()
 
 
 def spliced(text: Column, edits: Column) -> Column:
@@ -75,7 +84,7 @@ def spliced(text: Column, edits: Column) -> Column:
 
 def redact(blocks: DataFrame, replaced: DataFrame) -> DataFrame:
     """blocks with redacted: every span replaced."""
-    edits = replaced.groupBy("doc_id", "block_seq").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("replacement_text").alias("replacement")))).alias("edits"))
+    edits = replaced.groupBy("doc_id", "block_seq").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.col("replacement_text").alias("replacement")))).alias("edits"))
     joined = blocks.join(edits, ["doc_id", "block_seq"], "left")
     return joined.withColumn("redacted", F.when(F.col("edits").isNull(), F.col("text")).otherwise(spliced(F.col("text"), F.col("edits")))).drop("edits")
 
@@ -91,6 +100,20 @@ def run_spans(offsets: Column, start: Column, end: Column) -> Column:
     return F.transform(covered, inside)
 
 
+def checked_run_spans(offsets: Column, start: Column, end: Column, text: Column) -> Column:
+    """run_spans, or an error: for places that are not inside the runs, that no run covers, or whose runs hold another text (after normalisation)."""
+    whole = F.array_join(F.transform(offsets, lambda r: r["text"]), "")
+    held = F.substring(whole, start + 1, end - start)
+    problem = (
+        F.when((start < 0) | (start >= end), F.lit("a span needs 0 <= start < end"))
+        .when(end > F.length(whole), F.lit("a span ends behind the last run"))
+        .when(normalised(held) != normalised(text), F.lit("the runs hold another text than the span"))
+    )
+    spans = run_spans(offsets, start, end)
+    kind = "array<struct<run_index:int,start_in_run:int,end_in_run:int,text_in_run:string>>"
+    return F.when(problem.isNotNull(), F.raise_error(problem).cast(kind)).otherwise(spans.cast(kind))
+
+
 def rewrite_runs(offsets: Column, edits: Column) -> Column:
     """New texts of runs: a replacement goes where its span begins, the rest of the span leaves the runs it covers."""
 

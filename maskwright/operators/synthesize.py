@@ -56,7 +56,10 @@ def digits_like(name: Column, original: Column) -> Column:
     def once(salt: str) -> Column:
         return F.array_join(F.transform(F.split(original, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), draw(name, 10, F.concat(F.lit(salt), i.cast("string"))).cast("string")).otherwise(c)), "")
 
-    return F.when(once("a") != original, once("a")).when(once("b") != original, once("b")).otherwise(once("c"))
+    last = F.regexp_extract(original, "([0-9])[^0-9]*$", 1)
+    # should three draws all give the original, its last digit goes up by one
+    up = F.concat(F.regexp_extract(original, "^(.*)[0-9][^0-9]*$", 1), ((last.try_cast("int") + 1) % 10).cast("string"), F.regexp_extract(original, "([^0-9]*)$", 1))
+    return F.when(once("a") != original, once("a")).when(once("b") != original, once("b")).when(once("c") != original, once("c")).when(last != "", up).otherwise(original)
 
 
 def _check_digit(body: Column) -> Column:

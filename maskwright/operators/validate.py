@@ -4,6 +4,9 @@ validated: array<struct<entity_type, text, start, end, confidence, source, decis
 reason>>. Later rules overwrite the reason of earlier ones, nothing turns a rejection
 back; rejected spans stay in the result. Places inside address-rejected spans come back
 as spans of their own, at the end.
+
+Defined cases: no spans give none; a text without words around a span rejects nothing by
+that rule; null arrays stay null; ties and repeated spans are judged each.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.spans import left_of, right_of, spans_of, strip, words_in
+from ..functions.spans import bound, left_of, right_of, spans_of, strip, words_in
 
 VALIDATED = "array<struct<entity_type:string,text:string,start:int,end:int,confidence:double,source:string,decision:string,reason:string>>"
 
@@ -111,9 +114,12 @@ def _recovered(text: Column, c: Column) -> Column:
 
 def validate(text: Column, resolved: Column) -> Column:
     judged = F.transform(F.transform(resolved, trimmed), lambda c: _judged(text, c))
-    refused = F.filter(judged, lambda c: c["reason"] == "ADDRESS_CONTEXT")
-    places = F.array_distinct(F.flatten(F.transform(refused, lambda c: _recovered(text, c))))
-    return F.concat(judged, places).cast(VALIDATED)
+
+    def with_places(judged: Column) -> Column:
+        refused = F.filter(judged, lambda c: c["reason"] == "ADDRESS_CONTEXT")
+        return F.concat(judged, F.array_distinct(F.flatten(F.transform(refused, lambda c: _recovered(text, c)))))
+
+    return bound(judged, with_places).cast(VALIDATED)
 
 
 def local_spans(text: Column, resolved: Column) -> Column:

@@ -21,6 +21,18 @@ TEXTS: Rows = [
     (12, "near East-Hill Park, Fairview 411001 there and Glenwood, Old Town - 56000"),
     (13, "nothing here"),
 ]
+#: Lines that queries put behind documents, to find in them what the tables lack.
+SEEDS = (
+    "id 123-45-6789 and 000-12-3456, not 12-345-6789",
+    "from 2001:db8:0:0:0:0:0:1 to fe80:1:2:3:4:5:6:7, says the director",
+    "Date of birth: 01/02/1990. Signed long after that day, in another town and by another hand, on 2001-02-03",
+    "formerly Blue Fox Foods Limited, now Blue Fox and Daughters Private Limited as of today",
+    "at 12 Palm Grove Road, Ashford - 411001 or 7B-9 Old Mill Lane",
+    "Registered Office: 7 North Side, Fairview",
+    "near East-Hill Park, Fairview 411001 there and Glenwood, Old Town - 56000",
+    "write to a.b@x.org, phone +1 (555) 010-2345",
+    "filed on 31-12-2020 with the Registrar of Companies, Maharashtra and RoC again",
+)
 SPANS: Rows = [
     (1, "EMAIL", 0, 6, 0.9),
     (1, "EMAIL_ADDRESS", 0, 6, 1.0),

@@ -114,9 +114,8 @@ _STREET = rf"\b[0-9]+[a-zA-Z]?(?:-[0-9]+[a-zA-Z]?)?\s+(?:[A-Z][a-zA-Z0-9.,-]*\s+
 _OFFICE = r"()((?i)\b(?:Registered Office|Regd\.? Off\.?|Corporate Office)\s*:\s*[A-Z0-9][a-zA-Z0-9.,\-\s]{10,120})(?:\n|$|\.)"
 _REGISTRY = r"(?i)\b(?:Registrar of Companies(?:,?\s*Central Processing Centre|\s*Maharashtra|,\s*Maharashtra)?|RoC)\b"
 _PLACE = r"\b[A-Z][a-zA-Z]+(?:-[a-zA-Z]+)?(?:\s+[A-Z][a-zA-Z]+)*,\s*[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*\s+(?:-\s*)?[0-9]{5,6}\b"
-_FIXTURE_SPANS = ",\n".join(
+_RARE_SPANS = ",\n".join(
     [
-        "blocks AS (SELECT *, 0 AS block_seq FROM fixture)",
         _spans("f_ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "SSN_CANDIDATE"),
         _spans("f_six", r"\b(?:[A-Fa-f0-9]{1,4}:){7}[A-Fa-f0-9]{1,4}\b", "IP_CANDIDATE"),
         _spans("f_date", DATE, "DATE"),
@@ -127,6 +126,7 @@ _FIXTURE_SPANS = ",\n".join(
         _spans("f_place", _PLACE, "ADDRESS"),
     ]
 )
+_FIXTURE_SPANS = f"blocks AS (SELECT *, 0 AS block_seq FROM fixture),\n{_RARE_SPANS}"
 _AROUND = """lower(whole[greatest(start - 50, 0) + 1 : start] || ' ' || whole["end" + 1 : "end" + 50])"""
 _EDGE = " .,:;' || chr(10) || chr(13) || '"
 _DETECT_FIXTURE = rf"""WITH {fixtures.sql("texts")},
@@ -229,7 +229,62 @@ hints AS ({" UNION ALL ".join(f"SELECT * FROM h_{n}" for n in _HINTS)})
 SELECT doc_id, block_seq, entity_type AS hint, text, start, "end", CASE WHEN start > 30 THEN '...' ELSE '' END || whole[greatest(start - 30, 0) + 1 : "end" + 30] || CASE WHEN "end" + 30 < len(whole) THEN '...' ELSE '' END AS context
 FROM hints h WHERE NOT EXISTS (SELECT 1 FROM judged j WHERE j.doc_id = h.doc_id AND j.block_seq = h.block_seq AND j.start < h."end" AND h.start < j."end")"""
 
+_SEEDED = f"""seeded AS (SELECT doc_id, coalesce(text || chr(10), '') || {_list(fixtures.SEEDS)}[doc_id % {len(fixtures.SEEDS)} + 1] AS text FROM documents WHERE doc_id IS NOT NULL),
+{_blocks("seeded")}"""
+_SEEDED_CANDIDATES = rf"""WITH {_detected(_SEEDED)},
+{_RARE_SPANS},
+addresses AS (SELECT * FROM f_street UNION ALL SELECT * FROM f_office UNION ALL SELECT * FROM f_place),
+kinds AS (SELECT entity_type FROM c_email UNION ALL SELECT entity_type FROM c_phone UNION ALL SELECT entity_type FROM c_card UNION ALL SELECT entity_type FROM c_ip
+  UNION ALL SELECT entity_type FROM f_ssn UNION ALL SELECT entity_type FROM f_six UNION ALL SELECT entity_type FROM f_registry UNION ALL SELECT entity_type FROM f_company
+  UNION ALL SELECT CASE WHEN regexp_matches({_AROUND}, 'birth|dob|born|d\.o\.b') THEN 'DATE_OF_BIRTH' ELSE 'DATE_CANDIDATE' END FROM f_date
+  UNION ALL SELECT entity_type FROM addresses WHERE len(trim(text, '{_EDGE}')) > 8)
+SELECT entity_type, count(*) AS n FROM kinds GROUP BY 1"""
+
+_KEYWORDS = f"""words AS (SELECT doc_id, block_seq, len(text) AS characters, CASE {' '.join(f"WHEN contains(lower(text), '{k}') THEN '{k}'" for k in ('director', 'email', 'phone', 'telephone', 'address', 'registered office', 'promoter', 'pan'))} END AS keyword FROM blocks),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_seq) AS k FROM words WHERE keyword IS NOT NULL) SELECT doc_id, block_seq, keyword, characters FROM ranks WHERE k <= 20"""
+
+_N = "block_seq"
+
+
+def _element_counts(name: str, where: str = "true") -> str:
+    """name: the counts of files whose blocks are dealt to body, tables, headers and footers by block_seq."""
+    runs = "((len(text) - 1) // 40 + 1)"
+    of = lambda i, prefix: f"count(*) FILTER ({_N} % 4 = {i}) AS {prefix}paragraphs, coalesce(sum({runs}) FILTER ({_N} % 4 = {i}), 0)::BIGINT AS {prefix}runs"
+    return f"""{name} AS (SELECT doc_id::VARCHAR AS file, {of(0, "")}, {of(1, "cell_")}, {of(2, "header_")}, {of(3, "footer_")},
+  count(DISTINCT {_N} // 40) FILTER ({_N} % 4 = 1) AS tables, count(DISTINCT ({_N} // 40, ({_N} // 8) % 5)) FILTER ({_N} % 4 = 1) AS rows,
+  count(DISTINCT ({_N} // 40, ({_N} // 8) % 5, ({_N} // 4) % 2)) FILTER ({_N} % 4 = 1) AS cells, count(DISTINCT {_N} // 16) FILTER ({_N} % 4 >= 2) AS sections
+  FROM blocks WHERE {where} GROUP BY doc_id)"""
+
+
+_TALL = " UNION ALL ".join("SELECT file, '{c}' AS count, {c} AS n FROM {t}".replace("{c}", c) for c in ("paragraphs", "tables", "cells", "sections", "header_paragraphs", "footer_paragraphs"))
+_RUN_MAPPING = f"""WITH {_blocks()},
+{_spans("c", EMAIL, "EMAIL")},
+met AS (SELECT *, unnest(range(start // 40, ("end" - 1) // 40 + 1)) AS run_index FROM c)
+SELECT doc_id, block_seq, start, "end", run_index, greatest(start - run_index * 40, 0) AS start_in_run, least("end" - run_index * 40, 40) AS end_in_run, whole[greatest(start, run_index * 40) + 1 : least("end", run_index * 40 + 40)] AS text_in_run FROM met"""
+
 ORACLES: dict[str, str] = {
+    "redact_repeated": f"WITH {_REDACTED} SELECT doc_id, block_seq, redacted, 2 * count(*) AS n FROM redacted GROUP BY ALL",
+    "redact_without_ids": f"WITH {_REDACTED} SELECT block_seq, redacted, count(*) AS n FROM redacted GROUP BY ALL",
+    "redact_one_id": f"""WITH {_MANIFEST}, told AS (SELECT DISTINCT m.doc_id % 10 AS doc_id, d.text, block_seq, entity_type, start, "end", original_text, replacement_text FROM manifest m JOIN documents d ON m.doc_id = d.doc_id)
+SELECT doc_id, block_seq, entity_type, start, "end", original_text, replacement_text FROM told""",
+    "truth_located": f"""WITH {_blocks()},
+{_spans("c", EMAIL, "EMAIL")}
+SELECT doc_id::VARCHAR AS document_hash, 'body / paragraph=' || block_seq || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END AS path, doc_id % 5 <> 0 AS found, doc_id % 5 <> 0 AS same_text, start, "end", text FROM c""",
+    "element_counts": f"WITH {_blocks()}, {_element_counts('counts')} SELECT * FROM counts",
+    "structure_check": f"""WITH {_blocks()}, {_element_counts('a')}, {_element_counts('b', 'doc_id % 3 <> 0 OR block_seq < 5')},
+x AS ({_TALL.replace('{t}', 'a')}), y AS ({_TALL.replace('{t}', 'b')})
+SELECT file, count, x.n AS before, y.n AS after, coalesce(x.n = y.n, false) AS same FROM x FULL JOIN y USING (file, count)""",
+    "stage_counts": f"WITH {_JUDGED}, r AS (SELECT count(*) AS n FROM ({_ALL})), f AS (SELECT count(*) AS n FROM fused), j AS (SELECT count(*) FILTER (reason = 'GENUINE_PII') AS k, count(*) AS n FROM judged) SELECT r.n AS raw, f.n AS resolved, r.n - f.n AS merged, j.k AS kept, j.n - j.k AS rejected FROM r, f, j",
+    "kept_by_type": f"WITH {_JUDGED} SELECT 'body' AS container, entity_type, count(*) AS n FROM kept GROUP BY ALL",
+    "span_sources": f"""WITH {_JUDGED} SELECT doc_id, block_seq, start, "end", 'regex' AS detectors FROM kept""",
+    "span_examples": f"""WITH {_JUDGED}, ranks AS (SELECT doc_id, block_seq, entity_type, start, "end", text, row_number() OVER (PARTITION BY entity_type ORDER BY doc_id, block_seq, start, "end") AS nth FROM kept) SELECT * FROM ranks WHERE nth <= 3""",
+    "metrics_categories": f"""WITH {_TRUTH}, always AS (SELECT unnest(['PERSON', 'COMPANY', 'LOCATION', 'EMAIL', 'PHONE']) AS entity_type)
+SELECT entity_type, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM scored FULL JOIN always USING (entity_type)""",
+    "metrics_unread_blocks": f"WITH {_TRUTH} SELECT entity_type, tp, fp, fn FROM scored UNION ALL SELECT 'PERSON', 0, 0, count(*) FROM truth",
+    "run_mapping_checked": _RUN_MAPPING,
+    "detect_model": f"WITH {_blocks()},\n{_spans('c', '[A-Z][a-z]{2,} [A-Z][a-z]{2,}', 'PERSON_CANDIDATE')}\nSELECT {_COLUMNS}, 0.85::DOUBLE AS confidence FROM c",
+    "seeded_candidates": _SEEDED_CANDIDATES,
+    "seeded_keyword_hints": f"WITH {_SEEDED}, {_KEYWORDS}",
     "detect_fixture": _DETECT_FIXTURE,
     "fuse_fixture": _FUSE_FIXTURE,
     "validate_fixture": _VALIDATE_FIXTURE,
@@ -256,20 +311,15 @@ SELECT count(*) AS total, count(*) FILTER (WHERE entity_type IN {_CRITICAL}) AS
     "audit_rejections": f"""WITH {_JUDGED}, texts AS (SELECT reason, text, count(*) AS n FROM judged WHERE reason <> 'GENUINE_PII' GROUP BY ALL),
 ranks AS (SELECT *, sum(n) OVER (PARTITION BY reason)::BIGINT AS total, row_number() OVER (PARTITION BY reason ORDER BY n DESC, text) AS k FROM texts) SELECT reason, text, n, total FROM ranks WHERE k <= 10""",
     "entity_ids": f"WITH {_ENTITIES} SELECT doc_id, id, entity_type, original, first_block FROM entities",
-    "synthetic_values": f"""WITH {_ENTITIES} SELECT doc_id, id, original, CASE entity_type WHEN 'IP_ADDRESS' THEN {_IP} WHEN 'EMAIL' THEN 'user.' || substr(md5(id), 1, 10) || '@example.com'
-  ELSE CASE WHEN {_A} <> original THEN {_A} WHEN {_B} <> original THEN {_B} ELSE {_C} END END AS synthetic FROM entities WHERE entity_type IN ('PHONE', 'IP_ADDRESS', 'EMAIL')""",
+    "synthetic_values": f"WITH {_MANIFEST} SELECT m.doc_id, m.id, e.original, m.synthetic FROM made m JOIN entities e ON m.doc_id = e.doc_id AND m.id = e.id",
     "structure_counts": f"WITH {_blocks()} SELECT 'body' AS container, count(DISTINCT doc_id) AS documents, count(*) AS blocks, sum(len(text))::BIGINT AS characters FROM blocks",
-    "keyword_hints": f"""WITH {_blocks()}, words AS (SELECT doc_id, block_seq, len(text) AS characters, CASE {' '.join(f"WHEN contains(lower(text), '{k}') THEN '{k}'" for k in ('director', 'email', 'phone', 'telephone', 'address', 'registered office', 'promoter', 'pan'))} END AS keyword FROM blocks),
-ranks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_seq) AS k FROM words WHERE keyword IS NOT NULL) SELECT doc_id, block_seq, keyword, characters FROM ranks WHERE k <= 20""",
+    "keyword_hints": f"WITH {_blocks()}, {_KEYWORDS}",
     "fragmented_runs": f"""WITH {_blocks()}, runs AS (SELECT doc_id, block_seq, unnest(range(0, (len(text) - 1) // 40 + 1)) AS run_idx, text FROM blocks WHERE block_seq < 200),
 cut AS (SELECT doc_id, block_seq, run_idx, text[run_idx * 40 + 1 : run_idx * 40 + 40] AS run_text_1 FROM runs),
 pairs AS (SELECT *, lead(run_text_1) OVER (PARTITION BY doc_id, block_seq ORDER BY run_idx) AS run_text_2 FROM cut),
 split AS (SELECT * FROM pairs WHERE regexp_matches(run_text_1, '[\\p{{L}}\\p{{N}}]$') AND regexp_matches(run_text_2, '^[\\p{{L}}\\p{{N}}]')),
 ranks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_seq, run_idx) AS k FROM split) SELECT doc_id, block_seq, run_idx, run_text_1, run_text_2 FROM ranks WHERE k <= 10""",
-    "run_mapping": f"""WITH {_blocks()},
-{_spans("c", EMAIL, "EMAIL")},
-met AS (SELECT *, unnest(range(start // 40, ("end" - 1) // 40 + 1)) AS run_index FROM c)
-SELECT doc_id, block_seq, start, "end", run_index, greatest(start - run_index * 40, 0) AS start_in_run, least("end" - run_index * 40, 40) AS end_in_run, whole[greatest(start, run_index * 40) + 1 : least("end", run_index * 40 + 40)] AS text_in_run FROM met""",
+    "run_mapping": _RUN_MAPPING,
     "metrics_strict": f"WITH {_TRUTH} SELECT entity_type, tp, fp, fn FROM scored",
     "metrics_overlap": f"WITH {_OVERLAP} SELECT entity_type, tp, fp, fn FROM loose",
     "metrics_normalised": f"WITH {_OVERLAP} SELECT entity_type, tp, fp, fn, round({_P}, 6) AS precision, round({_R}, 6) AS recall, round(coalesce(2 * {_P} * {_R} / nullif({_P} + {_R}, 0), 0), 6) AS f1 FROM loose",

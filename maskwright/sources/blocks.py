@@ -1,7 +1,11 @@
 """Blocks: the paragraphs that all operators work on.
 
-blocks(doc_id long, block_seq int, path string, text string); text is normalised as
-below, blank ones are left out. Every line of a text is one paragraph.
+blocks(doc_id long, row long, block_seq int, path string, text string); text is normalised
+as below, blank ones are left out. Every line of a text is one paragraph. row is a hash of
+the whole text, which tells documents apart that share a doc_id or have none.
+
+Defined cases: null and empty texts have no blocks; an empty table gives an empty one;
+rows that repeat give their blocks again; texts of any length are cut whole.
 """
 
 from __future__ import annotations
@@ -20,9 +24,9 @@ def normalised(text: Column) -> Column:
 
 def blocks_of(rows: DataFrame, key: str, text: str) -> DataFrame:
     """One block for each line that is not blank; block_seq counts all lines from 0."""
-    lines = rows.select(F.col(key).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("block_seq", "text"))
+    lines = rows.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("row"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("block_seq", "text"))
     path = F.format_string("body / paragraph=%d", F.col("block_seq"))
-    return lines.select("doc_id", "block_seq", path.alias("path"), normalised(F.col("text")).alias("text")).where(F.col("text").rlike(BLANK))
+    return lines.select("doc_id", "row", "block_seq", path.alias("path"), normalised(F.col("text")).alias("text")).where(F.col("text").rlike(BLANK))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +38,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation is a document; its turns follow each other."""
+    """A conversation is a document; its turns follow each other. block_seq is a long: 2**32 times the turn, and the line."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    lines = rows.select(F.col("conv_id").cast("long").alias("doc_id"), "turn", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    seq = (F.col("turn") * 10_000 + F.col("line")).cast("int")
+    lines = rows.select(F.col("conv_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), "turn", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    seq = F.col("turn").cast("long") * (1 << 32) + F.col("line")
     path = F.format_string("turn=%d / paragraph=%d", F.col("turn"), F.col("line"))
-    return lines.select("doc_id", seq.alias("block_seq"), path.alias("path"), normalised(F.col("text")).alias("text")).where(F.col("text").rlike(BLANK))
+    return lines.select("doc_id", "row", seq.alias("block_seq"), path.alias("path"), normalised(F.col("text")).alias("text")).where(F.col("text").rlike(BLANK))
 
 
 def once(blocks: DataFrame, element: str) -> DataFrame:

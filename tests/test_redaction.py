@@ -1,13 +1,14 @@
 import io
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from maskwright import cli
-from maskwright.operators import audit, entities, evaluate, rewrite, synthesize
-from maskwright.plans import redaction
-from maskwright.sources import docx
+from maskwright.operators import audit, detect, entities, evaluate, models, rewrite, synthesize
+from maskwright.plans import queries, redaction, reports
+from maskwright.sources import blocks, docx, truth
 
 MENTION = "doc_id long, block_seq int, ord int, entity_type string, text string"
 
@@ -161,3 +162,118 @@ def test_audits(spark):
     assert [(r.keyword, r.characters) for r in audit.keyword_hints(blocks).collect()] == [("director", 20)]
     judged = redaction.local(spark.createDataFrame([(1, 0, "p", "Shri Asha Bose of East Hill Foods Ltd. ok")], BLOCKS)).withColumn("validated", F.array().cast("array<struct<start:int,end:int>>"))
     assert [r.hint for r in audit.missed(judged).collect()] == ["titled_name", "company_name"]
+
+
+NAMED = "doc_id long, row long, block_seq int, path string, text string"
+
+
+def _alone(spark, text):
+    """What a document becomes that stands alone."""
+    done = redaction.redact(blocks.blocks_of(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text"))
+    return {r.block_seq: r.redacted for r in done.blocks.collect()}, {(r.block_seq, r.entity_type, r.start, r.end, r.original_text, r.replacement_text) for r in done.manifest.collect()}
+
+
+def test_rows_that_share_a_doc_id_or_have_none(spark):
+    texts = ["mail a.b@x.org now\nMr. Asha Bose", "call me at c.d@y.org please\nnothing", "Asha Bose was here", None, ""]
+    rows = [(i, t) for i in (2, None) for t in texts] + [(2, texts[0]), (2, texts[0]), (None, texts[1])]
+    done = redaction.redact(blocks.blocks_of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"))
+    want = sorted((str(i), n, t) for i, text in rows if text for n, t in _alone(spark, text)[0].items())
+    assert sorted((str(r.doc_id), r.block_seq, r.redacted) for r in done.blocks.collect()) == want
+    told = sorted((str(i), *m) for i in (2, None) for text in texts[:3] for m in _alone(spark, text)[1])
+    assert sorted((str(r.doc_id), r.block_seq, r.entity_type, r.start, r.end, r.original_text, r.replacement_text) for r in done.manifest.collect()) == told
+    gate = audit.gate(done.blocks, done.manifest).first()
+    assert gate.passed and gate.total == len(told)
+    worse = done.blocks.withColumn("redacted", F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(F.col("redacted")))
+    assert audit.leaks(worse, done.manifest).where("doc_id IS NULL").count() == 3 and not audit.gate(worse, done.manifest).first().passed
+
+
+def test_empty_tables(spark):
+    done = redaction.redact(spark.createDataFrame([], NAMED))
+    assert done.blocks.count() == done.manifest.count() == 0
+    assert audit.gate(done.blocks, done.manifest).first().passed
+
+
+def test_columns_of_other_names_stay(spark):
+    table = spark.createDataFrame([(1, 0, "p", "mail a.b@x.org", 1, 2, 3, 4)], "doc_id long, block_seq int, path string, text string, candidate int, d int, norm int, id int")
+    done = redaction.redact(table)
+    assert set(table.columns) <= set(done.blocks.columns) and "a.b@x.org" not in done.blocks.first().redacted
+
+
+def test_a_detector_with_wrong_places_is_an_error(spark):
+    wrong = lambda text: F.array(F.struct(F.lit("PERSON").alias("entity_type"), F.lit("Asha").alias("text"), F.lit(0).alias("start"), F.lit(4).alias("end"), F.lit(0.9).alias("confidence"), F.lit("x").alias("source")))
+    table = spark.createDataFrame([(1, 0, "p", "mail Asha")], BLOCKS)
+    detect.register("wrong", wrong)
+    try:
+        with pytest.raises(Exception, match="invalid offsets"):
+            redaction.redact(table)
+    finally:
+        detect._registered.pop("wrong")
+
+
+def test_places_in_runs_are_checked(spark):
+    table = spark.createDataFrame([(["He", "llo\u2013wo"],)], "runs array<string>")
+    at = lambda s, e, t: table.select(rewrite.checked_run_spans(blocks.run_offsets(F.col("runs")), F.lit(s), F.lit(e), F.lit(t)).alias("r")).first().r
+    assert [(x.run_index, x.text_in_run) for x in at(1, 7, "ello w")] == [(0, "e"), (1, "llo\u2013w")]  # a dash is a space after normalisation
+    for s, e, t, why in ((3, 3, "", "0 <= start"), (-1, 2, "x", "0 <= start"), (5, 99, "x", "behind the last"), (0, 2, "no", "another text")):
+        with pytest.raises(Exception, match=why):
+            at(s, e, t)
+
+
+def test_models_as_detectors(spark):
+    def load():
+        return lambda text: [("PERSON", 0, 4, 0.5), ("LOC", len(text) - 3, len(text), 0.5), ("MONEY", 0, 1, 1.0)]
+
+    table = spark.createDataFrame([("Asha in Rom",), (None,), ("",), ("  ",)], "text string")
+    found = table.select("text", models.model_detector(load, models.NAMES, "ner")(F.col("text")).alias("c")).collect()
+    assert [[(c.entity_type, c.text, c.start, c.end, c.confidence, c.source) for c in r.c] for r in found] == [[("PERSON_CANDIDATE", "Asha", 0, 4, 0.85, "ner"), ("LOCATION_CANDIDATE", "Rom", 8, 11, 0.7, "ner")], [], [], []]
+    own = models.candidates_of(load(), "Asha in Rom", models.RECOGNISED, "presidio")
+    assert [(c["entity_type"], c["confidence"]) for c in own] == [("PERSON", 0.5)]
+
+    def broken():
+        raise OSError("no model here")
+
+    with pytest.raises(Exception, match="can't be loaded: no model here"):
+        table.select(models.model_detector(broken, models.NAMES, "ner")(F.col("text"))).collect()
+    with pytest.raises(Exception, match="install"):
+        table.select(models.name_recogniser("no_such_model")(F.col("text"))).collect()
+    with pytest.raises(ValueError, match="not inside"):
+        models.candidates_of(lambda t: [("PERSON", 0, 99, 1.0)], "x", models.NAMES, "ner")
+
+
+def test_ground_truth(spark, tmp_path):
+    (tmp_path / "t.json").write_text(json.dumps({"document_hash": "h", "blocks": [
+        {"container_path": "p1", "text": "mail a@b.co", "entities": [{"entity_type": "EMAIL", "text": "a@b.co", "start": 5, "end": 11}]},
+        {"container_path": "p9", "text": "gone", "entities": []},
+        {"container_path": None, "text": "no path", "entities": [{"entity_type": "EMAIL", "text": "x", "start": 0, "end": 1}]},
+    ]}, indent=1))
+    there = spark.createDataFrame([("h", "p1", 3, "mail a@b.co"), ("other", "p9", 4, "gone")], "document_hash string, path string, block_seq int, text string")
+    found = truth.located(truth.blocks_of(truth.read(spark, str(tmp_path / "t.json"))), there)
+    assert sorted((str(r.path), r.found, r.block_seq) for r in found.collect()) == [("None", False, None), ("p1", True, 3), ("p9", False, None)]
+    assert [tuple(r) for r in truth.entities_of(found).collect()] == [("h/p1", "EMAIL", 5, 11)]
+
+
+def test_categories_and_provenance(spark):
+    counts = spark.createDataFrame([("PHONE", 1, 2, 3), ("SSN", 1, 0, 0)], "entity_type string, tp long, fp long, fn long")
+    assert {r.entity_type: (r.tp, r.fp, r.fn) for r in evaluate.by_category(counts).collect()} == {"PERSON": (0, 0, 0), "COMPANY": (0, 0, 0), "LOCATION": (0, 0, 0), "EMAIL": (0, 0, 0), "PHONE": (1, 2, 3), "SSN": (1, 0, 0)}
+    raw = spark.createDataFrame([([(2, 4, "ner"), (2, 6, "regex"), (0, 6, "late"), (3, 4, "ner")],)], "c array<struct<start:int,end:int,source:string>>")
+    assert raw.select(evaluate.containing_sources(F.col("c"), F.lit(2), F.lit(6)), evaluate.containing_sources(F.col("c"), F.lit(7), F.lit(8))).first()[:] == ("ner + regex", "unknown")
+
+
+def test_reports_and_inspection(spark, tmp_path):
+    source = tmp_path / "a.docx"
+    source.write_bytes(_docx(["the Dire", "ctor, a.b@x.org"], ["plain"]))
+    assert cli.main(["inspect", "--input", str(source), "--report", str(tmp_path / "i.md")]) == 0
+    text = (tmp_path / "i.md").read_text()
+    assert "| a.docx | 2 | 3 | 1 | 1 | 1 | 1 | 1 | 0 | 0 | 0 | 0 | 0 |" in text and "| Director, |" in text
+    assert cli.main(["inspect", "--input", "missing.docx"]) == 1
+    judged = queries._judged_of(spark.createDataFrame([(1, 0, 0, "body / paragraph=0", "Dr. Asha Bose, a.b@x.org, Rs 555 010 2345")], NAMED))
+    report = reports.detection(judged)
+    assert "| EMAIL |" in report and "## Stages" in report and "FINANCIAL_CONTEXT" in reports.full_audit(judged)
+    spans = spark.createDataFrame([("a", "EMAIL", 0, 2)], SPAN)
+    assert "| micro | 1.0 | 1.0 | 1.0 |" in reports.benchmark(spark.createDataFrame([("a", "ab c")], "block string, text string"), spans, spans)
+
+
+def test_digits_never_stay(spark):
+    rows = [(i, f"PHONE_{i:03d}", "PHONE", t, 0) for i, t in enumerate(["7", "(0)", "12", "-", "5 x"] * 60)]
+    made = synthesize.replacements(spark.createDataFrame(rows, "doc_id long, id string, entity_type string, original string, first_block int"), spark.createDataFrame([], "doc_id long, email_id string, person_id string")).collect()
+    assert all((r.synthetic != r.original) == (r.original != "-") for r in made)
