@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,17 @@ def discard(df: DataFrame) -> None:
     _remove(df.sparkSession, df._stored_at)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of broadcasts and shuffle files that nothing refers to any more.
+
+    Spark's cleaner learns of them when the driver's JVM collects garbage, which on a driver
+    with little to do may be half an hour apart; between the steps of a long plan it is worth
+    asking for.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as it takes to differ from all columns of df (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []
