@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright.llm import automaton, hashing, language_model, personal_data, secrets, token_counts, toxicity
 
@@ -350,3 +351,49 @@ def test_filter_grows_with_its_entries(spark, monkeypatch):
     docs = _docs(spark, [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(100)])
     model = language_model.fit(docs, docs.doc_id >= 0).model
     assert (model.levels(hashing.mix(np.arange(1, 10_000, dtype=np.uint64))) > 0).mean() < 0.1
+
+
+def _lm_texts(seed, n):
+    r = random.Random(seed)
+    return [None, "", "ONE one é"] + [" ".join(r.choice(["the", "of", f"w{r.randint(0, 40)}"]) for _ in range(r.randint(1, 50))) for _ in range(n)]
+
+
+def test_scores_equal_a_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "BITS_PER_ENTRY", 96)  # so that a filter says nothing wrong,
+    monkeypatch.setattr(language_model, "LEAST_BITS", 1)  # as small ones may
+    texts = _lm_texts(31, 150)
+    docs = _docs(spark, texts)
+    fitted = language_model.fit(docs, docs.doc_id % 3 != 0)
+    fitted.model.weights[:] = np.linspace(0.2, 0.6, len(fitted.model.weights))  # so that pairs count for something
+    tokens = {i: [*bytes(t or "", "utf8").lower().split(), None] for i, t in enumerate(texts)}
+    words, pairs = collections.Counter(), collections.Counter()
+    for i, t in tokens.items():
+        if i % 3:
+            words.update(t)
+            pairs.update(zip(["start", *t[:-1]], t, strict=True))
+    n, v = sum(words.values()), len(words)
+    level = lambda c: int(language_model._level(np.array([c]))[0]) if c else 0
+    about = lambda c: float(language_model._decoded(np.array([level(c)]))[0])
+    for x in language_model.score(docs, fitted).collect():
+        t, total = tokens[x.doc_id], 0.0
+        for before, w in zip(["start", *t[:-1]], t, strict=True):
+            history, both = about(words[None if before == "start" else before]), about(pairs[before, w])
+            weight = fitted.model.weights[0 if before == "start" else min(level(words[before]), 39)]
+            total += math.log10(weight * min(1.0, both / max(history, both, 1.0)) + (1 - weight) * (about(words[w]) + 1) / (n + v + 1))
+        assert math.isclose(x.score, total, rel_tol=1e-9)
+
+
+def test_shards_score_as_the_broadcast_filter_does(spark, monkeypatch):
+    texts = _lm_texts(32, 200)
+    docs = _docs(spark, texts).repartition(3).withColumn("block", F.lit(1)).withColumn("bucket", F.lit(2))
+    docs = docs.unionAll(docs.where("doc_id < 9"))
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 9), F.round("score", 9)).collect()))
+    one = language_model.fit(docs, docs.doc_id % 4 != 0)
+    whole = key(language_model.score(docs, one))
+    monkeypatch.setattr(language_model, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 700)
+    cut = language_model.fit(docs, docs.doc_id % 4 != 0)
+    assert one.model.bits is not None and cut.model.bits is None
+    assert key(language_model.score(docs, cut)) == whole and len(whole) == len(texts) + 9
+    none = _docs(spark, ["a"]).limit(0)
+    assert language_model.score(none, language_model.fit(none, none.doc_id > 0)).count() == 0
