@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, language_model, line_dedup, mixing, near_duplicates, nearest, personal_data, secrets, token_counts, toxicity
 from .common import crc_mod, table
+from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,4 +98,4 @@ QUERIES: dict[str, Query] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {"op6_source_mix": mixing.oracle()}
+__all__ = ["ORACLES", "QUERIES"]
