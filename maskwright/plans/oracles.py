@@ -15,7 +15,8 @@ PHONE = r"(^|[^\p{L}\p{N}_])(\+?\b(?:[0-9]{1,3}[ -.]?)?\(?[0-9]{3}\)?[ -.]?[0-9]
 _NUMBERED = "(order|ticket|invoice|reference|application|page|folio|table|serial)\\s+(no|num)"
 _MONEY = "rs|rupees|usd|aud|inr|\\$"
 _SCALES = "crore|lakh|million|billion"
-_TECHNICAL = "\\b(iatf|iso|bs|en|page|order|invoice|ticket|reference|folio|application|no)\\b"
+# \\b knows ASCII letters only
+_TECHNICAL = "(^|[^\\p{L}\\p{N}_])(iatf|iso|bs|en|page|order|invoice|ticket|reference|folio|application|no)([^\\p{L}\\p{N}_]|$)"
 
 _LUHN = """(list_sum(list_transform(range(1, len({d}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN ({d}[len({d}) + 1 - i])::INT
   WHEN ({d}[len({d}) + 1 - i])::INT > 4 THEN 2 * ({d}[len({d}) + 1 - i])::INT - 9 ELSE 2 * ({d}[len({d}) + 1 - i])::INT END)) % 10 = 0)"""
