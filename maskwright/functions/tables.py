@@ -16,6 +16,12 @@ HOT_KEYS = 10_000
 SPLIT_FROM = 50_000
 
 
+_TRIM = """try {
+  java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(new javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", null, null);
+} catch (Exception e) { /* a JVM without this command */ }"""
+_scripts: dict = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which the driver and all executors see; one of our own where it is unset and all run here."""
     context = spark.sparkContext
@@ -37,6 +43,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. One whose files Spark reads in fewer tasks than there are cores (small, or of one row group) is dealt out first."""
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stored(df: DataFrame, what: str = "step", merged: bool = False) -> DataFrame:
     """df written as Parquet and read again: used several times, computed once, and cheap to read again after a lost executor.
 
@@ -58,14 +70,21 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets go of broadcasts and shuffle files that nothing refers to any more.
+    """Lets go of broadcasts and shuffle files that nothing refers to any more, and of free memory.
 
     Spark's cleaner learns of them when the driver's JVM collects garbage, which on a driver
     with little to do may be half an hour apart; between the steps of a long plan it is worth
-    asking for.
+    asking for. JVMs that can are also asked to give their free C heap back.
     """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    if "trim" not in _scripts or _scripts["trim"][0] is not jvm:
+        # the bean's class is not open to calls from here, compiled code may use its interface
+        script = jvm.org.codehaus.janino.ScriptEvaluator()
+        script.cook(_TRIM)
+        _scripts["trim"] = (jvm, script)
+    _scripts["trim"][1].evaluate(None)
 
 
 def free(df: DataFrame, *names: str) -> list[str]:

@@ -4,6 +4,11 @@ mentions(doc_id, block_seq, ord, entity_type, text). Everything is keyed by doc_
 dependence is expressed by the block in which something is seen first, so nothing walks
 through blocks one after the other. Windows rank the distinct entities of one document
 and type, never its mentions.
+
+doc_id may be of any type; a null doc_id equals none in joins, so the redaction plan passes
+structs (see functions/identity). Defined cases: no mentions give an empty store; mentions
+that repeat count once; names that are empty after normalising are a name of their own;
+mentions in one place are ordered by their texts; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import read
+
 # Characters that each become one space, so that positions stay.
 AS_SPACE = "–—�\t "
 BLANK = r"(?U)\S"
@@ -30,16 +32,16 @@ def blocks_of(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return blocks_of(read(spark, f"{sf_dir}/documents.parquet"), "doc_id", "text")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks_of(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+    return blocks_of(read(spark, f"{sf_dir}/pages.parquet"), "page_id", "html")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation is a document; its turns follow each other. block_seq is a long: 2**32 times the turn, and the line."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = read(spark, f"{sf_dir}/conversations.parquet")
     lines = rows.select(F.col("conv_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), "turn", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     seq = F.col("turn").cast("long") * (1 << 32) + F.col("line")
     path = F.format_string("turn=%d / paragraph=%d", F.col("turn"), F.col("line"))
