@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import discard, free, join_split, sliced_join, stored
+from ..functions.tables import discard, free, join_split, read, release, sliced_join, stored
 
-__all__ = ["WORD", "crc_mod", "discard", "free", "join_split", "sliced_join", "stored", "table"]
+__all__ = ["WORD", "crc_mod", "discard", "free", "join_split", "release", "sliced_join", "stored", "table"]
 
 #: A word, as all contracts of this subpackage define it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, f"{sf_dir}/{name}.parquet")
 
 
 def crc_mod(column: str, n: int) -> F.Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_split, stored
+from .common import discard, join_split, release, stored
 
 MAX_ROUNDS = 60
 
@@ -38,6 +38,7 @@ def connected(links: DataFrame) -> DataFrame:
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
         before, edges = edges, stored(moved.distinct(), "edges", merged=True)
         discard(before)
+        release(edges.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -43,7 +43,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free, join_split, sliced_join, stored
+from .common import discard, free, join_split, release, sliced_join, stored
 from .components import connected
 
 EDITS = 2
@@ -201,6 +201,7 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     pairs = sliced_join(other, hubs.drop("n"), "key", hubs.select("key", "n"), met.count(), "b", in_order & near)
     starred = stored(pairs.select("a", "b").distinct(), "line-links", merged=True)
 
+    release(lines.sparkSession)
     label = starred.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))
     named = met.join(label, "id", "left").withColumn("label", F.coalesce("to", "id")).drop("to")
     open_keys = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most AND n > 2").select("key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))

@@ -20,7 +20,8 @@ has few: each character is therefore spread to SPREAD bytes that depend on it an
 before it (texts and dictionaries alike), so that what a dictionary does not hold costs
 SPREAD bytes a character and a match costs about three.
 
-Every window of every text is compressed; equal windows of a block of texts once. Labels,
+Every window of every text is compressed; equal windows of a block of texts once, and
+what a worker has met lately is looked up. Labels,
 language, source and doc_id are never inputs of a score.
 
 Bounds of the sample: MAX_TOXIC and MAX_ORDINARY rows for the dictionaries and
@@ -64,9 +65,9 @@ SPREAD = 4
 #: Window lengths from here on share a threshold.
 MAX_WINDOW = 60
 TOP = 8
-BLOCK_BYTES = 2_500_000
-#: Windows that are compressed by one call.
-CALL = 100_000
+BLOCK_BYTES = 1_000_000
+#: Windows that are compressed by one call, and whose margins a worker keeps.
+CALL, MEMO = 100_000, 1_000_000
 _SPACE = 32
 
 
@@ -109,18 +110,22 @@ class Windows:
         return [b"".join(raw[begins[i] : self.ends[i]] for i in part) for part in parts]
 
 
-def windows(raw: np.ndarray, offsets: np.ndarray) -> Windows:
-    """raw, offsets: texts in lower case, as text_bytes gives them."""
-    start, end, first = word_spans(raw, offsets)
-    _, place, which = np.unique(word_hashes(raw, start, end), return_index=True, return_inverse=True)
-    start, end = start[place], end[place]
+def laid_out(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with a space before and behind each, one after the other, and their ends."""
     sizes = end - start + 2
     ends = np.cumsum(sizes)
     data = np.full(int(ends[-1]) if len(ends) else 0, _SPACE, np.uint8)
     inside = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
     word = (inside > 0) & (inside < np.repeat(sizes, sizes) - 1)
     data[word] = raw[(np.repeat(start, sizes) + inside - 1)[word]]
-    return Windows(data, ends, which, first)
+    return data, ends
+
+
+def windows(raw: np.ndarray, offsets: np.ndarray) -> Windows:
+    """raw, offsets: texts in lower case, as text_bytes gives them."""
+    start, end, first = word_spans(raw, offsets)
+    _, place, which = np.unique(word_hashes(raw, start, end), return_index=True, return_inverse=True)
+    return Windows(*laid_out(raw, start[place], end[place]), which, first)
 
 
 class Compressor:
@@ -134,14 +139,15 @@ class Compressor:
         held.precompute_compress(compression_params=how)
         self.frames, self.zstd = z.BufferWithSegments, z.ZstdCompressor(dict_data=held, compression_params=how)
 
-    def lengths(self, w: Windows) -> np.ndarray:
-        out = np.zeros(len(w), np.int64)
-        begins = w.ends - w.sizes
-        for lo in range(0, len(w), CALL):
-            hi = min(len(w), lo + CALL)
-            a, b = int(begins[lo]), int(w.ends[hi - 1])
-            places = np.column_stack([begins[lo:hi] - a, w.sizes[lo:hi]]).astype(np.uint64) * np.uint64(SPREAD)
-            done = self.zstd.multi_compress_to_buffer(self.frames(spread(w.data[a:b]).tobytes(), places.tobytes()))
+    def lengths(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of windows data[ends[i - 1] : ends[i]]."""
+        out = np.zeros(len(ends), np.int64)
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        for lo in range(0, len(ends), CALL):
+            hi = min(len(ends), lo + CALL)
+            a, b = int(begins[lo]), int(ends[hi - 1])
+            places = np.column_stack([begins[lo:hi] - a, ends[lo:hi] - begins[lo:hi]]).astype(np.uint64) * np.uint64(SPREAD)
+            done = self.zstd.multi_compress_to_buffer(self.frames(spread(data[a:b]).tobytes(), places.tobytes()))
             out[lo:hi] = np.fromiter((len(done[i]) for i in range(hi - lo)), np.int64, hi - lo)
         return out
 
@@ -191,7 +197,7 @@ def train(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes]:
 
     def hard(dictionary: bytes) -> list[list[bytes]]:
         held = Compressor(dictionary)
-        l_o, l_t = held.lengths(w_o), held.lengths(w_t)
+        l_o, l_t = held.lengths(w_o.data, w_o.ends), held.lengths(w_t.data, w_t.ends)
         limit = hard_from(w_o.sizes, l_o, weight)
         return [w.of_texts(n >= limit[np.minimum(w.sizes, MAX_WINDOW)]) for w, n in ((w_o, l_o), (w_t, l_t))]
 
@@ -201,18 +207,39 @@ def train(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes]:
 
 
 class Scorer:
+    """Margins are kept by the word's fingerprint, so a worker compresses a word once until it knows MEMO of them."""
+
     def __init__(self, model: Model):
         self.model = model
         self.by_ordinary, self.by_toxic = Compressor(model.ordinary), Compressor(model.toxic)
-
-    def margins(self, w: Windows) -> np.ndarray:
-        return self.by_ordinary.lengths(w) - self.by_toxic.lengths(w)
+        self.known, self.margin = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def margins(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Of distinct words, in the order of their fingerprints."""
+        at = np.searchsorted(self.known, words)
+        met = at < len(self.known)
+        met[met] = self.known[at[met]] == words[met]
+        out = np.zeros(len(words), np.int32)
+        out[met] = self.margin[at[met]]
+        new = ~met
+        if new.any():
+            data, ends = laid_out(raw, start[new], end[new])
+            out[new] = self.by_ordinary.lengths(data, ends) - self.by_toxic.lengths(data, ends)
+            if len(self.known) + int(new.sum()) > MEMO:
+                self.known, self.margin = words, out
+            else:
+                both = np.concatenate([self.known, words[new]])
+                order = np.argsort(both, kind="stable")
+                self.known, self.margin = both[order], np.concatenate([self.margin, out[new]])[order]
+        return out
 
     def features(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """For each text the largest margin of its windows, the mean of its three and of its TOP largest; none is under 0."""
-        w = windows(raw, offsets)
-        margin = self.margins(w)[w.which]
-        text, n = w.text_of, len(offsets) - 1
+        start, end, first = word_spans(raw, offsets)
+        words, place, which = np.unique(word_hashes(raw, start, end), return_index=True, return_inverse=True)
+        margin = self.margins(raw, start[place], end[place], words)[which]
+        n = len(offsets) - 1
+        text = np.repeat(np.arange(n), np.diff(first))
         some = np.flatnonzero(margin > 0)
         order = some[np.lexsort((-margin[some], text[some]))]
         begins = np.searchsorted(text[order], np.arange(n))
@@ -221,13 +248,14 @@ class Scorer:
         top[text[order][rank < TOP], rank[rank < TOP]] = margin[order][rank < TOP]
         return np.column_stack([top[:, 0], top[:, :3].mean(axis=1), top.mean(axis=1)])
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """Of the texts of a string column."""
         if self.model.weights is None:
-            return np.zeros(len(texts))
+            return np.zeros(len(column))
         out = [np.zeros(0)]
-        lowered = pa.array([(t or "").lower() for t in texts], pa.string())
-        for _, _, raw, offsets in text_blocks(lowered, BLOCK_BYTES):
-            z = np.column_stack([np.ones(len(offsets) - 1), self.features(raw, offsets)]) @ np.array(self.model.weights)
+        for lo, hi, _, _ in text_blocks(column, BLOCK_BYTES):  # one block at a time is made lower case
+            x = self.features(*_texts(column.slice(lo, hi - lo).fill_null("").to_pylist()))
+            z = np.column_stack([np.ones(hi - lo), x]) @ np.array(self.model.weights)
             out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
         return np.concatenate(out)
 
@@ -263,7 +291,8 @@ def learned(rows: list[tuple[str, int, str | None]]) -> Model:
         # too few labelled rows for rows of their own: a fixed curve, half-way at a margin of five spread characters
         return Model(ordinary, toxic, (-10.0, 10.0 / (5 * SPREAD), 0.0, 0.0))
     scorer, y = Scorer(model), [0] * len(held["curve", 0]) + [1] * len(held["curve", 1])
-    x = np.concatenate([scorer.features(raw, offsets) for _, _, raw, offsets in text_blocks(pa.array([t.lower() for t in held["curve", 0] + held["curve", 1]], pa.string()), BLOCK_BYTES)])
+    texts = held["curve", 0] + held["curve", 1]
+    x = np.concatenate([scorer.features(*_texts(texts[i : i + 256])) for i in range(0, len(texts), 256)])
     return Model(ordinary, toxic, _logistic(x, np.array(y, float)))
 
 
@@ -311,7 +340,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(held.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1).to_pylist()))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1)))], ["doc_id", "score"])
 
     return rows.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -324,7 +353,7 @@ def keep_ordinary(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(held.value)
         for batch in batches:
-            yield batch.filter(pa.array(scorer.scores(batch.column(at).to_pylist()) < 0.5))
+            yield batch.filter(pa.array(scorer.scores(batch.column(at)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 

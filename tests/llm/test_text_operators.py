@@ -278,7 +278,7 @@ def test_margins_equal_a_plain_loop():
 def test_dictionaries_are_what_tells_the_classes():
     ordinary, toxic = _toxic_texts(4, 300)
     model = toxicity.learned([("train", 0, t) for t in ordinary[:150]] + [("train", 1, t) for t in toxic[:150]] + [("curve", 0, t) for t in ordinary[150:220]] + [("curve", 1, t) for t in toxic[150:220]])
-    right = lambda m: ((toxicity.Scorer(m).scores(toxic[220:]) >= 0.5).mean(), (toxicity.Scorer(m).scores(ordinary[220:]) < 0.5).mean())
+    right = lambda m: ((toxicity.Scorer(m).scores(pa.array(toxic[220:])) >= 0.5).mean(), (toxicity.Scorer(m).scores(pa.array(ordinary[220:])) < 0.5).mean())
     assert min(right(model)) > 0.9
     assert model.toxic != model.ordinary and b"scumbag" in model.toxic and b"scumbag" not in model.ordinary
     same = toxicity.Model(model.ordinary, model.ordinary, model.weights)
