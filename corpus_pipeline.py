@@ -13,18 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import decontamination, line_dedup, mixing, near_duplicates, toxicity
-from maskwright.llm.common import free, stored, table
+from maskwright.llm.common import free, release, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
+    release(spark)
     return toxicity.keep_ordinary(docs, toxicity.fit_on_folds(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars follows. A document of which nothing but spaces is left goes, if lines were taken from it."""
+    release(spark)
     before, after = free(docs, "lines", "kept")
     out = line_dedup.dedup_lines(docs, copy_chars=line_dedup.COPY_CHARS, counts=(before, after))
     whole = F.col(before) == F.col(after)
@@ -34,16 +36,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    release(spark)
     return near_duplicates.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
+    release(spark)
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, in words."""
+    release(spark)
     return mixing.mix_documents(docs).documents.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
