@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Keys that join_split and sliced_join treat on their own: at most so many rows are broadcast.
 HOT_KEYS = 10_000
 #: Up to so many rows they join plainly: no task can get more.
-SPLIT_FROM = 50_000
+SPLIT_FROM = 1_000_000
 
 
 _TRIM = """try {
