@@ -27,7 +27,14 @@ a bitmap of fixed size tells them, so it lets some others through but misses non
 Defined cases: null and empty texts have an empty set and no links (kept, their own
 component); texts of fewer words than a shingle are one shingle; repeated rows share a
 component; a row whose doc_id is null is treated like any other, with a null doc_id
-sorting last when the smallest of a component is chosen.
+sorting last when the smallest of a component is named and first when one row of it is
+kept; texts of any length are read whole, in blocks; an empty table gives an empty one;
+columns of any name pass through one_of_each.
+
+No task holds a frequent value, hub or set: rows that name one go to slices of it, or
+meet a broadcast of at most HOT_KEYS keys (see functions/tables). Lists of which every
+member must be compared with every other are cut into blocks; a list of m members then
+takes m * m / BLOCK rows (of sketches) in its block pairs, and m * m comparisons.
 """
 
 from __future__ import annotations
@@ -38,10 +45,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, stored
+from .common import WORD, discard, free, join_split, release, sliced_join, stored
 from .components import connected
 from .hashing import combine, mix, text_bytes, word_hashes, word_spans
 
@@ -221,7 +228,9 @@ def _full_sets(docs: DataFrame, members: DataFrame, width: int, text: str, key:
 
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     # rows that repeat in full give a set twice, and the bitmap lets some others through: neither changes a result
-    return stored(rows.mapInArrow(run, "node long, shingles array<long>"), "sets")
+    out = stored(rows.mapInArrow(run, "node long, shingles array<long>"), "sets")
+    held.destroy()
+    return out
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -287,8 +296,10 @@ def _forest(nodes_a: np.ndarray, sets_a: list[np.ndarray], labels_a: np.ndarray,
 
 def _unlike(members: DataFrame) -> DataFrame:
     """members without lists that have the same members as another list: comparing them again tells nothing new."""
-    whole = members.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    return members.join(whole.groupBy("n", "x", "y").agg(F.min("value").alias("value")).select("value"), "value", "left_semi")
+    whole = members.groupBy("value").agg(F.count(F.lit(1)).alias("n_members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    chosen = stored(whole.groupBy("n_members", "x", "y").agg(F.min("value").alias("value")).select("value", "n_members"), "unlike", merged=True)
+    total = chosen.agg(F.sum("n_members")).first()[0] or 0
+    return join_split(members, chosen, "value", "n_members", total).drop("n_members")
 
 
 def _dealt(members: DataFrame) -> DataFrame:
@@ -338,7 +349,7 @@ def _active(inverted: DataFrame, short: DataFrame, threshold: float) -> DataFram
         return pa.table({"value": x[:, 0], "node": x[:, 1]})
 
     members = inverted.where("members > 2").select("value", "node", "hub", F.col("members").alias("size"), (F.col("members") * SKETCH).alias("weight"))
-    tasks = _dealt(stored(_unlike(members), "members")).join(short, "node")
+    tasks = _dealt(stored(_unlike(members), "members", merged=True)).join(short, "node")
     found = tasks.groupBy("task").applyInArrow(compare, "value long, node long").distinct()
     return found.join(inverted.select("value", "node", "n"), ["value", "node"])
 
@@ -348,33 +359,41 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, text: str
     threshold = percent / 100
     entries = _entries(nodes, threshold)
     by_value = entries.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("score", "node", "n")).alias("best")).where("members > 1")
-    inverted = entries.join(by_value.select("value", "members", F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n")), "value")
-    inverted = stored(inverted.select("value", "node", "n", "members", "hub", "hub_n"), "lists")
+    values = stored(by_value.select("value", "members", F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n")), "values", merged=True)
+    of_value = values.select("value", F.col("members").alias("n"))
+    total = values.agg(F.sum("members")).first()[0] or 0
+    inverted = stored(sliced_join(entries.drop("score"), values, "value", of_value, total, "node").select("value", "node", "n", "members", "hub", "hub_n"), "lists", merged=True)
+    discard(values)
+    release(docs.sparkSession)
 
     # every member with its list's hub: estimates from union sketches
     short = nodes.select("node", "n", "sketch")
     pairs = inverted.where(f"node <> hub AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select("node", "hub").distinct()
+    # both sides are plain shuffles of one table of sketches, so it is dealt out once, and Spark splits a frequent hub's part
     met = pairs.join(short, "node").join(short.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hub")
     both = F.array_union("sketch", "hub_sketch")
     union = F.slice(F.array_sort(both), 1, SKETCH)
     common = F.array_intersect("sketch", "hub_sketch")
     whole = (F.col("n") <= SKETCH) & (F.col("hub_n") <= SKETCH)  # then sketches are the sets
     may = F.when(whole, 100 * F.size(common) >= percent * F.size(both)).otherwise(F.size(F.array_intersect(union, common)) >= large_share(threshold))
-    likely = stored(met.where(may).select("node", "hub", "n", "hub_n"), "likely")
+    likely = stored(met.where(may).select("node", "hub", "n", "hub_n"), "likely", merged=True)
 
-    active = stored(_active(inverted, short, threshold), "active")
+    active = stored(_active(inverted, short, threshold), "active", merged=True)
     wanted = likely.select("node").unionAll(likely.select("hub")).unionAll(active.select("node")).distinct()
     sets = _full_sets(docs, nodes.select("node", "rep").join(wanted, "node", "left_semi"), width, text, key)
 
     full = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles"))
-    exact = likely.join(sets, "node").join(full, "hub").withColumn("both", F.size(F.array_intersect("shingles", "hub_shingles")))
-    starred = stored(exact.where(100 * F.col("both") >= percent * (F.col("n") + F.col("hub_n") - F.col("both"))).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "links")
+    of_hub = likely.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    exact = sliced_join(likely.join(sets, "node"), full, "hub", of_hub, likely.count(), "node").withColumn("both", F.size(F.array_intersect("shingles", "hub_shingles")))
+    starred = stored(exact.where(100 * F.col("both") >= percent * (F.col("n") + F.col("hub_n") - F.col("both"))).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "links", merged=True)
 
+    release(docs.sparkSession)
     # one step along the stars: enough to see that a list is joined, never wrong
     label = starred.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
-    labelled = stored(active.join(label, "node", "left").select("value", "node", "n", F.coalesce("to", "node").alias("label")), "labels")
+    labelled = stored(active.join(label, "node", "left").select("value", "node", "n", F.coalesce("to", "node").alias("label")), "labels", merged=True)
     open_lists = labelled.groupBy("value").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("least < most")
-    tasks = _dealt(stored(_unlike(labelled.join(open_lists.drop("least", "most"), "value").drop("n")), "members")).join(sets, "node")
+    left = stored(join_split(labelled.drop("n"), open_lists.drop("least", "most"), "value", "size", labelled.count()), "open-lists", merged=True)
+    tasks = _dealt(stored(_unlike(left), "members", merged=True)).join(sets, "node")
 
     def compare(group: pa.Table) -> pa.Table:
         node, own_label = group.column("node").to_numpy(), group.column("label").to_numpy()
@@ -395,27 +414,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     component also where doc_id does not (it is null for rows without words); h is a hash of the text.
     """
     sketched = sketches(docs, width, text, key)
-    rows = stored(sketched.select("doc_id", "h", "n", "node"), "rows")
-    nodes = stored(sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    rows = stored(sketched.select("doc_id", "h", "n", "node"), "rows", merged=True)
+    by_set = sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    nodes = stored(by_set, "nodes", merged=True)
     discard(sketched)
     roots = connected(links(docs, nodes, width, percent, text, key))
-    rooted = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("group_id"))
-    rooted = stored(rooted, "groups")
-    first = rooted.groupBy("group_id").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(first, "group_id").select("node", "group_id", "component_id")
-    out = rows.join(named, "node", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "group_id")
+    rooted = stored(nodes.join(roots, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("group_id")), "groups", merged=True)
+    first = rooted.groupBy("group_id").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    named = join_split(rooted, first, "group_id", "size", rooted.count()).select("node", "copies", "group_id", "component_id")
+    # rows of one set are as many as its copies: those of frequent sets are named where they are
+    some = join_split(rows.where("n > 0"), named, "node", "copies", rows.count()).select("doc_id", "h", "n", "component_id", "group_id")
+    out = some.unionByName(rows.where("n = 0").select("doc_id", "h", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group_id")))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "group_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs, with all their columns, without near duplicates: of each component the row with the smallest doc_id stays, and rows without words stay."""
-    found = near_duplicates(docs, width, percent, text, key)
-    alone = F.col("group_id").isNull()
-    first = found.where(~alone).groupBy("group_id").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("first.doc_id", "first.h")
-    keep = first.unionAll(found.where(alone).select("doc_id", "h").distinct()).select(F.col("doc_id").alias("__doc"), F.col("h").alias("__hash"))
-    own = docs.withColumn("__own", F.xxhash64(docs[text])).withColumn("__key", docs[key].cast("long"))
-    held = own.join(keep, F.col("__key").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__hash")), "left_semi")
-    # rows that agree in doc_id and text are one document, unless they have no words
-    nth = F.row_number().over(Window.partitionBy("__key", "__own").orderBy("__key"))
-    return held.withColumn("__nth", nth).where((F.col("__nth") == 1) | ~F.coalesce(held[text], F.lit("")).rlike(WORD)).drop("__own", "__key", "__nth")
+    """The rows of docs, with all their columns, without near duplicates: of each component the row with the smallest doc_id stays, and rows without words stay.
+
+    Rows that agree in doc_id and text are one document (which of them stays, if other
+    columns differ, is not defined), unless they have no words. Only such rows are grouped.
+    """
+    doc, hashed, copies, own_hash, own_key = free(docs, "near_doc", "near_hash", "near_copies", "near_own_hash", "near_own_key")
+    found = stored(near_duplicates(docs, width, percent, text, key).select("doc_id", "h", "group_id"), "near", merged=True)
+    some = found.where("group_id IS NOT NULL")
+    first = some.groupBy("group_id").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("first.doc_id", "first.h")
+    n_rows = some.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    keep = first.join(n_rows, first["doc_id"].eqNullSafe(n_rows["doc_id"]) & (first["h"] == n_rows["h"])).select(first["doc_id"].alias(doc), first["h"].alias(hashed), F.col("n").alias(copies))
+    keep = stored(keep, "keep", merged=True)
+    own = docs.withColumn(own_hash, F.xxhash64(docs[text])).withColumn(own_key, docs[key].cast("long"))
+    same = F.col(own_key).eqNullSafe(F.col(doc)) & (F.col(own_hash) == F.col(hashed))
+    words = F.coalesce(own[text], F.lit("")).rlike(WORD)
+    alone = own.where(words).join(keep.where(F.col(copies) == 1), same, "left_semi")
+    repeated = own.where(words).join(keep.where(F.col(copies) > 1), same, "left_semi").dropDuplicates([own_key, own_hash])
+    return own.where(~words).unionByName(alone).unionByName(repeated).drop(own_hash, own_key)
