@@ -118,3 +118,17 @@ def test_validation(spark, text, kind, value, want):
 def test_place_comes_back(spark):
     got = _validated(spark, "Village Road, taluka Khed Pune 411 001", "PERSON", "Khed Pune")
     assert got == [("PERSON", "Khed Pune", "REJECT", "ADDRESS_CONTEXT"), ("LOCATION", "Pune", "KEEP", "GENUINE_PII")]
+
+
+def test_an_address_takes_the_place_of_a_crossing_card(spark):
+    """Equal strength: confidence counts before length, as in the reference and in the SQL of fuse_fixture."""
+    texts = ["abc 4942399381559813 91.96.62.88 def", "abc 84.76.136.75 4300397661610419 def"]
+    found = detect.detect(spark.createDataFrame([(t,) for t in texts], "text string")).select("text", fuse.resolve(F.col("candidates")).alias("r"))
+    assert {r.text: [(s.entity_type, s.text) for s in r.r if s.entity_type != "DATE"] for r in found.collect()} == {texts[0]: [("IP_ADDRESS", "91.96.62.88")], texts[1]: [("IP_ADDRESS", "84.76.136.75")]}
+
+
+def test_a_birth_word_inside_a_word_counts(spark):
+    """As in the reference and in the SQL of detect_fixture and seeded_candidates."""
+    found = detect.detect(spark.createDataFrame([("adobo 13.37.27.68",), ("adabo 13.37.27.68",)], "text string"))
+    kinds = {r.text: {c.entity_type for c in r.candidates} for r in found.collect()}
+    assert kinds == {"adobo 13.37.27.68": {"IP_CANDIDATE", "DATE_OF_BIRTH"}, "adabo 13.37.27.68": {"IP_CANDIDATE", "DATE_CANDIDATE"}}
