@@ -29,7 +29,8 @@ left out, by segments.
 No key is held in one task: hubs of frequent keys go to slices of their lines, lines of
 open keys are cut into slices of SLICE, and what is to be taken out is joined to the
 places of frequent lines by a broadcast of at most HOT_KEYS rows. Live keys are broadcast
-if there are at most FEW_KEYS of them, else joined by a shuffle.
+if there are at most FEW_KEYS of them; else a bitmap of them is, and only rows that pass it
+(with their lines) are joined by a shuffle.
 
 Defined cases: null and empty texts have no lines and stay as they are; an empty table
 gives an empty one; rows that agree in doc_id and text are treated alike (both keep a line
@@ -40,6 +41,8 @@ all go becomes empty.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +54,8 @@ MIN_CHARS = 20
 #: Exact copies of shorter lines are removed from this length on, where the caller asks for it.
 COPY_CHARS = 1
 FEW_KEYS = 250_000
+#: Of more keys a bitmap is broadcast: so many bits a key, 2**MOST_BITS (64 MB) at most; what passes it is joined exactly.
+BITS_PER_KEY, MOST_BITS = 128, 29
 #: Lines of one key that are compared with all others of the key in one task.
 SLICE = 128
 #: Segments for each edit that are looked for before lines are compared.
@@ -174,6 +179,22 @@ def _lines(docs: DataFrame, min_chars: int, copy_chars: int) -> DataFrame:
     return lines.select("doc_id", "h", "line_no", F.trim(F.make_valid_utf8("line")).alias("line")).where((F.length("line") >= min_chars) | ((F.length("line") >= copy_chars) & F.col("line").rlike(r"\S")))
 
 
+def _likely(keyed: DataFrame, live: DataFrame, n: int) -> DataFrame:
+    """Rows of keyed whose key's bit is set in a bitmap of the n live keys: all that have a live key, and few others."""
+    slots = 1 << max(15, min(MOST_BITS, math.ceil(math.log2(max(n, 1) * BITS_PER_KEY))))
+    slot = F.pmod("key", F.lit(slots)) + 1
+    bitmap = live.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    at = F.bitmap_bit_position(slot).cast("int")
+    byte = F.ascii(F.decode(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+    found = keyed.join(F.broadcast(bitmap), F.bitmap_bucket_number(slot) == F.col("part"))
+    return found.where(F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1).select(*keyed.columns)
+
+
+def _of_many(keyed: DataFrame, live: DataFrame, n: int) -> DataFrame:
+    """Rows of keyed with one of n live keys, which are distinct: an inner join, as Spark would do a semi join before the bitmap's."""
+    return _likely(keyed, live, n).join(live.hint("merge"), "key")
+
+
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """a, b: hashes of different lines that are linked; lines: one column `line`."""
     # the keys are a column of their own first: a projection computes what they share once, a generator would not
@@ -184,8 +205,8 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     index = F.col("nth") <= edits
     by_key = keyed.select("key", "id", index.alias("index")).groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("index").alias("index"))
     live = stored(by_key.where("index AND least < most").select("key"), "keys", merged=True)
-    few = live.count() <= FEW_KEYS
-    met = keyed.join(F.broadcast(live) if few else live.hint("merge"), "key", "left_semi")
+    n_live = live.count()
+    met = keyed.join(F.broadcast(live), "key", "left_semi") if n_live <= FEW_KEYS else _of_many(keyed, live, n_live)
     met = stored(met.groupBy("key", "id").agg(F.max(index).alias("index"), F.first("line").alias("line")), "members", merged=True)
     discard(live)
 

@@ -207,6 +207,21 @@ def test_line_links_by_shuffle_are_the_same(spark, monkeypatch):
     assert len(few) == 1 and sorted(map(tuple, line_dedup.line_links(lines).collect())) == few
 
 
+def test_only_rows_of_live_keys_are_shuffled(spark):
+    """A bitmap keeps all rows of live keys, negative and large ones too, and nearly none of the others."""
+    rows = spark.range(100_000).select(F.xxhash64("id").alias("key"), F.col("id").alias("line"))
+    live = rows.where("line % 50 = 0").select("key").unionAll(spark.createDataFrame([(0,), (-1,), (-(1 << 63),), ((1 << 63) - 1,)], "key long"))
+    rows = rows.unionAll(spark.createDataFrame([(0, -1), (-1, -1), (-(1 << 63), -1), ((1 << 63) - 1, -1)], "key long, line long"))
+    kept = line_dedup._likely(rows, live, 2_004)
+    assert kept.columns == rows.columns
+    lines = [r.line for r in kept.collect()]
+    assert lines.count(-1) == 4 and sum(x >= 0 and x % 50 == 0 for x in lines) == 2_000 and len(lines) < 4_500
+    exact = line_dedup._of_many(rows, live, 2_004)
+    joins = [x for x in exact._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert len(joins) == 2 and "part" not in joins[0] and "part" in joins[1]  # the bitmap comes first, below the join that shuffles
+    assert sorted(r.line for r in exact.collect()) == sorted([-1] * 4 + list(range(0, 100_000, 50)))
+
+
 def _plain_near(vectors, every, k):
     out = {}
     for i, q in vectors.items():
