@@ -383,7 +383,18 @@ def _by_broadcast(rows: DataFrame, model: Model) -> DataFrame:
 def _asked(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """All n-grams of a block that its scores need, sorted."""
     tokens, before, _ = _tokens(raw, offsets)
-    return np.unique(np.concatenate([tokens, _pairs(before, tokens) ^ _PAIR, np.array([_END])]))
+    keys = np.sort(np.concatenate([tokens, _pairs(before, tokens) ^ _PAIR, np.array([_END])]))
+    return keys[np.append(True, keys[1:] != keys[:-1])]  # np.unique hashes first, which takes several times as long
+
+
+def _answers(data: np.ndarray, requests: pa.Array) -> pa.Array:
+    """Levels (a byte each) for the keys of each request to a shard. Blocks ask for the same n-grams and for few at a time: requests are probed together, each key once."""
+    offsets = np.frombuffer(requests.buffers()[1], np.int32)[requests.offset : requests.offset + len(requests) + 1]
+    keys = np.frombuffer(requests.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64) if len(requests) and offsets[-1] > offsets[0] else np.zeros(0, np.uint64)
+    distinct, where = np.unique(keys, return_inverse=True)
+    levels = _probed(data, np.zeros(len(distinct), np.int64), np.full(len(distinct), len(data) * 8), distinct).astype(np.uint8)[where]
+    at = (offsets - offsets[0]) // 8 if len(requests) else np.zeros(1, np.int64)
+    return pa.Array.from_buffers(pa.binary(), len(requests), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(levels.tobytes())])
 
 
 def _by_shards(rows: DataFrame, fitted: Fitted) -> DataFrame:
@@ -413,14 +424,12 @@ def _by_shards(rows: DataFrame, fitted: Fitted) -> DataFrame:
 
     def probe(requests: pa.Table, shard: pa.Table) -> pa.Table:
         data = np.frombuffer(shard.column("shard")[0].as_py(), np.uint8) if shard.num_rows else np.zeros(0, np.uint8)
-        out = []
-        for keys in requests.column("keys"):
-            k = np.frombuffer(keys.as_py(), np.uint64)
-            out.append(_probed(data, np.zeros(len(k), np.int64), np.full(len(k), len(data) * 8), k).astype(np.uint8).tobytes())
-        return pa.table({"block": requests.column("block"), "bucket": requests.column("bucket"), "levels": pa.array(out, pa.binary())})
+        keys = requests.column("keys")
+        return pa.table({"block": requests.column("block"), "bucket": requests.column("bucket"), "levels": pa.chunked_array([_answers(data, c) for c in keys.chunks], pa.binary())})
 
     requests = blocks.select("block", "text").mapInArrow(ask, "block long, bucket int, keys binary")
-    told = requests.groupBy("bucket").cogroup(fitted.shards.groupBy("bucket")).applyInArrow(probe, "block long, bucket int, levels binary")
+    told = stored(requests.groupBy("bucket").cogroup(fitted.shards.groupBy("bucket")).applyInArrow(probe, "block long, bucket int, levels binary"), "levels", merged=True)
+    release(rows.sparkSession)  # the files of the requests' shuffle, before the texts take theirs
     answers = told.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "levels"))).alias("answers"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

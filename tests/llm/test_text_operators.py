@@ -397,3 +397,17 @@ def test_shards_score_as_the_broadcast_filter_does(spark, monkeypatch):
     assert key(language_model.score(docs, cut)) == whole and len(whole) == len(texts) + 9
     none = _docs(spark, ["a"]).limit(0)
     assert language_model.score(none, language_model.fit(none, none.doc_id > 0)).count() == 0
+
+
+def test_a_shard_is_probed_once_for_all_requests(monkeypatch):
+    keys = hashing.mix(np.arange(1, 3_000, dtype=np.uint64))
+    data = np.frombuffer(language_model._shard(keys[:2_000], np.arange(1, 2_001), np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.uint8)
+    each = [np.sort(keys[i::7][:i]) for i in range(400)]
+    want = [language_model._probed(data, np.zeros(len(k), np.int64), np.full(len(k), len(data) * 8), k).astype(np.uint8).tobytes() for k in each]
+    calls, probed = [], language_model._probed
+    monkeypatch.setattr(language_model, "_probed", lambda *a: calls.append(len(a[3])) or probed(*a))
+    requests = pa.array([k.tobytes() for k in each], pa.binary())
+    assert language_model._answers(data, requests).to_pylist() == want and len(calls) == 1 and calls[0] <= len(keys)
+    assert language_model._answers(data, requests.slice(3, 9)).to_pylist() == want[3:12]
+    assert language_model._answers(data[:0], requests.slice(9, 2)).to_pylist() == [bytes(9), bytes(10)]
+    assert language_model._answers(data, requests.slice(0, 0)).to_pylist() == []
