@@ -34,13 +34,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import discard, release, stored
 from .hashing import combine, mix, text_blocks, text_bytes, word_hashes, word_spans
 
 #: Counts are added up in 2**bits buckets by the first bits of a fingerprint: LEAST_BITS, or more, so that a bucket gets about BUCKET_BYTES of text.
@@ -52,6 +53,8 @@ HOT = 300_000
 TUNING = 400
 BLOCK_BYTES = 1_000_000
 MAX_LEVEL = 80
+#: Requests to the shards of a larger filter are sent in so many rounds, each to a range of shards: only one round's are on disk at a time.
+ROUNDS = 2
 #: Filters up to this size are broadcast.
 BROADCAST_BYTES = 1 << 28
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -413,24 +416,34 @@ def _by_shards(rows: DataFrame, fitted: Fitted) -> DataFrame:
 
     blocks = stored(rows.mapInArrow(cut, "block long, row_id array<long>, doc_id array<long>, text array<string>"), "blocks")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys = _asked(*text_bytes(batch.column(1)[i].values))
-                own = _bucket(keys, bits)
-                edges = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own))
-                parts = [keys[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(parts), pa.int64()), pa.array(own[edges[:-1]].astype(np.int32)), pa.array(parts, pa.binary())], ["block", "bucket", "keys"])
+    def ask_in(lowest: int, highest: int):
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    keys = _asked(*text_bytes(batch.column(1)[i].values))
+                    own = _bucket(keys, bits)
+                    first, last = np.searchsorted(own, (lowest, highest))
+                    keys, own = keys[first:last], own[first:last]
+                    edges = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own))
+                    parts = [keys[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(parts), pa.int64()), pa.array(own[edges[:-1]].astype(np.int32)), pa.array(parts, pa.binary())], ["block", "bucket", "keys"])
+
+        return ask
 
     def probe(requests: pa.Table, shard: pa.Table) -> pa.Table:
         data = np.frombuffer(shard.column("shard")[0].as_py(), np.uint8) if shard.num_rows else np.zeros(0, np.uint8)
         keys = requests.column("keys")
         return pa.table({"block": requests.column("block"), "bucket": requests.column("bucket"), "levels": pa.chunked_array([_answers(data, c) for c in keys.chunks], pa.binary())})
 
-    requests = blocks.select("block", "text").mapInArrow(ask, "block long, bucket int, keys binary")
-    told = stored(requests.groupBy("bucket").cogroup(fitted.shards.groupBy("bucket")).applyInArrow(probe, "block long, bucket int, levels binary"), "levels", merged=True)
-    release(rows.sparkSession)  # the files of the requests' shuffle, before the texts take theirs
-    answers = told.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "levels"))).alias("answers"))
+    told = []
+    for lowest, highest in zip(edges := [(1 << bits) * i // ROUNDS for i in range(ROUNDS + 1)], edges[1:], strict=False):
+        requests = blocks.select("block", "text").mapInArrow(ask_in(lowest, highest), "block long, bucket int, keys binary")
+        told.append(stored(requests.groupBy("bucket").cogroup(fitted.shards.where(F.col("bucket").between(lowest, highest - 1)).groupBy("bucket")).applyInArrow(probe, "block long, bucket int, levels binary"), "levels", merged=True))
+        told[-1].count()  # Spark holds on to the last step it ran; with another one behind it, the files of the requests can go
+        release(rows.sparkSession)
+    answers = stored(reduce(DataFrame.unionAll, told).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "levels"))).alias("answers")), "answers", merged=True)
+    for part in told:
+        discard(part)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
