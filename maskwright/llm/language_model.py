@@ -10,22 +10,26 @@ BITS_PER_ENTRY bits, so the filter grows with the corpus.
 Scoring. For each distinct word and pair of a block the filter is probed for level 1, 2,
 ... until a probe fails; the last level gives the count. p(w | v) is
 lambda c(v w) / c(v) + (1 - lambda) (c(w) + 1) / (N + V + 1); lambda depends on the size of
-c(v) and is fitted by EM on about TUNING training documents, with the exact counts that
-pairs of these documents have in all other ones, which the buckets give beside their
-shards; the filter holds the pairs of all training documents.
+c(v) and is fitted by EM on all training documents, each with the counts that its pairs have
+in all others: what the filter says less the document's own. Counts up to 3 are exact in the
+filter; pairs that stand at least LONE_FROM times in one document and in no other are marked
+in it, so "in no other" is exact for all counts.
 
 Up to BROADCAST_BYTES the filter goes to all workers in one piece. A larger one stays in
 its shards: blocks of texts are written, their distinct n-grams are sent to the shard that
 holds them, probed there, and the levels (a byte each) come back to the block. Both ways
 probe the same bits, so scores are the same.
 
+Each block is looked up once: the levels of its tokens (two bytes a token) are written, with
+counts of what EM needs; once the weights are known, scores are made of the levels alone.
+
 The base score needs exact counts. Those of the most frequent words (at most HOT) go to
 the workers; occurrences of all others are joined to the count table by fingerprint. So
 no join key is frequent, and what is shuffled is a small part of the corpus.
 
 Defined cases: a null or empty text has one token, the end; texts of any length are read
 whole; repeated rows and doc_ids, and null doc_ids, are scored (and counted) as often as
-they occur, but tune once; with no training rows N and V are 0; an empty table gives an
+they occur, but tune once, without their copies; with no training rows N and V are 0; an empty table gives an
 empty one; other columns, whatever they are called, are ignored.
 """
 
@@ -33,7 +37,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -41,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release, stored
+from .common import discard, join_split, release, stored
 from .hashing import combine, mix, text_blocks, text_bytes, word_hashes, word_spans
 
 #: Counts are added up in 2**bits buckets by the first bits of a fingerprint: LEAST_BITS, or more, so that a bucket gets about BUCKET_BYTES of text.
@@ -50,7 +54,6 @@ GROWTH = 1.5
 BITS_PER_ENTRY = 8
 PROBES = 4
 HOT = 300_000
-TUNING = 400
 BLOCK_BYTES = 1_000_000
 MAX_LEVEL = 80
 #: Requests to the shards of a larger filter are sent in so many rounds, each to a range of shards: only one round's are on disk at a time.
@@ -60,6 +63,10 @@ BROADCAST_BYTES = 1 << 28
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Marks keys of pairs in the filter; the first bits, which name the bucket, stay.
 _PAIR = np.uint64(0x0000002E3D27D4EB)
+#: Marks keys of pairs that one document alone holds, and holds so often that the filter does not give the exact count.
+_LONE, LONE_FROM = np.uint64(0x00000071C94B06D5), 4
+#: Up to so many rows that repeat, their numbers are broadcast.
+FEW_REPEATED = 100_000
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -87,15 +94,22 @@ def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _dealt(kind: int, keys: np.ndarray, bits: int) -> list[tuple[int, int, bytes, bytes]]:
-    """Distinct keys with counts, cut by bucket: eight bytes a word, seven a pair. kind: 0 words, 1 pairs, 2 pairs and 3 words of tuning documents."""
-    distinct, counts = np.unique(keys, return_counts=True)
+def _own(pairs: np.ndarray, at: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """For each pair of texts (row offsets: at) how often its text and the copies of it hold it; 0 for texts that are not learned from (0 copies)."""
+    row = np.repeat(np.arange(len(copies)), np.diff(at))
+    distinct, where = np.unique(pairs, return_inverse=True)
+    _, which, n = np.unique(row * np.int64(len(distinct)) + where, return_inverse=True, return_counts=True)
+    return n[which] * copies[row]
+
+
+def _dealt(kind: int, distinct: np.ndarray, counts: np.ndarray, bits: int) -> list[tuple[int, int, bytes, bytes]]:
+    """Sorted keys with counts, cut by bucket: eight bytes a word, seven a pair. kind: 0 words, 1 pairs, 2 pairs with how often one document and its copies hold them."""
     own = _bucket(distinct, bits)
     edges = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own))
     small = distinct.view(np.uint8).reshape(-1, 8)
     out = []
     for lo, hi in zip(edges, edges[1:], strict=False):
-        out.append((int(own[lo]), kind, np.ascontiguousarray(small[lo:hi, int(kind in (1, 2)) :]).tobytes(), counts[lo:hi].astype(np.uint32).tobytes()))
+        out.append((int(own[lo]), kind, np.ascontiguousarray(small[lo:hi, int(kind > 0) :]).tobytes(), counts[lo:hi].astype(np.uint32).tobytes()))
     return out
 
 
@@ -124,6 +138,9 @@ def _decoded(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (least + over - 1) / 2, 0.0)
 
 
+_COUNTS = _decoded(np.arange(MAX_LEVEL + 1))
+
+
 def _places(keys: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
     h = mix(keys + np.array(level, np.uint64) * _STEP)
     stride = mix(h) | np.uint64(1)
@@ -132,9 +149,10 @@ def _places(keys: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np
         yield (h + np.uint64(i) * stride) % size
 
 
-def _shard(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, most_bytes: int | None = None, per_entry: int = BITS_PER_ENTRY) -> bytes:
-    keys = np.concatenate([words, pairs ^ _PAIR])
-    levels = np.concatenate([_level(word_counts), _level(pair_counts)])
+def _shard(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, most_bytes: int | None = None, per_entry: int = BITS_PER_ENTRY, lone: np.ndarray | None = None) -> bytes:
+    lone = np.zeros(0, np.uint64) if lone is None else lone
+    keys = np.concatenate([words, pairs ^ _PAIR, lone ^ _LONE])
+    levels = np.concatenate([_level(word_counts), _level(pair_counts), np.ones(len(lone), np.int64)])
     n_bytes = int(levels.sum()) * per_entry // 8 + 8
     n_bytes = n_bytes if most_bytes is None else min(most_bytes, n_bytes)
     held = np.zeros(n_bytes * 8, bool)
@@ -147,17 +165,6 @@ def _shard(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_c
     return np.packbits(held, bitorder="little").tobytes()
 
 
-def _looked_up(pairs: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Levels of pairs from sorted keys and their counts."""
-    out = np.zeros(len(pairs), np.int64)
-    at = np.searchsorted(keys, pairs)
-    found = at < len(keys)
-    found[found] = keys[at[found]] == pairs[found]
-    held = counts[at[found]]
-    out[found] = np.where(held > 0, _level(np.maximum(held, 1)), 0)
-    return out
-
-
 def _probed(data: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Levels of keys in a filter. begin, size: for each key the first byte of its shard and the shard's bits."""
     out = np.zeros(len(keys), np.int64)
@@ -195,56 +202,52 @@ class Model:
         begin = self.at[own]
         return _probed(np.frombuffer(self.bits, np.uint8), begin, (self.at[own + 1] - begin) * 8, keys)
 
-    def parts(self, tokens: np.ndarray, before: np.ndarray, distinct: np.ndarray, where: np.ndarray, levels_of, pair_levels_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: pair probability, word probability, and the size class of the word before. levels_of, pair_levels_of: what the filter says of words and of pairs."""
-        levels = levels_of(distinct)
-        counts = _decoded(levels)
-        word = ((counts + 1) / (self.train_tokens + self.vocabulary + 1))[where]
-        pairs, pair_where = np.unique(_pairs(before, tokens), return_inverse=True)
-        together = _decoded(pair_levels_of(pairs))[pair_where]
-        first = before == _START
-        history = np.zeros(len(tokens))
-        history[1:] = counts[where][:-1]
-        level = np.zeros(len(tokens), np.int64)
-        level[1:] = levels[where][:-1]
-        history[first] = float(_decoded(levels_of(np.array([_END])))[0])
-        level[first] = 0
+    def parts(self, levels: np.ndarray, together: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token of texts (row offsets: at): pair probability, word probability, and the size class of the word before. levels: of the tokens; together: counts of the pairs."""
+        counts = _COUNTS[levels]
+        word = (counts + 1) / (self.train_tokens + self.vocabulary + 1)
+        history, size = np.zeros(len(levels)), np.zeros(len(levels), np.int64)
+        history[1:], size[1:] = counts[:-1], levels[:-1]
+        history[at[:-1]] = counts[at[1:] - 1]  # as many texts begin as end
+        size[at[:-1]] = 0
         pair = np.minimum(1.0, together / np.maximum(history, np.maximum(together, 1.0)))
-        return pair, word, np.minimum(level, len(self.weights) - 1)
+        return pair, word, np.minimum(size, len(self.weights) - 1)
 
 
 def _count(docs: DataFrame, bits: int) -> DataFrame:
-    """docs: doc_id, text, tuned. One row per bucket: counts of words (two blobs), a shard of the filter, and the tuned documents' pairs with their counts in all others and words with their counts (two blobs each)."""
+    """docs: text, copies. One row per bucket: counts of words (two blobs) and a shard of the filter."""
 
     per_entry = BITS_PER_ENTRY
 
     def block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tuned = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, raw, offsets in text_blocks(batch.column(1), BLOCK_BYTES):
+            copies = batch.column(1).to_numpy()
+            for lo, hi, raw, offsets in text_blocks(batch.column(0), BLOCK_BYTES):
                 tokens, before, at = _tokens(raw, offsets)
-                rows = _dealt(0, tokens, bits)
-                pairs, own = _pairs(before, tokens), np.repeat(tuned[lo:hi], np.diff(at))
-                rows += _dealt(1, pairs[~own], bits) + _dealt(2, pairs[own], bits) + _dealt(3, tokens[own], bits)
+                pairs = _pairs(before, tokens)
+                own = _own(pairs, at, copies[lo:hi])
+                often = np.flatnonzero(own >= LONE_FROM)
+                often = often[np.argsort(pairs[often], kind="stable")]
+                often = often[np.append(True, (np.diff(pairs[often]) != 0) | (np.diff(own[often]) != 0))[: len(often)]]
+                rows = _dealt(0, *np.unique(tokens, return_counts=True), bits) + _dealt(1, *np.unique(pairs, return_counts=True), bits) + _dealt(2, pairs[often], own[often], bits)
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "keys", "counts"])
 
     def merged(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        keys, counts = ([], [], [], []), ([], [], [], [])
+        keys, counts = ([], [], [np.zeros(0, np.uint64)]), ([], [], [np.zeros(0, np.uint32)])
         for kind, k, c in zip(group.column("kind").to_pylist(), group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True):
-            keys[kind].append(_wide(k) if kind in (1, 2) else np.frombuffer(k, np.uint64))
+            keys[kind].append(_wide(k) if kind else np.frombuffer(k, np.uint64))
             counts[kind].append(np.frombuffer(c, np.uint32))
         words, word_counts = _added(keys[0], counts[0])
-        pairs, pair_counts = _added(keys[1] + keys[2], counts[1] + counts[2])
-        tuned, own_counts = _added(keys[2], counts[2])
-        outside = pair_counts[np.searchsorted(pairs, tuned)] - own_counts
-        tuned_words = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys[3]]))
-        shard = _shard(words, word_counts, pairs, pair_counts, per_entry=per_entry)
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "words": pa.array([words.tobytes()], pa.binary()), "counts": pa.array([word_counts.tobytes()], pa.binary()), "shard": pa.array([shard], pa.binary()), "tokens": pa.array([int(word_counts.sum())], pa.int64()), "vocabulary": pa.array([len(words)], pa.int64()), "tuned": pa.array([tuned.tobytes()], pa.binary()), "outside": pa.array([outside.tobytes()], pa.binary()), "tuned_words": pa.array([tuned_words.tobytes()], pa.binary()), "word_counts": pa.array([word_counts[np.searchsorted(words, tuned_words)].tobytes()], pa.binary())})
+        pairs, pair_counts = _added(keys[1], counts[1])
+        often = np.concatenate(keys[2])
+        lone = np.unique(often[pair_counts[np.searchsorted(pairs, often)] == np.concatenate(counts[2])])
+        shard = _shard(words, word_counts, pairs, pair_counts, per_entry=per_entry, lone=lone)
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "words": pa.array([words.tobytes()], pa.binary()), "counts": pa.array([word_counts.tobytes()], pa.binary()), "shard": pa.array([shard], pa.binary()), "tokens": pa.array([int(word_counts.sum())], pa.int64()), "vocabulary": pa.array([len(words)], pa.int64())})
 
     dealt = docs.mapInArrow(block_counts, "bucket int, kind int, keys binary, counts binary")
-    return dealt.groupBy("bucket").applyInArrow(merged, "bucket int, words binary, counts binary, shard binary, tokens long, vocabulary long, tuned binary, outside binary, tuned_words binary, word_counts binary")
+    return dealt.groupBy("bucket").applyInArrow(merged, "bucket int, words binary, counts binary, shard binary, tokens long, vocabulary long")
 
 
 def _word_counts(buckets: DataFrame) -> DataFrame:
@@ -261,26 +264,11 @@ def _word_counts(buckets: DataFrame) -> DataFrame:
 _RATIOS = np.arange(-12, 13)
 
 
-def _fit_weights(held, docs: DataFrame, n_classes: int) -> np.ndarray:
-    """EM over counts of (size class of the word before, log2 of pair over word probability). held: a model without its filter, sorted words and their counts, sorted pairs and theirs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words, pairs = held.value
-        total = np.zeros((n_classes, len(_RATIOS) + 1), np.int64)
-        for batch in batches:
-            for _, _, raw, offsets in text_blocks(batch.column(1), BLOCK_BYTES):
-                tokens, before, _ = _tokens(raw, offsets)
-                distinct, where = np.unique(tokens, return_inverse=True)
-                pair, word, size = model.parts(tokens, before, distinct, where, lambda k: _looked_up(k, *words), lambda k: _looked_up(k, *pairs))
-                with np.errstate(divide="ignore"):
-                    ratio = np.where(pair > 0, np.clip(np.round(np.log2(pair / word)), -12, 12) + 13, 0).astype(np.int64)
-                np.add.at(total, (size, ratio), 1)
-        a, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b])], ["size", "ratio", "n"])
-
+def _fit_weights(seen: DataFrame, n_classes: int) -> np.ndarray:
+    """EM over counts of (size class of the word before, log2 of pair over word probability) in all training rows; a row and its copies count once."""
     total = np.zeros((n_classes, len(_RATIOS) + 1))
-    for r in docs.mapInArrow(run, "size long, ratio long, n long").groupBy("size", "ratio").agg(F.sum("n").alias("n")).collect():
-        total[r["size"], r["ratio"]] = r["n"]
+    for r in sorted(seen.select(F.inline("tuning")).groupBy("copies", "size", "ratio").agg(F.sum("n").alias("n")).collect()):
+        total[r["size"], r["ratio"]] += r["n"] / r["copies"]
     value = np.concatenate([[0.0], 2.0**_RATIOS])
     weights = np.full(n_classes, 0.1)
     total[:, 0] += 1  # so that a class of few tokens stays near 0
@@ -292,21 +280,33 @@ def _fit_weights(held, docs: DataFrame, n_classes: int) -> np.ndarray:
 
 @dataclass
 class Fitted:
-    """counts: word, c. shards: bucket, shard (of the filter)."""
+    """counts: word, c. shards: bucket, shard (of the filter). seen: what _looked_up says of the rows of source (a table, its columns of text and key)."""
 
     model: Model
     counts: DataFrame
     shards: DataFrame
+    source: tuple[DataFrame, str, str]
+    seen: DataFrame | None = None
+
+
+def _rows(docs: DataFrame, text: str, key: str, training: F.Column) -> DataFrame:
+    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("trained"))
 
 
 def fit(docs: DataFrame, training: F.Column, text: str = "text", key: str = "doc_id") -> Fitted:
-    """Learns from the rows of docs for which training holds."""
-    rows = docs.where(training).select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    n_rows, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    """Learns from the rows of docs for which training holds. All rows are looked up, those for the weights; score() of the same table takes them from there."""
+    rows = _rows(docs, text, key, training).withColumn("same", F.xxhash64("doc_id", "text", F.lit(7)))
+    same = rows.where("trained").groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    n_rows, n_bytes, n_repeated = same.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(n_bytes / BUCKET_BYTES + 1))))
-    share = int(min(0.1, TUNING / max(n_rows, 1)) * (1 << 20))
-    tuned = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 20)) < share
-    buckets = stored(_count(rows.withColumn("tuned", tuned), bits), "ngrams")
+    if n_repeated > FEW_REPEATED:
+        rows = join_split(rows.where("trained"), same.select("same", "n"), "same", "n", n_rows).unionByName(rows.where("not trained").withColumn("n", F.lit(0).cast("long")))
+    elif n_repeated:
+        rows = rows.join(F.broadcast(same.where("n > 1").select("same", "n")), "same", "left")
+    else:
+        rows = rows.withColumn("n", F.lit(1).cast("long"))
+    rows = rows.select("doc_id", "text", F.when(F.col("trained"), F.coalesce("n", F.lit(1))).otherwise(0).cast("long").alias("copies"))
+    buckets = stored(_count(rows.where("copies > 0").select("text", "copies"), bits), "ngrams")
     counts = _word_counts(buckets)
     sums = buckets.agg(F.sum("tokens").alias("n"), F.sum("vocabulary").alias("v"), F.sum(F.octet_length("shard").cast("long")).alias("bytes")).first()
     size = F.floor(F.log2("c")).cast("int")
@@ -322,12 +322,6 @@ def fit(docs: DataFrame, training: F.Column, text: str = "text", key: str = "doc
     del hot
     shards = buckets.select("bucket", "shard")
     model = Model(None, np.zeros((1 << bits) + 1, np.int64), int(sums.n or 0), int(sums.v or 0), hot_words[order], hot_counts[order], np.full(40, 0.1))
-    told = buckets.orderBy("bucket").select("tuned_words", "word_counts", "tuned", "outside").toArrow()  # of TUNING documents
-    joined = [np.frombuffer(b"".join(x.as_py() for x in c), kind) for c, kind in zip(told.columns, (np.uint64, np.int64) * 2, strict=True)]  # sorted: buckets are ranges of keys
-    held = docs.sparkSession.sparkContext.broadcast((model, tuple(joined[:2]), tuple(joined[2:])))
-    # rows that repeat tune once
-    model.weights = _fit_weights(held, rows.where(tuned).dropDuplicates(["doc_id", "text"]), len(model.weights))
-    held.destroy()
     release(docs.sparkSession)  # the files of the counts' shuffle
     if (sums.bytes or 0) <= BROADCAST_BYTES:
         found = shards.toArrow()
@@ -335,23 +329,49 @@ def fit(docs: DataFrame, training: F.Column, text: str = "text", key: str = "doc
         del found
         np.cumsum([len(by_bucket.get(b, b"")) for b in range(1 << bits)], out=model.at[1:])
         model.bits = b"".join(by_bucket.get(b, b"") for b in range(1 << bits))
-    return Fitted(model, counts, shards)
+        del by_bucket
+    fitted = Fitted(model, counts, shards, (docs, text, key))
+    fitted.seen = _looked_up(rows, fitted)
+    model.weights = _fit_weights(fitted.seen, len(model.weights))
+    return fitted
 
 
+_SEEN = "row_id array<long>, doc_id array<long>, n_tokens array<long>, known array<long>, base array<double>, levels binary, pair_levels binary, rare_at binary, rare binary, rare_n binary, tuning array<struct<copies: long, size: long, ratio: long, n: long>>"
+_SEEN_NAMES = [c.split(" ")[0] for c in _SEEN.split(", ")[:10]] + ["tuning"]
+_TUNING_NAMES = ["copies", "size", "ratio", "n"]
 _SCHEMA = "row_id long, doc_id long, word long, n long, head boolean, n_tokens long, known long, base double, score double"
 _NAMES = [c.split(" ")[0] for c in _SCHEMA.split(", ")]
 _KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
 
-def _scored(model: Model, row_id: pa.Array, doc_id: pa.Array, raw: np.ndarray, offsets: np.ndarray, levels_of) -> Iterator[pa.RecordBatch]:
-    """One row (head) for each text of a block, and one for each of its words whose exact count is not at hand."""
+def _tuning(model: Model, pairs: np.ndarray, levels: np.ndarray, pair_levels: np.ndarray, at: np.ndarray, copies: np.ndarray, levels_of) -> list[np.ndarray]:
+    """For the texts of a block that are learned from, how many tokens have which copies, size class and ratio of probabilities, pairs counted in all other texts."""
+    own = _own(pairs, at, copies)
+    outside = np.maximum(_COUNTS[pair_levels] - own, pair_levels >= LONE_FROM)  # levels up to 3 are counts; of more, all but the lone have others
+    may = np.flatnonzero(own >= LONE_FROM)
+    may = may[_level(own[may]) >= pair_levels[may]]
+    outside[may[levels_of(pairs[may] ^ _LONE) > 0]] = 0
+    pair, word, size = model.parts(levels, outside, at)
+    with np.errstate(divide="ignore"):
+        ratio = np.where(pair > 0, np.clip(np.round(np.log2(pair / word)), -12, 12) + 13, 0).astype(np.int64)
+    cell, token_copies, width = size * (len(_RATIOS) + 1) + ratio, np.repeat(copies, np.diff(at)), len(model.weights) * (len(_RATIOS) + 1)
+    out = []
+    for many in np.unique(copies[copies > 0]):
+        n = np.bincount(cell[token_copies == many], minlength=width)
+        held = np.flatnonzero(n)
+        out.append((np.full(len(held), many), held // (len(_RATIOS) + 1), held % (len(_RATIOS) + 1), n[held]))
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+
+
+def _seen(model: Model, row_id: pa.Array, doc_id: pa.Array, copies: np.ndarray, raw: np.ndarray, offsets: np.ndarray, levels_of) -> pa.RecordBatch:
+    """One row for a block of texts: all that scores are made of once the weights are known. rare: words whose exact count is not at hand, rare_at: their texts."""
     spread = math.log10(model.train_tokens + model.vocabulary + 1)
     tokens, before, at = _tokens(raw, offsets)
     n_tokens, m = np.diff(at), len(offsets) - 1
     distinct, where = np.unique(tokens, return_inverse=True)
-    pair, word, size = model.parts(tokens, before, distinct, where, levels_of, lambda k: levels_of(k ^ _PAIR))
-    weight = model.weights[size]
-    logs = np.log10(weight * pair + (1 - weight) * word)
+    pairs, pair_where = np.unique(_pairs(before, tokens), return_inverse=True)
+    levels, pair_levels = levels_of(distinct)[where], levels_of(pairs ^ _PAIR)[pair_where]
+    tuning = _tuning(model, pairs[pair_where], levels, pair_levels, at, copies, levels_of)
     place = np.searchsorted(model.hot, distinct)
     place[place == len(model.hot)] = 0
     is_hot = model.hot[place] == distinct if len(model.hot) else np.zeros(len(distinct), bool)
@@ -359,16 +379,13 @@ def _scored(model: Model, row_id: pa.Array, doc_id: pa.Array, raw: np.ndarray, o
     row = np.repeat(np.arange(m), n_tokens)
     known = np.bincount(row, is_hot[where], m).astype(np.int64)
     base = np.bincount(row, exact[where], m) - n_tokens * spread
-    total = np.bincount(row, logs, m)
-    ids = row_id.to_numpy()
-    yield pa.RecordBatch.from_arrays([row_id, doc_id, pa.array(mix(ids.view(np.uint64)).view(np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(np.ones(m, bool)), pa.array(n_tokens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(total)], _NAMES)
     rare = np.flatnonzero(~is_hot[where])
-    if len(rare):
-        both, n = np.unique(row[rare] * np.int64(len(distinct)) + where[rare], return_counts=True)
-        r, w = both // len(distinct), both % len(distinct)
-        k = len(both)
-        none = [pa.nulls(k, t) for t in _KINDS]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[r]), none[1], pa.array(distinct[w].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.zeros(k, bool)), *none[5:]], _NAMES)
+    both, n = np.unique(row[rare] * np.int64(len(distinct)) + where[rare], return_counts=True)
+    lists = [row_id, doc_id, pa.array(n_tokens.astype(np.int64)), pa.array(known), pa.array(base)]
+    blobs = [levels.astype(np.uint8), pair_levels.astype(np.uint8), (both // len(distinct)).astype(np.int32), distinct[both % len(distinct)], n.astype(np.int32)]
+    whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
+    tuned = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in tuning], _TUNING_NAMES)
+    return pa.RecordBatch.from_arrays([*map(whole, lists), *(pa.array([b.tobytes()], pa.binary()) for b in blobs), whole(tuned)], _SEEN_NAMES)
 
 
 def _by_broadcast(rows: DataFrame, model: Model) -> DataFrame:
@@ -377,16 +394,20 @@ def _by_broadcast(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            for lo, hi, raw, offsets in text_blocks(batch.column(2), BLOCK_BYTES):
-                yield from _scored(model, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), raw, offsets, model.levels)
+            copies = batch.column(2).to_numpy()
+            for lo, hi, raw, offsets in text_blocks(batch.column(3), BLOCK_BYTES):
+                yield _seen(model, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), copies[lo:hi], raw, offsets, model.levels)
 
-    return rows.mapInArrow(run, _SCHEMA)
+    out = stored(rows.mapInArrow(run, _SEEN), "levels")
+    held.destroy()
+    return out
 
 
-def _asked(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """All n-grams of a block that its scores need, sorted."""
-    tokens, before, _ = _tokens(raw, offsets)
-    keys = np.sort(np.concatenate([tokens, _pairs(before, tokens) ^ _PAIR, np.array([_END])]))
+def _asked(raw: np.ndarray, offsets: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """All n-grams of a block that its scores and the weights need, sorted."""
+    tokens, before, at = _tokens(raw, offsets)
+    pairs = _pairs(before, tokens)
+    keys = np.sort(np.concatenate([tokens, pairs ^ _PAIR, pairs[_own(pairs, at, copies) >= LONE_FROM] ^ _LONE]))
     return keys[np.append(True, keys[1:] != keys[:-1])]  # np.unique hashes first, which takes several times as long
 
 
@@ -408,19 +429,19 @@ def _by_shards(rows: DataFrame, fitted: Fitted) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, _, _ in text_blocks(batch.column(2), most):
+            for lo, hi, _, _ in text_blocks(batch.column(3), most):
                 part = batch.slice(lo, hi - lo)
                 whole = pa.array([0, hi - lo], pa.int32())
-                texts = part.column(2).fill_null("").cast(pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), *(pa.ListArray.from_arrays(whole, c) for c in (part.column(0), part.column(1), texts))], ["block", "row_id", "doc_id", "text"])
+                texts = part.column(3).fill_null("").cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), *(pa.ListArray.from_arrays(whole, c) for c in (part.column(0), part.column(1), part.column(2), texts))], ["block", "row_id", "doc_id", "copies", "text"])
 
-    blocks = stored(rows.mapInArrow(cut, "block long, row_id array<long>, doc_id array<long>, text array<string>"), "blocks")
+    blocks = stored(rows.mapInArrow(cut, "block long, row_id array<long>, doc_id array<long>, copies array<long>, text array<string>"), "blocks")
 
     def ask_in(lowest: int, highest: int):
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    keys = _asked(*text_bytes(batch.column(1)[i].values))
+                    keys = _asked(*text_bytes(batch.column(1)[i].values), batch.column(2)[i].values.to_numpy())
                     own = _bucket(keys, bits)
                     first, last = np.searchsorted(own, (lowest, highest))
                     keys, own = keys[first:last], own[first:last]
@@ -437,7 +458,7 @@ def _by_shards(rows: DataFrame, fitted: Fitted) -> DataFrame:
 
     told = []
     for lowest, highest in zip(edges := [(1 << bits) * i // ROUNDS for i in range(ROUNDS + 1)], edges[1:], strict=False):
-        requests = blocks.select("block", "text").mapInArrow(ask_in(lowest, highest), "block long, bucket int, keys binary")
+        requests = blocks.select("block", "text", "copies").mapInArrow(ask_in(lowest, highest), "block long, bucket int, keys binary")
         told.append(stored(requests.groupBy("bucket").cogroup(fitted.shards.where(F.col("bucket").between(lowest, highest - 1)).groupBy("bucket")).applyInArrow(probe, "block long, bucket int, levels binary"), "levels", merged=True))
         told[-1].count()  # Spark holds on to the last step it ran; with another one behind it, the files of the requests can go
         release(rows.sparkSession)
@@ -450,18 +471,54 @@ def _by_shards(rows: DataFrame, fitted: Fitted) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 raw, offsets = text_bytes(batch.column(3)[i].values)
-                keys = _asked(raw, offsets)
+                copies = batch.column(5)[i].values.to_numpy()
+                keys = _asked(raw, offsets, copies)
                 # buckets are ranges of keys, so their answers stand in the order of the keys
                 levels = np.frombuffer(b"".join(a["levels"] for a in batch.column(4)[i].as_py()), np.uint8).astype(np.int64)
-                yield from _scored(model, batch.column(1)[i].values, batch.column(2)[i].values, raw, offsets, lambda k, keys=keys, levels=levels: levels[np.searchsorted(keys, k)])
+                yield _seen(model, batch.column(1)[i].values, batch.column(2)[i].values, copies, raw, offsets, lambda k, keys=keys, levels=levels: levels[np.searchsorted(keys, k)])
+
+    out = stored(blocks.join(answers, "block").select("block", "row_id", "doc_id", "text", "answers", "copies").mapInArrow(finish, _SEEN), "levels")
+    held.destroy()
+    for part in (blocks, answers):
+        discard(part)
+    release(rows.sparkSession)  # the files of the texts' shuffle
+    return out
+
+
+def _looked_up(rows: DataFrame, fitted: Fitted) -> DataFrame:
+    """rows: doc_id, text, copies. What _seen says of them, written."""
+    rows = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "copies", "text")
+    return _by_shards(rows, fitted) if fitted.model.bits is None else _by_broadcast(rows, fitted.model)
+
+
+def _scored(seen: DataFrame, model: Model) -> DataFrame:
+    """One row (head) for each text, and one for each of its words whose exact count is not at hand."""
+    small = replace(model, bits=None, hot=None, hot_counts=None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row_id, doc_id, n_tokens, known, base = (batch.column(c)[i].values for c in range(5))
+                levels, pair_levels, rare_at, rare, rare_n = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in zip(range(5, 10), (np.uint8, np.uint8, np.int32, np.int64, np.int32), strict=True))
+                m, ids, at = len(row_id), row_id.to_numpy(), np.append(0, np.cumsum(n_tokens.to_numpy()))
+                pair, word, size = small.parts(levels, _COUNTS[pair_levels], at)
+                weight = small.weights[size]
+                total = np.bincount(np.repeat(np.arange(m), np.diff(at)), np.log10(weight * pair + (1 - weight) * word), m)
+                yield pa.RecordBatch.from_arrays([row_id, doc_id, pa.array(mix(ids.view(np.uint64)).view(np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(np.ones(m, bool)), n_tokens, known, base, pa.array(total)], _NAMES)
+                if k := len(rare):
+                    none = [pa.nulls(k, t) for t in _KINDS]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rare_at]), none[1], pa.array(rare), pa.array(rare_n.astype(np.int64)), pa.array(np.zeros(k, bool)), *none[5:]], _NAMES)
 
-    return blocks.join(answers, "block").select("block", "row_id", "doc_id", "text", "answers").mapInArrow(finish, _SCHEMA)
+    return seen.drop("tuning").mapInArrow(run, _SCHEMA)
 
 
 def score(docs: DataFrame, fitted: Fitted, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    parts = _by_shards(rows, fitted) if fitted.model.bits is None else _by_broadcast(rows, fitted.model)
+    if docs is fitted.source[0] and (text, key) == fitted.source[1:]:
+        seen = fitted.seen
+    else:
+        seen = _looked_up(_rows(docs, text, key, F.lit(False)).select("doc_id", "text", F.lit(0).cast("long").alias("copies")), fitted)
+    parts = _scored(seen, fitted.model)
     joined = parts.join(fitted.counts, "word", "left")
     exact = F.when(~F.col("head"), F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(F.col("base"))
     known = F.when(~F.col("head"), F.when(F.col("c") > 0, F.col("n")).otherwise(0)).otherwise(F.col("known"))

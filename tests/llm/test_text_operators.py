@@ -411,3 +411,52 @@ def test_a_shard_is_probed_once_for_all_requests(monkeypatch):
     assert language_model._answers(data, requests.slice(3, 9)).to_pylist() == want[3:12]
     assert language_model._answers(data[:0], requests.slice(9, 2)).to_pylist() == [bytes(9), bytes(10)]
     assert language_model._answers(data, requests.slice(0, 0)).to_pylist() == []
+
+
+@pytest.mark.parametrize(("few", "broadcast"), [(100_000, 1 << 28), (0, 1 << 28), (100_000, 0)])
+def test_weights_come_from_all_training_rows(spark, monkeypatch, few, broadcast):
+    monkeypatch.setattr(language_model, "BITS_PER_ENTRY", 96)  # so that a filter says nothing wrong,
+    monkeypatch.setattr(language_model, "LEAST_BITS", 1)  # as small ones may
+    monkeypatch.setattr(language_model, "FEW_REPEATED", few, raising=False)
+    monkeypatch.setattr(language_model, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 700)
+    texts = _lm_texts(33, 120) + ["nine c d " * 9 + "of the of", "c d", *(f"r{i} s{i} t " * i for i in range(1, 20)), *["these two lines"] * 2]
+    docs = _docs(spark, texts)
+    docs = docs.unionAll(docs.where("doc_id in (1, 8, 10, 130)")).unionAll(docs.where("doc_id in (8, 10)")).repartition(3)
+    got = language_model.fit(docs, docs.doc_id % 3 != 0).model.weights
+    copies = {i: {1: 2, 8: 3, 10: 3, 130: 2}.get(i, 1) for i in range(len(texts)) if i % 3}
+    tokens = {i: [*bytes(texts[i] or "", "utf8").lower().split(), None] for i in copies}
+    both = {i: collections.Counter(zip(["start", *t[:-1]], t, strict=True)) for i, t in tokens.items()}
+    words, pairs = collections.Counter(), collections.Counter()
+    for i, m in copies.items():
+        for total, part in ((words, collections.Counter(tokens[i])), (pairs, both[i])):
+            total.update({k: n * m for k, n in part.items()})
+    n, v = sum(words.values()), len(words)
+    level = lambda c: int(language_model._level(np.array([c]))[0])
+    about = lambda c: float(language_model._decoded(np.array([level(c)]))[0])
+    cells, lone = collections.Counter(), 0
+    for i, m in copies.items():
+        for (before, w), times in both[i].items():
+            others = pairs[before, w] - times * m
+            lone += others == 0 and times * m >= 4
+            others = max(about(pairs[before, w]) - times * m, float(pairs[before, w] >= 4)) if others else 0.0
+            history = about(words[None if before == "start" else before])
+            ratio = min(1.0, others / max(history, others, 1.0)) / ((about(words[w]) + 1) / (n + v + 1))
+            cells[0 if before == "start" else min(level(words[before]), 39), max(-12, min(12, round(math.log2(ratio)))) if ratio else None] += times
+    assert lone > 10 and sum(cells.values()) == sum(map(len, tokens.values()))
+    for size in range(40):
+        held = [(2.0**r if r is not None else 0.0, c) for (s, r), c in cells.items() if s == size] + [(0.0, 1)]
+        weight = 0.1
+        for _ in range(60):
+            weight = min(0.95, max(1e-6, sum(c * weight * x / (weight * x + 1 - weight) for x, c in held) / sum(c for _, c in held)))
+        assert math.isclose(got[size], weight, rel_tol=1e-6)
+
+
+def test_scores_of_another_table(spark):
+    docs = _docs(spark, _lm_texts(34, 60))
+    fitted = language_model.fit(docs, docs.doc_id % 3 != 0)
+    key = lambda df: sorted((x.doc_id, round(x.score, 9)) for x in df.collect())
+    named = docs.select(F.col("text").alias("t"), F.col("doc_id").alias("k"))
+    want = key(language_model.score(docs, fitted))
+    assert key(language_model.score(named, fitted, text="t", key="k")) == want
+    assert key(language_model.score(docs.where("doc_id < 20"), fitted)) == want[:20]
