@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from maskwright.functions import tables
 from maskwright.llm import automaton, hashing, language_model, personal_data, secrets, token_counts, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -418,6 +419,7 @@ def test_weights_come_from_all_training_rows(spark, monkeypatch, few, broadcast)
     monkeypatch.setattr(language_model, "BITS_PER_ENTRY", 96)  # so that a filter says nothing wrong,
     monkeypatch.setattr(language_model, "LEAST_BITS", 1)  # as small ones may
     monkeypatch.setattr(language_model, "FEW_REPEATED", few, raising=False)
+    monkeypatch.setattr(tables, "SPLIT_FROM", 10 * few)  # so that many repeated rows are joined as those of large tables
     monkeypatch.setattr(language_model, "BROADCAST_BYTES", broadcast)
     monkeypatch.setattr(language_model, "BLOCK_BYTES", 700)
     texts = _lm_texts(33, 120) + ["nine c d " * 9 + "of the of", "c d", *(f"r{i} s{i} t " * i for i in range(1, 20)), *["these two lines"] * 2]
